@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +185,7 @@ def encoder(data: Broadcast, pattern: str):
             cache.clear()
         pieces = [split(text) for text in texts]
         known = [list(map(cache.get, words)) for words in pieces]
-        if new := list({x for words, ids in zip(pieces, known, strict=True) if None in ids for x, y in zip(words, ids, strict=True) if y is None}):
+        if new := list({x for words, ids in zip(pieces, known, strict=True) if None in ids for x in compress(words, map(is_, ids, repeat(None)))}):
             cache.update(zip(new, merges.many([x.encode() for x in new]), strict=True))
             known = [list(map(cache.get, words)) if None in ids else ids for words, ids in zip(pieces, known, strict=True)]
         return [b"".join(ids) for ids in known]
