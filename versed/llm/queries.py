@@ -39,3 +39,62 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the fixed patterns' spans, and all spans."""
+    from versed.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents replicated to equal shares of all sources, in global shuffle order."""
+    from versed.llm import mixing
+
+    out = mixing.replicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "lang", "source", "n_chars", F.col("copy_no").cast("long").alias("copy_no"), F.col("n_copies").cast("long").alias("n_copies"), "shuffle_key")
+
+
+ORACLE_SQL["op6_mixing"] = """
+WITH RECURSIVE counts AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+sums AS (SELECT sum(n) AS all_n, count(*)::DOUBLE AS all_weight FROM counts),
+rate AS (SELECT source, 1.0::DOUBLE / all_weight * all_n / n AS rate FROM counts, sums),
+part AS (SELECT source, greatest(1, ceil(rate / 8.0::DOUBLE))::BIGINT AS parts, rate / greatest(1, ceil(rate / 8.0::DOUBLE))::DOUBLE AS mu FROM rate),
+cdf AS (
+  SELECT source, mu, 0::BIGINT AS k, exp(-mu) AS p, exp(-mu) AS c FROM part
+  UNION ALL
+  SELECT source, mu, k + 1, p * mu / (k + 1), c + p * mu / (k + 1) FROM cdf WHERE k < 60),
+lists AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+draws AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.cs, unnest(range(1, p.parts + 1)) AS i
+  FROM documents d JOIN part p ON d.source IS NOT DISTINCT FROM p.source JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
+numbers AS (
+  SELECT *, (('0x' || substr(md5('17:n:' || coalesce(doc_id::VARCHAR, '') || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM draws),
+copies AS (
+  SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cs, lambda c: c < u)))::BIGINT AS n_copies
+  FROM numbers GROUP BY doc_id, text, lang, source, n_chars),
+rows AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM copies)
+SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
+  ('0x' || substr(md5('17:at:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR), 1, 15))::BIGINT AS shuffle_key
+FROM rows
+"""
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score."""
+    from versed.llm import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
