@@ -98,3 +98,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versed.llm import urls
 
     return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of each document, whether it fails the base rules, and the label model's verdict."""
+    from versed.llm import rules
+
+    out = rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "pattern")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of hashed n-grams.
-BUCKETS = 4096
+BUCKETS = 2048
 
 #: (verdict, host, path) of the rules in force.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -81,7 +81,7 @@ def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
     host, path = host_and_path(F.col("url"))
     rows = rows.select("label", host.alias("host"), path.alias("path")).select("label", buckets(F.col("host"), F.col("path")).alias("at"))
     ones = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("at"), i.cast("int")).cast("double"))
-    model = LogisticRegression(regParam=0.01, standardization=False, maxIter=60).fit(rows.select("label", array_to_vector(ones).alias("features")).coalesce(1))
+    model = LogisticRegression(regParam=0.001, standardization=False, maxIter=30).fit(rows.select("label", array_to_vector(ones).alias("features")).coalesce(1))
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
 
