@@ -107,3 +107,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "pattern")
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of the held-out fold are not learned from."""
+    from versed.llm import toxicity
+    from versed.llm.common import fold
+
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", toxicity.verdict(0.5))
+
+
+@query
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; labels of the held-out fold are not learned from."""
+    from versed.llm import gam
+    from versed.llm.common import fold
+    from versed.llm.toxicity import verdict
+
+    docs = table(spark, sf_dir, "documents")
+    out = gam.score(docs, gam.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", verdict(0.3))
