@@ -130,3 +130,16 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = gam.score(docs, gam.learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", verdict(0.3))
+
+
+@query
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's payload as read back from its stored form, of that form, and audio features."""
+    from versed.llm import audio
+
+    out = audio.read(audio.store(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
