@@ -143,3 +143,11 @@ def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), "feature",
     )
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: near-duplicates share the least doc_id among them."""
+    from versed.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))

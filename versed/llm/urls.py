@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versed.llm.common import cut
+
 #: Buckets of hashed n-grams.
 BUCKETS = 2048
 
@@ -79,7 +81,8 @@ def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
     """Weights by bucket and the intercept, fitted by Spark ML from the labelled urls (a table of fixed, small size)."""
     rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("label")) for u, y in labelled))))
     host, path = host_and_path(F.col("url"))
-    rows = rows.select("label", host.alias("host"), path.alias("path")).select("label", buckets(F.col("host"), F.col("path")).alias("at"))
+    rows = rows.select("label", host.alias("host"), path.alias("path"))
+    rows = cut(rows.select("label", buckets(F.col("host"), F.col("path")).alias("at")))  # else each of the features below would work it out again
     ones = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("at"), i.cast("int")).cast("double"))
     model = LogisticRegression(regParam=0.001, standardization=False, maxIter=30).fit(rows.select("label", array_to_vector(ones).alias("features")).coalesce(1))
     return model.coefficients.toArray().tolist(), float(model.intercept)
