@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versed.plans.session import ship
+
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that a worker's memory doesn't grow with the length of documents."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
