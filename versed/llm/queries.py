@@ -151,3 +151,23 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from versed.llm import neardup
 
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+
+
+@query
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document between good documents (by label) and all."""
+    from versed.llm import lm
+    from versed.llm.common import fold
+
+    docs = table(spark, sf_dir, "documents")
+    target = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold() != 0)).select("doc_id")
+    words = lm.vocabulary(docs)
+    return lm.score(docs, words, lm.models(lm.counts(docs, words, target)))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over `documents`."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -44,18 +44,17 @@ RULES = (
 STEPS, PRIOR = 60, 2.0
 
 
-def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col` and the counts of every row."""
+def counted(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of every row, as a struct named row, and the counts of its text."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.struct(*keep).alias("row"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches):
             columns = np.array([stats(x) for x in some], dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, columns)], names=["id", *NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, columns)], names=["row", *NAMES])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in NAMES)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in NAMES))
 
 
 def vote(share: str, bad: float, good: float) -> Column:
@@ -105,4 +104,10 @@ def judged(counts: DataFrame, rules=RULES) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """`id_col`, the counts, pattern, quality, base_failed and kept of every row."""
-    return judged(cut(counted(docs, id_col, text_col)), rules)
+    rows = judged(cut(counted(docs, text_col, (id_col,))), rules)
+    return rows.select(f"row.{id_col}", *(c for c in rows.columns if c != "row"))
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of `docs`, all columns, that are kept. Rows pass through the count with their text, so no join finds them again."""
+    return judged(cut(counted(docs, text_col, tuple(docs.columns))), rules).where("kept").select("row.*")
