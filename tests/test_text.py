@@ -101,3 +101,13 @@ def test_flat_rows(spark):
     rows = spark.createDataFrame([(1, "1. Аб\n2. Вг\n3. Де"), (2, None)], "id long, t string")
     out = P.flat(rows, ["id"], ["t"], "num string, ordinal long, body string, mode string", P.parse_sections).orderBy("ordinal").collect()
     assert [(r["id"], r["num"], r["mode"]) for r in out] == [(1, "1", "points"), (1, "2", "points"), (1, "3", "points")]
+
+
+def test_sequential_without_numbers():
+    assert P.sequential("no numbers") == P.sequential(None) == []
+
+
+def test_real_title(spark):
+    assert one(spark, "Документ 5\nПро лікарські засоби | від 04.04.1996 № 123 (Текст)", T.real_title) == "Про лікарські засоби"
+    assert one(spark, "Про затвердження порядку...\nx\nПро затвердження порядку видачі", T.real_title) == "Про затвердження порядку видачі"
+    assert one(spark, None, T.real_title) == ""

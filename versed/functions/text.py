@@ -188,3 +188,22 @@ def sanitised(text: Column, markers: tuple[str, ...]) -> Column:
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x: ~any_of(F.lower(x), markers))
     return F.when(F.size(kept) == F.size(lines), text).otherwise(F.concat(F.array_join(kept, "\n"), F.lit("\n[removed: "), (F.size(lines) - F.size(kept)).cast("string"), F.lit("]")))
+
+
+# Starts of lines that are no title.
+BOILERPLATE = ("стан:", "ідентифікатор:", "текст документа", "друкувати", "допомога", "шрифт", "[ image ]", "документ", "сторінка")
+
+
+def real_title(text: Column) -> Column:
+    """The document's own title: its first line that is neither boilerplate nor a requisite and has 5 to 500 characters.
+
+    The print form's date is cut off, and a title that ends in dots is made whole by a later line with the same start.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), squeeze), lambda x: x != "")
+    plain = F.transform(lines, lambda x: F.regexp_replace(x, r"^(.+?)\s*\|\s*від\s+\d{2}\.\d{2}\.\d{4}.*$", "$1"))
+    skipped = lambda x: x.rlike("(?iu)^(?:" + "|".join(b.replace("[", r"\[").replace("]", r"\]") for b in BOILERPLATE) + ")")
+    good = F.filter(plain, lambda x: ~skipped(x) & ~x.rlike(r"^[^\n]{0,200};\s*[^\n;]{2,120}?\s+від\s+\d{2}\.\d{2}\.\d{4}") & F.length(x).between(5, 500))
+    title = F.coalesce(F.get(good, 0), F.lit(""))
+    start = F.substring(F.regexp_replace(title, r"[.…\s]+$", ""), 1, 24)
+    whole = F.get(F.filter(lines, lambda x: (F.length(x) > F.length(title)) & x.startswith(start) & (F.length(x) <= 500) & ~x.rlike(r"\|\s*від\s")), 0)
+    return F.when(title.rlike(r"(?:\.\.\.|…)$") & (F.length(start) >= 12), F.coalesce(whole, title)).otherwise(title)

@@ -168,18 +168,18 @@ def bm25_topk(spark, sf):
     return search.top(rows, 20, F.desc("score"), F.col("doc_id"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN p_partkey::VARCHAR = 'part 12' THEN 10000.0 WHEN contains(p_partkey::VARCHAR, 'part 12') THEN 5000.0
-WHEN contains(lower(p_name), 'part 12') THEN 2000.0 + 7.0::DOUBLE / greatest(length(p_name), 1)
-ELSE (contains(lower(p_name), 'part') OR contains(p_partkey::VARCHAR, 'part'))::INT + (contains(lower(p_name), '12') OR contains(p_partkey::VARCHAR, '12'))::INT END::DOUBLE AS score FROM part)
+@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN p_partkey::VARCHAR = 'blue bolt' THEN 10000.0 WHEN contains(p_partkey::VARCHAR, 'blue bolt') THEN 5000.0
+WHEN contains(lower(p_name), 'blue bolt') THEN 2000.0 + 9.0::DOUBLE / greatest(length(p_name), 1)
+ELSE (contains(lower(p_name), 'blue') OR contains(p_partkey::VARCHAR, 'blue'))::INT + (contains(lower(p_name), 'bolt') OR contains(p_partkey::VARCHAR, 'bolt'))::INT END::DOUBLE AS score FROM part)
 SELECT p_partkey, p_name, round(score, 6) AS score FROM s WHERE score > 0""")
 def catalogue_rank(spark, sf):
-    score = search.catalogue_score(F.col("p_partkey"), F.col("p_name"), "part 12")
+    score = search.catalogue_score(F.col("p_partkey"), F.col("p_name"), "blue bolt")
     return table(spark, sf, "part").select("p_partkey", "p_name", F.round(score, 6).alias("score")).where("score > 0")
 
 
-@query("""SELECT p_partkey, contains(p_partkey::VARCHAR, 'part 12') OR contains(lower(p_name), 'part 12') OR contains(lower(p_name), 'part') AS is_confident FROM part""")
+@query("""SELECT p_partkey, contains(p_partkey::VARCHAR, 'blue bolt') OR contains(lower(p_name), 'blue bolt') OR (contains(lower(p_name), 'blue') AND contains(lower(p_name), 'bolt')) AS is_confident FROM part""")
 def confident_match(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", search.confident(F.col("p_partkey"), F.col("p_name"), "part 12").alias("is_confident"))
+    return table(spark, sf, "part").select("p_partkey", search.confident(F.col("p_partkey"), F.col("p_name"), "blue bolt").alias("is_confident"))
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), e AS (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM l),
