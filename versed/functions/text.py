@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ QUOTE_RULES = ("whitespace", "quotes", "apostrophes", "dashes", "soft_hyphen", "
 QUOTE_LEAST = 15
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for a row, however often f uses it; the planner doesn't share work between branches."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends are trimmed."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
@@ -67,16 +74,22 @@ def hits(of_words: Column, token: str) -> Column:
     return F.size(F.filter(of_words, lambda w: w.startswith(start) if prefix else w == start))
 
 
+#: White space of any kind, as the inside of a character class.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def n_space_words(text: Column) -> Column:
     """Words between white space, 1 at least."""
-    return F.greatest(F.lit(1), F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")))
+    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^{BLANK}]+")))
 
 
 def density(text: Column, tokens: list[str]) -> Column:
     """Hits per 1000 words, summed over the tokens; 0 unless every token hits."""
-    size, found = n_space_words(text), [hits(words(text), t) for t in tokens]
-    total = sum((h * F.lit(1000.0) / size for h in found), F.lit(0.0))
-    return F.when(F.least(*found, F.lit(1 << 30)) > 0, total).otherwise(0.0)
+    def scored(found: Column, size: Column) -> Column:
+        return sum((F.get(found, k) * F.lit(1000.0) / size for k in range(len(tokens))), F.lit(0.0))
+
+    counted = let(words(text), lambda w: F.array(*(hits(w, t) for t in tokens)))
+    return let(counted, lambda c: F.when(F.array_min(c) > 0, let(n_space_words(text), lambda n: scored(c, n))).otherwise(0.0))
 
 
 def normal_quote(text: Column, rules: tuple[str, ...] = QUOTE_RULES) -> Column:
@@ -139,23 +152,21 @@ def any_of(text: Column, markers: tuple[str, ...]) -> Column:
 
 def stub_kind(text: Column, shortest: int | None = SHORT, extra: tuple[str, ...] = ()) -> Column:
     """Why a text is no document: its kind, or `none`."""
-    body = strip(F.coalesce(text, F.lit("")))
-    low = F.lower(body)
-    lines = F.transform(F.split(body, r"\R"), strip)
-    full = F.filter(lines, lambda x: x != "")
-    prose = F.size(F.filter(lines, lambda x: F.length(x) > PROSE))
-    listed = F.size(F.filter(full, lambda x: x.rlike(r"^\s*(?:\d{1,3}[.)]|[-—•*])\s+\S")))
-    kind = F.when(body == "", "empty")
-    if extra:
-        kind = kind.when(any_of(low, tuple(m.lower() for m in extra)), "antibot_challenge")
-    kind = (
-        kind.when(any_of(low, ANTIBOT), "antibot_challenge").when(any_of(low, ACCESS_DENIED), "access_denied").when(any_of(low, ERRORS), "error_page")
-        .when(any_of(low, CONTENTS) & (prose == 0), "table_of_contents")
-        .when((F.size(full) >= 8) & (listed >= 8) & (listed / F.greatest(F.lit(1), F.size(full)) >= 0.7) & (prose == 0), "table_of_contents")
-    )
-    if shortest is not None:
-        kind = kind.when(F.length(body) < shortest, "too_short")
-    return kind.otherwise("none")
+    def by_shape(body: Column, low: Column, lines: Column) -> Column:
+        full = F.size(F.filter(lines, lambda x: x != ""))
+        prose = F.exists(lines, lambda x: F.length(x) > PROSE)
+        listed = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(?:\d{1,3}[.)]|[-—•*])\s+\S")))
+        kind = F.when(~prose & (any_of(low, CONTENTS) | ((full >= 8) & (listed >= 8) & (listed / F.greatest(F.lit(1), full) >= 0.7))), "table_of_contents")
+        return (kind if shortest is None else kind.when(F.length(body) < shortest, "too_short")).otherwise("none")
+
+    def by_marker(body: Column, low: Column) -> Column:
+        kind = F.when(body == "", "empty")
+        if extra:
+            kind = kind.when(any_of(low, tuple(m.lower() for m in extra)), "antibot_challenge")
+        kind = kind.when(any_of(low, ANTIBOT), "antibot_challenge").when(any_of(low, ACCESS_DENIED), "access_denied").when(any_of(low, ERRORS), "error_page")
+        return kind.otherwise(let(F.transform(F.split(body, r"\R"), strip), lambda lines: by_shape(body, low, lines)))
+
+    return let(strip(F.coalesce(text, F.lit(""))), lambda body: let(F.lower(body), lambda low: by_marker(body, low)))
 
 
 # Words that make a requisite line a bylaw's.

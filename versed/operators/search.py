@@ -26,9 +26,8 @@ def by_density(units: DataFrame, key: str, text: str, tokens: list[str]) -> Data
 
 def token_hits(units: DataFrame, key: str, text: str, tokens: list[str]) -> DataFrame:
     """key, token and hits, for tokens that hit."""
-    found = units.select(key, T.words(F.col(text)).alias("w"))
-    each = F.array(*(F.struct(F.lit(t).alias("token"), T.hits(F.col("w"), t).cast("long").alias("hits")) for t in tokens))
-    return found.select(key, F.inline(each)).where("hits > 0")
+    each = T.let(T.words(F.col(text)), lambda w: F.array(*(F.struct(F.lit(t).alias("token"), T.hits(w, t).cast("long").alias("hits")) for t in tokens)))
+    return units.select(key, F.inline(each)).where("hits > 0")
 
 
 def terms_search(units: DataFrame, key: str, text: str, tokens: list[str], every: bool) -> DataFrame:
