@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from versed.llm.common import bounded_batches, whole_text
 
 #: Pieces whose ids a worker keeps; the cache starts anew beyond that, which bounds memory and changes no result.
-CACHE = 600_000
+CACHE = 400_000
+#: Texts whose pieces a worker holds at once.
+AT_ONCE = 128
 NONE = 1 << 62
 
 
@@ -202,7 +204,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(data, pattern)
         for batch in batches:
-            ids = of(batch.column("text").to_pylist())
+            some = batch.column("text").to_pylist()
+            ids = [x for k in range(0, len(some), AT_ONCE) for x in of(some[k : k + AT_ONCE])]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), type=pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), flat)
