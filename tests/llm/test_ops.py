@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from versed.llm import audio, bpe, gam, lm, mixing, neardup, rules, secrets, toxicity, urls
+from versed.llm.common import Scratch
 from versed.llm.queries import QUERIES, ranks_and_pattern
 from versed.llm.textstats import NAMES, stats
 
@@ -354,7 +355,7 @@ def test_probminhash_estimates_probability_jaccard():
 def test_components(spark):
     r = random.Random(1)
     edges = [(a, a + 1) for a in range(0, 40) if a % 7] + [(r.randint(100, 130), r.randint(100, 130)) for _ in range(40)]
-    got = {x["id"]: x["component"] for x in neardup.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    got = {x["id"]: x["component"] for x in neardup.components(spark.createDataFrame(edges, "x long, y long"), Scratch(spark)).collect()}
     up = {}
     for a, b in edges:
         if a != b:

@@ -32,12 +32,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+class Scratch:
+    """Tables in the shared folder that one piece of work needs until its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write `df` as a table and read it again: later steps neither repeat its work nor depend on the executors that did it."""
+        path = f"{shared_folder(self.spark)}/cut-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables; only what has been written elsewhere may be used afterwards."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        while self.paths:
+            path = hadoop(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: later steps neither repeat its work nor depend on the executors that did it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write `df` as a table in the shared folder, where it stays, and read it again."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 def whole_text(text: str = "text") -> F.Column:
