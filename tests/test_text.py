@@ -111,3 +111,11 @@ def test_real_title(spark):
     assert one(spark, "Документ 5\nПро лікарські засоби | від 04.04.1996 № 123 (Текст)", T.real_title) == "Про лікарські засоби"
     assert one(spark, "Про затвердження порядку...\nx\nПро затвердження порядку видачі", T.real_title) == "Про затвердження порядку видачі"
     assert one(spark, None, T.real_title) == ""
+
+
+def test_every_kind_of_space(spark):
+    spaces = "\u00a0\u202f\u2007\u2009\u2008\u2005\u2002\u2003\u2004\u2006"
+    assert one(spark, f"a{spaces}b\u200a\u3000\u0085c", T.normal_quote) == "a b c"
+    words = "перше слово третє"
+    assert P.match_quote("перше\u00a0слово\u2009третє", words)[0][3] == "nbsp"
+    assert P.match_quote("перше\u3000слово третє", words)[0][3] == "whitespace"

@@ -21,7 +21,7 @@ APOSTROPHES = "‘’‚‛′‵ʼ´`"
 DASHES = "‐‑‒–—―−"
 SOFT_HYPHEN = "­"
 INVISIBLE = "​‌‍﻿"
-SPACES = "            　"
+SPACES = "\u00a0\u202f\u2007\u2009\u2008\u2005\u2002\u2003\u2004\u2006"
 QUOTE_RULES = ("whitespace", "quotes", "apostrophes", "dashes", "soft_hyphen", "invisible", "nbsp")
 QUOTE_LEAST = 15
 
@@ -102,7 +102,7 @@ def normal_quote(text: Column, rules: tuple[str, ...] = QUOTE_RULES) -> Column:
         if rule in rules:
             text = F.translate(text, chars, to * len(chars))
     if "whitespace" in rules:
-        text = F.trim(F.regexp_replace(text, r"[\x00-\x20\x7f\x85  ]+", " "))
+        text = F.trim(F.regexp_replace(text, r"[\x00-\x20\x7f\x85\u1680\u200a\u2028\u2029\u205f\u3000]+", " "))
     return text
 
 
