@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -280,6 +281,40 @@ def test_lm_counts_are_exact(spark):
     assert (n[0][0][a], n[0][0][b], n[0][a][b], n[0][b][a], n[0].sum()) == (2, 1, 2, 1, 6) and n[1].sum() == 3
 
 
+def slow_difference(texts, chosen):
+    """Target and background loss of each text by the formulas of the module, over dictionaries of all tokens."""
+    rows = [["", *("<number>" if w.isdecimal() else w for w in lm.tokens(t or ""))] for t in texts]
+    models = [(Counter(p for r in part for p in zip(r[:-1], r[1:], strict=True)), Counter(w for r in part for w in r[:-1]), Counter(w for r in part for w in r[1:])) for part in ([rows[k] for k in chosen], rows)]
+    types = len(models[1][2])
+    scale = sum(models[0][2].values()) / sum(models[1][2].values()) or 1.0
+
+    def loss(model, by, a, b):
+        pairs, before, ones = model
+        one = (ones[b] * by + lm.UNIFORM) / (sum(ones.values()) * by + lm.UNIFORM * types)
+        return -math.log((pairs[a, b] * by + lm.BEHIND * one) / (before[a] * by + lm.BEHIND))
+
+    return [[sum(loss(m, by, a, b) for a, b in zip(r[:-1], r[1:], strict=True)) / max(1, len(r) - 1) for m, by in zip(models, (1.0, scale), strict=True)] for r in rows]
+
+
+def test_lm_difference_counts_every_token(spark, monkeypatch, odd, none):
+    rare = [f"w{k} x{k} y{k % 7} . 12" for k in range(1500)]  # more than 3,000 distinct tokens
+    texts = [*rare, "x1 w1 w2 w2", "w2 w2 w1 x1", None, "", rare[3], " ".join(rare[:200])]
+    docs, chosen = frame(spark, texts), [0, 3, 1500, 1502]
+    target = spark.createDataFrame([(k,) for k in [*chosen, 3, 99_999, None]], "doc_id long")
+    want = slow_difference(texts, chosen)
+    for chunk, keys in ((lm.CHUNK, lm.RANGE), (50, 100)):
+        monkeypatch.setattr(lm, "CHUNK", chunk)
+        monkeypatch.setattr(lm, "RANGE", keys)
+        got = {r["doc_id"]: r for r in lm.difference(docs.repartition(3, "doc_id"), target).collect()}
+        assert sorted(got) == list(range(len(texts)))
+        for k, (mine, ground) in enumerate(want):
+            assert abs(got[k]["target_loss"] - mine) < 1e-9 and abs(got[k]["background_loss"] - ground) < 1e-9 and got[k]["n_tokens"] == len(lm.tokens(texts[k] or ""))
+    assert got[0]["score"] < got[1]["score"] - 0.1  # of rare words alone, one of the target and one not
+    edge = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm.difference(odd, spark.range(0).toDF("doc_id")).collect()}
+    assert edge[0] == edge[1] == edge[3] == (0, 0.0) and edge[4] == edge[7]
+    assert lm.difference(none, target).count() == 0
+
+
 # --- near-duplicates ---
 
 

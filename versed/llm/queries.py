@@ -161,8 +161,7 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     target = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold() != 0)).select("doc_id")
-    words = lm.vocabulary(docs)
-    return lm.score(docs, words, lm.models(lm.counts(docs, words, target)))
+    return lm.difference(docs, target)
 
 
 @query
