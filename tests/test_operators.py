@@ -36,6 +36,18 @@ def test_and_or(spark):
     assert rows(search.and_or_search(d, "k", "t", ["alpha", "gamma"]), "k") == [(1,), (2,)]
 
 
+def test_inverted_index_has_every_language(spark, tmp_path):
+    from collections import Counter
+    import re
+
+    from versed.plans import catalog
+
+    texts = [(1, "Das Haus, das 12", "de"), (2, "the house the", "en"), (3, "l'été à Paris", "fr"), (4, "años y años", "es"), (5, "no language", None), (6, "", "en"), (7, None, "fr")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((w, k, "body") for k, t, _ in texts for w in re.findall(r"[^\W_]+", (t or "").lower()))
+    assert rows(catalog.inverted_index_all(spark, str(tmp_path)), "term", "doc_id", "field", "tf") == sorted((*x, n) for x, n in want.items())
+
+
 def test_catalogue_scores(spark):
     d = spark.createDataFrame([("254/80", "Закон про мову"), ("1254/80", "Інше"), ("7", "мова і закон")], "i string, t string")
     def score(q):

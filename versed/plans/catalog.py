@@ -155,9 +155,16 @@ def postings_df(spark, sf):
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang = 'de')
 SELECT term, doc_id, 'body' AS field, count(*) AS tf FROM t GROUP BY term, doc_id""")
 def inverted_index(spark, sf):
+    """The postings of the German documents; inverted_index_all has those of every document."""
     return search.postings(table(spark, sf, "documents").where("lang = 'de'"), "doc_id", body="text")
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)
+SELECT term, doc_id, 'body' AS field, count(*) AS tf FROM t GROUP BY term, doc_id""")
+def inverted_index_all(spark, sf):
+    return search.postings(table(spark, sf, "documents"), "doc_id", body="text")
+
+
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
 c AS (SELECT doc_id, len(ws)::DOUBLE AS n, len(list_filter(ws, lambda w: w = 'the'))::DOUBLE AS a, len(list_filter(ws, lambda w: starts_with(w, 'thing')))::DOUBLE AS b FROM d),
 s AS (SELECT count(*)::DOUBLE AS units, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
