@@ -57,6 +57,33 @@ def test_units():
     assert markup.units(None) == [] and markup.units("<div id='art_1'") == []
 
 
+def test_units_without_ids_of_articles():
+    statute = "<div><p class='ti-art'>Article 23</p><p>One</p><p>two</p><p class='ti-art'>Article 23a (new)</p><p>Three</p></div>"
+    assert markup.units(statute) == [("art_23", "article", "One two"), ("art_23a", "article", "Three")]
+    cells = "<table><tr><td><p>5.</p></td><td><p>Write clearly</p></td></tr></table>"
+    assert markup.units(cells) == [("point_5", "practice", "Write clearly")]
+    assert markup.units(cells + "<p>Article 1</p>") == [] and [u for u, _, _ in markup.units(cells + "<p id='art_1'>x</p>")] == ["art_1"]
+    old = "<div id='TexteOnly'><p>1 before</p><a name='MO'/><p>1 First<p>1968 Convention provides</p><p>3 no</p><p>2 Second</p><h2><a name='CO'/></h2><p>3 Costs</p></div>"
+    assert [(u, t) for u, _, t in markup.units(old)] == [("point_1", "First"), ("point_2", "Second"), ("point_3", "Costs")]
+
+
+def test_titles_judgments_and_notices():
+    page = "<body><p class='oj-doc-ti'><span class='oj-bold'>REGULATION</span> X</p><p class='oj-doc-ti'>of 27 April</p><p class='oj-doc-ti'>more</p><div id='judgment'>Held  so</div></body>"
+    assert markup.act_title(page) == "REGULATION X of 27 April" and markup.act_title("<p>x</p>") == "" and markup.act_title(None) == ""
+    assert len(markup.act_title(f"<p class='oj-ti-tbl'>{'x' * 400}</p><p class='oj-ti-tbl'>y</p>")) == 300
+    assert markup.judgment_text(page) == "Held so" and markup.judgment_text("a<body>b</body>") == "b" and markup.judgment_text("a <i>b</i>") == "a b" and markup.judgment_text(None) == ""
+    uri = "<SAMEAS><URI><TYPE>{}</TYPE><IDENTIFIER>{}</IDENTIFIER></URI></SAMEAS>".format
+    notice = f"<NOTICE><WORK><R>{uri('celex', ' 1 ')}</R><R>{uri('consolidation', '2')}</R><S>{uri('celex', '3')}<WORK><R>{uri('celex', '4')}</R></WORK></S></WORK></NOTICE>"
+    assert markup.notice_links(notice, "R") == ["1"] and markup.notice_links("<NOTICE><WORK/></NOTICE>", "R") == []
+    assert markup.notice_links("<html/>", "R") is None and markup.notice_links(None, "R") is None
+
+
+def test_practice_points_are_found_by_number(spark):
+    table = markup.unit_table(spark.createDataFrame([(1, "<table><tr><td><p>5.</p></td><td>Write</td></tr></table>")], "k int, h string"), "k", "h")
+    asked = spark.createDataFrame([(1, "5"), (1, "point 5"), (1, "6")], "k int, l string")
+    assert {r["l"]: r["status"] for r in markup.find(table, "k", asked, "l").collect()} == {"5": "ok", "point 5": "ok", "6": "path_not_found"}
+
+
 def test_unit_lookup(spark):
     table = markup.unit_table(spark.createDataFrame([(1, PAGE), (2, None)], "k int, h string"), "k", "h")
     asked = spark.createDataFrame([(1, "5"), (1, "5(1)(A)"), (1, "annex 2"), (1, "9"), (2, "5")], "k int, l string")

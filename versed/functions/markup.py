@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versed.functions.python import flat
 
+HEADING = re.compile(r"(?i)article\s+\d+[a-z]?$")
+#: Classes of an act's title, and how many lines of each make one.
+TITLES = {"oj-doc-ti": 2, "title-doc-first": 2, "doc-ti": 2, "oj-ti-tbl": 1}
 VOID = frozenset(("br", "img", "meta", "link", "input", "hr", "col", "area", "base", "wbr"))
 
 
@@ -45,6 +49,8 @@ class Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag == "p" and self.at.tag == "p":  # a paragraph that wasn't closed
+            self.at = self.at.up
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -70,15 +76,21 @@ def within(node: Node, tag: str) -> Node | None:
     return node
 
 
+def parsed(markup: str | None) -> Node:
+    tree = Tree()
+    tree.feed(markup or "")
+    tree.close()
+    return tree.root
+
+
 def units(markup: str | None) -> list[tuple[str, str, str]]:
     """(unit_id, kind, text) of a page; of equal ids the first counts.
 
-    Kinds: article, annex, paragraph and subpoint of acts; point of judgments. Paragraphs are art_N.M, whether the page
+    Kinds: article, annex, paragraph and subpoint of acts; point of judgments; practice, a numbered cell of practice
+    directions, on pages without articles. Headings 'Article N' count on pages without ids of articles. Paragraphs are art_N.M, whether the page
     numbers them by id (NNN.MMM) or by a marker span; sub-points add their letter in brackets.
     """
-    tree = Tree()
-    tree.feed(markup or "")
-    tree.close()
+    root = parsed(markup)
     out: dict[str, tuple[str, str, str]] = {}
 
     def add(unit: str, kind: str, text: str) -> None:
@@ -94,7 +106,8 @@ def units(markup: str | None) -> list[tuple[str, str, str]]:
                 add(f"{unit}({m[1].lower()})", "subpoint", cells[1].text())
 
     article = ""
-    for n in list(tree.root.walk()):
+    nodes = list(root.walk())
+    for n in nodes:
         unit = n.attrs.get("id") or n.attrs.get("eid") or ""
         if re.fullmatch(r"art_?\d+[A-Za-z]?", unit):
             article = "art_" + unit.removeprefix("art").lstrip("_").lower()
@@ -120,9 +133,88 @@ def units(markup: str | None) -> list[tuple[str, str, str]]:
                 name = f"{article}.{int(m[1])}"
                 add(name, "paragraph", inner.text() if inner else n.text().removeprefix(marks[0].text()).strip())
                 subpoints(n, name)
+
+    if not any(n.attrs.get("id", "").startswith("art_") for n in nodes):
+        headings = [n for n in nodes if n.tag == "p" and n.has("ti-art")]
+        for n in headings:
+            if m := re.match(r"Article (\w+)(?: |$)", n.text()):
+                add("art_" + m[1].lower(), "article", after(n))
+        if not headings and not divided(nodes):
+            for n in nodes:
+                if n.tag == "p" and (within(n, "td") or "oj-normal" in n.attrs.get("class", "")) and (m := re.fullmatch(r"(\d+)\.", n.text())):
+                    row = within(n, "tr")
+                    cells = [c for c in row.children if isinstance(c, Node) and c.tag == "td"] if row else []
+                    if len(cells) >= 2:
+                        add(f"point_{m[1]}", "practice", cells[-1].text())
+    if any(n.tag == "div" and n.attrs.get("id") == "TexteOnly" for n in nodes):
+        expected, grounds = 1, False
+        for n in nodes:
+            if (n.attrs.get("name") or n.attrs.get("id")) == "MO":
+                grounds = True
+            elif grounds and n.tag == "p" and (m := re.match(r"(\d{1,4})(?!\.)\s+(.+)$", n.text())) and int(m[1]) == expected:
+                add(f"point_{expected}", "point", m[2])
+                expected += 1
     return list(out.values())
 
 
+def divided(nodes: list[Node]) -> bool:
+    """Whether a page has headings of articles, by class or text; then a cell 'N.' is no unit."""
+    return any(n.tag == "p" and (any(map(n.has, ("oj-ti-art", "ti-art", "title-article-norm"))) or HEADING.match(n.text())) for n in nodes)
+
+
+def after(heading: Node) -> str:
+    """Text of what follows a heading up to the next one."""
+    around, parts = [c for c in heading.up.children if isinstance(c, Node)], []
+    for n in around[next(k for k, c in enumerate(around) if c is heading) + 1 :]:
+        if "ti-art" in n.attrs.get("class", ""):
+            break
+        parts.append(n.text())
+    return " ".join(filter(None, parts))
+
+
+def act_title(markup: str | None) -> str:
+    """The first group of title lines of one class, at most 300 characters; empty if there is none."""
+    found, wanted = [], ""
+    for n in parsed(markup).walk():
+        name = next((c for c in n.attrs.get("class", "").split() if c in TITLES), "")
+        if not name:
+            continue
+        if wanted and name != wanted:
+            break
+        if text := n.text():
+            wanted = name
+            found.append(text)
+            if len(found) >= TITLES[name]:
+                break
+    return " ".join(found)[:300].strip()
+
+
+def judgment_text(markup: str | None) -> str:
+    """Text of #judgment, else of the body, else of the whole page."""
+    nodes = list(parsed(markup).walk())
+    for found in (next((n for n in nodes if n.attrs.get("id") == "judgment"), None), next((n for n in nodes if n.tag == "body"), None)):
+        if found and (text := found.text()):
+            return text
+    return nodes[0].text()
+
+
+def notice_links(xml: str | None, relation: str) -> list[str] | None:
+    """Ids of type celex of NOTICE/WORK/`relation`/SAMEAS/URI; None if it is no notice."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return None
+    if root.tag != "NOTICE" or root.find("WORK") is None:
+        return None
+    links = root.iterfind(f"WORK/{relation}/SAMEAS/URI")
+    return [name for u in links if (name := (u.findtext("IDENTIFIER") or "").strip()) and u.findtext("TYPE") == "celex"]
+
+
+def page_texts(pages: DataFrame, key: str, markup: str) -> DataFrame:
+    """key, title (of an act) and text (of a judgment) of all pages."""
+    return flat(pages, [key], [markup], "title string, text string", lambda x: [(act_title(x), judgment_text(x))])
+
+
 def unit_table(pages: DataFrame, key: str, markup: str) -> DataFrame:
     """key, unit_id, kind and text of all units of all pages."""
     return flat(pages, [key], [markup], "unit_id string, kind string, text string", units)
@@ -138,5 +230,6 @@ def find(table: DataFrame, key: str, asked: DataFrame, locator: str) -> DataFram
         F.concat(F.lit("art_"), parts["article"], F.when(parts["para"].isNotNull(), F.concat(F.lit("."), parts["para"])).otherwise(""), F.when(parts["sub"].isNotNull(), F.concat(F.lit("("), parts["sub"], F.lit(")"))).otherwise("")),
         F.regexp_replace(F.trim(F.col(locator)), r"^point\s*", "point_"),
     )
-    found = asked.withColumn("unit_id", unit).join(table.withColumn("__found", F.lit(True)), [key, "unit_id"], "left")
+    practice = table.where("kind = 'practice'").withColumn("unit_id", F.regexp_replace("unit_id", "^point_", "art_"))  # asked for as N
+    found = asked.withColumn("unit_id", unit).join(table.unionByName(practice).withColumn("__found", F.lit(True)), [key, "unit_id"], "left")
     return found.withColumn("status", F.when(F.col("__found"), "ok").otherwise("path_not_found")).drop("__found")
