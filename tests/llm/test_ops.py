@@ -318,11 +318,18 @@ def test_lm_difference_counts_every_token(spark, monkeypatch, odd, none):
 # --- near-duplicates ---
 
 
-def slow_classes(texts):
-    sets = []
+def slow_probability(a, b):
+    """Probability Jaccard similarity of two bags, by its definition."""
+    x, y = ({k: 1 + math.log(n) for k, n in c.items()} for c in (a, b))
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in set(x) & set(y))
+
+
+def slow_classes(texts, similar=0.8):
+    bags = []
     for t in texts:
         w = re.findall(r"\w+", (t or "").lower())
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {("text", t or "")})
+        bags.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter([("text", t or "")]))
     up = list(range(len(texts)))
 
     def find(x):
@@ -332,7 +339,8 @@ def slow_classes(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+            plain = len(bags[i].keys() & bags[j].keys()) / len(bags[i].keys() | bags[j].keys())
+            if plain >= similar or (max(*bags[i].values(), *bags[j].values()) > 1 and plain > 0.4 and slow_probability(bags[i], bags[j]) >= similar):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     return [find(k) for k in range(len(texts))]
@@ -347,6 +355,8 @@ def near_texts():
             copy = list(base)
             for _ in range(r.choice([0, 1, 1, 2, 4])):
                 copy[r.randint(0, len(copy) - 1)] = f"x{r.randint(0, 9999)}"
+            if r.random() < 0.3:  # shingles that repeat
+                copy += base[: r.randint(5, 25)] * r.randint(1, 6)
             texts.append(" ".join(copy))
     r.shuffle(texts)
     return texts
@@ -360,19 +370,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == set(slow_classes(texts))
 
 
-def test_near_duplicates_split_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", 4)
-    texts = near_texts()
+def test_near_duplicates_of_a_group_without_a_centre(spark):
+    """Documents that share a bucket but few links: none may be lost, and pairs that are ruled out make no rows."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(400):
+        copy = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4])):
+            copy[at] = f"x{k}y{at}"
+        texts.append(" ".join(copy))
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == slow_classes(texts)
 
 
 def test_near_duplicates_without_ids_and_rows(spark, none):
-    rows = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "g h i j k l"), (8, "m n")], "doc_id long, text string")
-    got = sorted((r["doc_id"] or -1, r["class_id"] if r["class_id"] >= 0 else -1) for r in neardup.classes(rows).collect())
-    # the least of a class that holds a row without an id is that row's stand-in
-    assert got == [(-1, -1), (-1, -1), (7, -1), (7, -1), (8, 8)]
-    assert neardup.classes(none).count() == 0 and neardup.keep_one(none).count() == 0
+    text = [f"w{k}" for k in range(60)]
+    other = [*text[:30], "changed", *text[31:]]
+    rows = spark.createDataFrame([
+        (None, "a b c d e f", "x"), (7, "a b c d e f", "x"), (7, "a b c d e f", "y"), (None, "g h i j k l", "x"), (None, "g h i j k l", "x"), (7, "something else with this id", "x"), (8, "m n", "x"),
+        (9, " ".join(text), "x"), (None, " ".join(other), "x"), (None, " ".join([*other, "end"]), "x"), (None, None, "x"), (None, "", "x"),
+    ], "doc_id long, text string, key string")
+    got = Counter((r["doc_id"], r["class_id"] if r["class_id"] >= 0 else -1) for r in neardup.classes(rows).collect())
+    assert got == {(None, 7): 1, (7, 7): 3, (None, -1): 4, (8, 8): 1, (9, 9): 1, (None, 9): 2}
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["key"]) for r in neardup.keep_one(rows).collect())
+    assert kept == [(0, "", "x"), (0, "g h i j k l", "x"), (7, "a b c d e f", "x"), (7, "something else with this id", "x"), (8, "m n", "x"), (9, " ".join(text), "x")]
+    assert neardup.keep_one(rows).columns == rows.columns
+    assert neardup.classes(none).count() == 0 and neardup.keep_one(none).count() == 0 and neardup.keep_one(none).columns == none.columns
 
 
 def test_probminhash_estimates_probability_jaccard():

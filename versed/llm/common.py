@@ -17,27 +17,35 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches, so that a worker's memory doesn't grow with the length of documents."""
+    """Bound the Arrow batches of this session from now on, so that a worker's memory doesn't grow with the length of documents. Spark reads these settings when a plan runs, so they can't be put back before."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in this process, as in tests."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 class Scratch:
-    """Tables in the shared folder that one piece of work needs until its end."""
+    """Tables in the shared folder that one piece of work needs until its end; as a context they go at its end, also if it fails."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def cut(self, df: DataFrame) -> DataFrame:
         """Write `df` as a table and read it again: later steps neither repeat its work nor depend on the executors that did it."""
         path = f"{shared_folder(self.spark)}/cut-{uuid.uuid4().hex}"

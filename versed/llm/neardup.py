@@ -6,13 +6,13 @@ signature; a component keeps the shingle that arrives first, so two documents ag
 probability Jaccard similarity. A shingle's process ends as soon as it is later than all components of its document.
 
 Bands of components make buckets, and candidates are compared on their shingles:
- 1. Equal texts are one: a member list carries them, and only one row of each enters the buckets.
- 2. In each bucket all documents are compared with the one of least id. Links make components.
+ 1. Equal texts (by a hash of 128 bits) are one: a member list carries them, and one of each enters the buckets.
+ 2. In each bucket all documents are compared with its most central one, that whose other buckets hold most documents:
+    in a group of copies, that is the one nearest to the original. Links make components, and a group of n copies needs
+    about n comparisons, not n squared.
  3. In buckets that still hold several components, the pairs across components are compared, unless what is known of
-    both against the bucket's first document rules them out, with certainty: the triangle inequality (both distances are
-    metrics), and the most shingles that the two can share, which is the lesser of what each shares with that document
-    plus what their other shingles can have in common by a bitmap of those. Buckets with more than HOT documents are
-    first split by a second band. So a group of n copies of one text makes about n comparisons, not n squared.
+    both against the central document rules them out, with certainty (see `across`). Pairs that are ruled out make no rows.
+Every pair that shares a bucket is either compared, or ruled out, or in one component already, whatever the bucket's size.
 Two documents are linked if the plain or the probability Jaccard similarity of their shingles is SIMILAR or more.
 Classes are the connected components, found by alternating large and small stars in tables.
 
@@ -20,9 +20,10 @@ Rows are aggregated before they are shuffled, joins on hot keys are plain equi-j
 links reach the driver, and each step is cut by a table in the shared folder.
 
 Defined cases: a null text counts as empty; texts without words are linked only to equal texts; a text of one to four
-words is one shingle; whole texts count; a null doc_id stands for itself as a negative number made from its text, and
-keeps null as doc_id; keep_one() keeps one such row of each text; rows that repeat are members of one class; texts that share a doc_id are taken as one document; an
-empty table gives an empty result; other columns are ignored by classes() and kept by keep_one().
+words is one shingle; whole texts count; texts that share a doc_id are documents of their own, as are those without one;
+a class of documents without any id has a negative number made from its least hash; rows that repeat are members of one
+class; an empty table gives an empty result; other columns are ignored by classes() and kept by keep_one(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 from versed.llm.common import Scratch, bounded_batches, cut, texts, whole_text
 
 WORDS, SIMILAR = 5, 0.8
-#: Bands, components in each, and the size from which a bucket is split by a second band, SECOND of them in turn.
-BANDS, ROWS, HOT, SECOND = 32, 5, 64, 4
+#: Bands, and components in each.
+BANDS, ROWS = 32, 5
 COMPONENTS = BANDS * ROWS
-#: 64-bit words of the bitmap of the shingles that a document doesn't share with the first of its bucket.
+#: 64-bit words of the bitmaps of the shingles that only one of a document and its bucket's central one has.
 BITMAP = 16
 
+FACTS = ("js", "jp", "size", "weight", "shares", "whole", "more", "less")
 WORD = re.compile(r"\w+").findall
 BITS = 54  # of a shingle; the rest of a number holds the document's place in its batch
 
@@ -129,13 +131,13 @@ def bands(kept: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float, int, np.ndarray]:
-    """Plain and probability Jaccard similarity of two sorted lists of distinct shingles with occurrences, how many they share, and which of a they don't."""
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float, int, np.ndarray, np.ndarray]:
+    """Plain and probability Jaccard similarity of two sorted lists of distinct shingles with occurrences, how many they share, and which only a and only b has."""
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     plain = len(both) / max(1, len(a) + len(b) - len(both))
-    alone = np.delete(a, ia)
+    alone = np.delete(a, ia), np.delete(b, ib)
     if len(both) == 0 or (wa.max() == 1 and wb.max() == 1):
-        return plain, plain, len(both), alone
+        return plain, plain, len(both), *alone
     x, y = 1 + np.log(wa), 1 + np.log(wb)
     xs, ys = x[ia], y[ib]
     only_x, only_y = x.sum() - xs.sum(), y.sum() - ys.sum()
@@ -144,7 +146,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     below_y, upto = np.append(0, np.cumsum(ys[order])), np.append(0, np.cumsum(xs[order]))
     left = np.searchsorted(t[order], t, side="left")
     sums = only_x + (upto[-1] - upto[left]) + t * (only_y + below_y[left])
-    return plain, float((xs / sums).sum()), len(both), alone
+    return plain, float((xs / sums).sum()), len(both), *alone
 
 
 def bitmap(some: np.ndarray) -> np.ndarray:
@@ -155,10 +157,15 @@ def bitmap(some: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, id (never null), k1 and k2 (a hash of the text) and bands of every row."""
-    bounded_batches(docs.sparkSession)
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and key, the hash that tells texts apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """doc_id, key and bands of every row of `hashed`."""
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()
@@ -167,12 +174,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = bands(signatures(own, hashes, 1 + np.log(count), len(some)))
             has = np.bincount(own, minlength=len(some)) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * BANDS)), type=pa.int32()), pa.array(found[has].reshape(-1)))
-            digest = np.array([divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in some], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists], names=["doc_id", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists], names=["doc_id", "key", "bands"])
 
-    out = rows.mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
-    stand_in = -F.shiftrightunsigned("k1", 2) - F.lit(1 << 61)
-    return out.withColumn("id", F.coalesce("doc_id", stand_in))
+    return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def shingled(rows: DataFrame) -> DataFrame:
@@ -195,7 +199,7 @@ def shingled(rows: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, cand: DataFrame) -> DataFrame:
-    """x, y, both similarities of the pairs (x, y), and of x: size (distinct shingles), shares (with y), bits (of the others), plain (no shingle of either repeats)."""
+    """x, y and both similarities of the pairs (x, y); of x: size (distinct shingles), weight (of all its shingles), shares (with y), more (bitmap of the others); of y: whole (distinct shingles), less (bitmap of those that x hasn't)."""
     one = cand.select(F.col("id").alias("x"), F.col("sh").alias("a"), F.col("n").alias("m"))
     two = cand.select(F.col("id").alias("y"), F.col("sh").alias("b"), F.col("n").alias("o"))
 
@@ -207,14 +211,14 @@ def compared(pairs: DataFrame, cand: DataFrame) -> DataFrame:
                 values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
                 columns[name] = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
             found = [similarity(a.view(np.uint32), m, b.view(np.uint32), o) for a, m, b, o in zip(*columns.values(), strict=True)]
-            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(f[3]) for f in found] or [np.empty(0, dtype=np.int64)])), BITMAP).cast(pa.list_(pa.int64()))
             js, jp, shares = (np.array([f[k] for f in found], dtype=kind) for k, kind in ((0, float), (1, float), (2, np.int32)))
-            size = np.array([len(a) for a in columns["a"]], dtype=np.int32)
-            plain = np.array([m.max(initial=1) == 1 and o.max(initial=1) == 1 for m, o in zip(columns["m"], columns["o"], strict=True)], dtype=bool)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *map(pa.array, (js, jp, size, shares)), bits, pa.array(plain)], names=["x", "y", "js", "jp", "size", "shares", "bits", "plain"])
+            more, less = (pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(f[k]) for f in found] or [np.empty(0, dtype=np.int64)])), BITMAP).cast(pa.list_(pa.int64())) for k in (3, 4))
+            size, whole = (np.array([len(a) for a in columns[c]], dtype=np.int32) for c in "ab")
+            weight = np.array([len(m) + np.log(m).sum() for m in columns["m"]], dtype=float)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *map(pa.array, (js, jp, size, weight, shares, whole)), more, less], names=["x", "y", *FACTS])
 
     rows = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "m", "b", "o")
-    return rows.mapInArrow(run, "x long, y long, js double, jp double, size int, shares int, bits array<long>, plain boolean")
+    return rows.mapInArrow(run, "x long, y long, js double, jp double, size int, weight double, shares int, whole int, more array<long>, less array<long>")
 
 
 def linked() -> Column:
@@ -240,63 +244,72 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return found.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every row."""
-    scratch = Scratch(docs.sparkSession)
-    sketches = scratch.cut(sketched(docs, id_col, text_col))
-    groups = scratch.cut(sketches.groupBy("k1", "k2").agg(F.min("id").alias("rep")))  # a table, so that joins with it can split a hot text
-    members = sketches.select("doc_id", "k1", "k2").join(groups, ["k1", "k2"]).select("doc_id", "rep")
-    own = scratch.cut(sketches.where(F.size("bands") > 0).join(groups, ["k1", "k2"]).where("id = rep").select("id", "bands"))
-
-    buckets = own.select("id", F.explode("bands").alias("bucket"))
-    firsts = scratch.cut(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    shared = scratch.cut(buckets.join(firsts, "bucket"))
+def related(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """key, first (the least doc_id, null if none has one) and component of every distinct text."""
+    grouped = sketches.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    # the table fixes the numbers, which are in order of the keys however the rows are dealt out
+    groups = scratch.cut(grouped.repartitionByRange("key").sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id()))
+
+    buckets = groups.where(F.size("bands") > 0).select("id", F.explode("bands").alias("bucket"))
+    sizes = scratch.cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    shared = scratch.cut(buckets.join(sizes, "bucket"))
+    central = shared.groupBy("id").agg(F.sum("members").alias("rank"))
+    pivots = scratch.cut(shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", "rank").alias("pivot")))
+    shared = scratch.cut(shared.join(pivots, "bucket"))
     pairs = scratch.cut(shared.where("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).distinct())
-    needed = shared.select("id").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    if docs.schema[id_col].nullable:  # the stand-in of a null id needs the text's hash again
-        rows = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").union(unnamed(rows))
-    else:
-        rows = rows.select(F.col("doc_id").alias("id"), "text")
-    cand = scratch.cut(shingled(rows.join(needed, "id", "left_semi")))
-    seen = scratch.cut(compared(pairs, cand))  # x against the first document of a bucket
+
+    place = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("no"), F.col("doc_id").isNull().alias("nameless")]
+    rows = hashed(docs, id_col, text_col).select("key", *place, "text").groupBy("key", "no", "nameless").agg(F.first("text").alias("text"))
+    needed = groups.join(shared.select("id").distinct(), "id", "left_semi").withColumnRenamed("first", "doc_id").select("id", "key", *place)
+    cand = scratch.cut(shingled(rows.join(needed, ["key", "no", "nameless"]).select("id", "text")))
+    seen = scratch.cut(compared(pairs, cand))  # x against the central document of a bucket
 
     edges = seen.where(linked()).select("x", "y")
     parts = scratch.cut(components(edges, scratch))
-    more = scratch.cut(compared(across(own, shared, seen, parts, scratch), cand).where(linked()).select("x", "y"))
-    parts = components(edges.union(more), scratch).withColumnRenamed("id", "rep")
-    out = cut(members.join(parts, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id")))
-    scratch.clear()
-    return out
-
+    more = scratch.cut(compared(across(shared, seen, parts, scratch), cand).where(linked()).select("x", "y"))
+    parts = components(edges.union(more), scratch)
+    return groups.join(parts, "id", "left").select("key", "first", F.coalesce("component", "id").alias("component"))
 
-def unnamed(rows: DataFrame) -> DataFrame:
-    """id and text of the rows with a null doc_id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, some in texts(batches):
-            k1 = [xxhash.xxh3_128_intdigest(x) >> 64 for x in some]
-            yield pa.RecordBatch.from_arrays([pa.array([-(k >> 2) - (1 << 61) for k in k1], type=pa.int64()), batch.column("text")], names=["id", "text"])
-
-    return rows.where("doc_id is null").mapInArrow(run, "id long, text string")
-
-
-def across(own: DataFrame, shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of a bucket that are in different components and that the bucket's first document doesn't rule out."""
-    rows = shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    rows = scratch.cut(rows)
-    open_ = scratch.cut(rows.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket"))
-    rows = rows.join(open_, "bucket", "left_semi").where("size > 2")  # two were compared already
-    facts = ["js", "jp", "n", "shares", "bits", "plain"]
-    known = seen.select(F.col("x").alias("id"), F.col("y").alias("pivot"), "js", "jp", F.col("size").alias("n"), "shares", "bits", "plain")
-    rows = scratch.cut(rows.where("id <> pivot").join(known, ["id", "pivot"]))  # the first document has been compared with all
-    cold = rows.where(F.col("size") <= HOT).select("bucket", "id", "part", *facts)
-    hot = rows.where(F.col("size") > HOT).join(own, "id")
-    place = F.array_position("bands", F.col("bucket")).cast("int")
-    second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda k: F.xxhash64(F.col("bucket"), F.get(F.col("bands"), (place - 1 + k) % BANDS), k))
-    hot = hot.select(F.explode(second).alias("bucket"), "id", "part", *facts)
-    rows = scratch.cut(cold.union(hot))
-    left, right = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side in "xy")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id (the least doc_id of the class) of every row."""
+    with Scratch(docs.sparkSession) as scratch:
+        sketches = scratch.cut(sketched(hashed(docs, id_col, text_col)))
+        texts_ = scratch.cut(related(docs, sketches, id_col, text_col, scratch))
+        stand_in = -1 - F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long")
+        least = texts_.groupBy("component").agg(F.coalesce(F.min("first"), F.min(stand_in)).alias("class_id"))
+        named = scratch.cut(texts_.join(least, "component").select("key", "class_id"))  # a table, so that the join with it can split a hot text
+        return cut(sketches.select("doc_id", "key").join(named, "key").select("doc_id", "class_id"))
+
+
+def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of a bucket that are in different components and that the bucket's central document p doesn't rule out.
+
+    What rules out a pair (x, y), with certainty:
+     - 1 - similarity is a metric for both similarities, so x and y are too far apart if they differ much in that to p;
+     - x and y share at most as many of p's shingles as p has, less those that one of them lacks, and at most as many
+       others as their bitmaps agree in, so at most a fraction X of x's weight and Y of y's is shared; both similarities
+       are at most 1 / (1/X + 1/Y - 1) (the plain one with equal weights), so X and Y must both be SIMILAR at least, and
+       one of them 2 SIMILAR / (1 + SIMILAR). A shingle weighs 1 at least.
+    A bucket's largest component is never joined with itself, so what is tried grows with the pairs across components.
+    """
+    rows = scratch.cut(shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    mixed = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = scratch.cut(mixed.where("parts > 1").select("bucket", "main"))
+    def ones(c: Column) -> Column:
+        return sum((F.bit_count(F.get(c, F.lit(k))) for k in range(BITMAP)), F.lit(0))
+
+    # beside: elements beyond those that a bitmap tells apart; least_plain and so on: what must be shared, of one side
+    known = seen.select(
+        F.col("x").alias("id"), F.col("y").alias("pivot"), "js", "jp", "size", "shares", "whole", "more", "less", (F.col("weight") > F.col("size")).alias("repeats"),
+        (F.col("size") - F.col("shares") - ones(F.col("more"))).alias("more_beside"), (F.col("whole") - F.col("shares") - ones(F.col("less"))).alias("less_beside"),
+        (F.col("size") - (1 - SIMILAR) * F.col("weight")).alias("any"), (F.col("size") - (1 - SIMILAR) / (1 + SIMILAR) * F.col("weight")).alias("either"),
+    )
+    rows = rows.where("id <> pivot and members > 2").join(mixed, "bucket")  # the central document has been compared with all
+    rows = scratch.cut(rows.select("id", "pivot", "bucket", "part", "main").join(known, ["id", "pivot"]).drop("pivot"))
+
+    def one(side: str, some: DataFrame) -> DataFrame:
+        return some.select(*(F.col(c).alias(f"{side}_{c}") for c in some.columns))
 
     def x(c: str) -> Column:
         return F.col(f"x_{c}")
@@ -304,25 +317,34 @@ def across(own: DataFrame, shared: DataFrame, seen: DataFrame, parts: DataFrame,
     def y(c: str) -> Column:
         return F.col(f"y_{c}")
 
-    def apart(c: str) -> Column:
-        return F.abs(x(c) - y(c)) > 1 - SIMILAR + 1e-9
+    def near(c: str) -> Column:
+        return F.abs(x(c) - y(c)) <= 1 - SIMILAR + 1e-9
 
-    def ones(f) -> Column:
-        return sum((F.bit_count(f(k)) for k in range(BITMAP)), F.lit(0))
+    def common(c: str) -> Column:
+        """Elements that two sets share at most, by their bitmaps."""
+        agreed = sum((F.bit_count(F.get(x(c), F.lit(k)).bitwiseAND(F.get(y(c), F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+        return agreed + F.least(x(f"{c}_beside"), y(f"{c}_beside"))
 
-    common = ones(lambda k: F.get(x("bits"), k).bitwiseAND(F.get(y("bits"), k)))
-    others = [side("n") - side("shares") for side in (x, y)]
-    most = F.least(x("shares"), y("shares")) + F.least(*(common + other - ones(lambda k, side=side: F.get(side("bits"), k)) for other, side in zip(others, (x, y), strict=True)))
-    out_of_reach = apart("js") | (most < SIMILAR * (x("n") + y("n") - most) - 1e-9)
-    near = ~out_of_reach | (~(x("plain") & y("plain")) & ~apart("jp"))
-    pairs = left.join(right, (x("bucket") == y("bucket")) & (x("id") > y("id")) & (x("part") != y("part")) & near)
-    return pairs.select(x("id").alias("x"), y("id").alias("y")).distinct()
+    inside = F.least(x("shares"), y("shares"), x("shares") + y("shares") - x("whole") + common("less"))
+    most = inside + common("more")
+    weighted = (x("repeats") | y("repeats")) & near("jp")
+    plain = F.when(near("js"), (x("size") + y("size")) * (SIMILAR / (1 + SIMILAR)))
+    needed = F.least(plain, F.when(weighted, F.greatest(x("any"), y("any"), F.least(x("either"), y("either")))))  # null: neither can be
+    reached = (near("js") | weighted) & (most >= needed - 1e-6)
+    apart = (x("bucket") == y("bucket")) & (x("part") != y("part"))
+    minor = rows.where("part <> main")
+    both = one("x", minor).join(one("y", minor), apart & (x("id") > y("id")) & reached)
+    mixed_ = one("x", minor).join(one("y", rows.where("part = main")), apart & reached)
+    return both.union(mixed_).select(F.greatest(x("id"), y("id")).alias("x"), F.least(x("id"), y("id")).alias("y")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each class: that of the least id."""
-    kept = classes(docs, id_col, text_col).where("doc_id = class_id or doc_id is null and class_id < 0").select("class_id").distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept.withColumnRenamed("class_id", "__kept"), F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    if not docs.schema[id_col].nullable:
-        return named
-    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    """One row of `docs`, all columns, of each class: that of the least doc_id; of several texts with that id (or, in a class without ids, of all) that of the least hash; of rows that repeat both the least by its columns."""
+    with Scratch(docs.sparkSession) as scratch:
+        sketches = scratch.cut(sketched(hashed(docs, id_col, text_col)))
+        texts_ = related(docs, sketches, id_col, text_col, scratch)
+        place = F.struct(F.col("first").isNull().alias("nameless"), F.coalesce("first", F.lit(0)).alias("no"), "key")
+        first = scratch.cut(texts_.groupBy("component").agg(F.min(place).alias("at")).select("at.key", "at.no", "at.nameless"))
+        keys = [F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("no"), F.col(id_col).cast("long").isNull().alias("nameless")]
+        rows = docs.select(*keys, F.struct(*docs.columns).alias("row")).groupBy("key", "no", "nameless").agg(F.min("row").alias("row"))
+        return cut(rows.join(first, ["key", "no", "nameless"], "left_semi").select("row.*"))
