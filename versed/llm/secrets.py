@@ -5,12 +5,14 @@ ASCII, counted with DataFrame operations from labelled samples (SAMPLES or anoth
 characters is a secret when the ratio of its likelihoods, per transition and in total, passes two bounds. Scoring and
 span arithmetic are SQL expressions over one scan of the documents, without a shuffle.
 
-Spans are counted in code points, end exclusive. Regular expressions give the matches and the text between them, and the
-lengths of both in turn give the positions.
+Spans are counted in code points, end exclusive. Regular expressions give the matches and the text between them, and
+running sums of the lengths of both give the positions. Sums, searches and replacements take time in proportion to the
+number of matches, but for a logarithm.
 
 Defined cases: a null text counts as empty and has no spans; whole texts are scanned; of spans that start together the
 kind listed first comes first; a token run that touches a span of a fixed pattern is no span of its own; repeated rows
-give repeated results; other input columns are ignored by scan() and kept by redact().
+give repeated results; an empty table gives an empty result; other input columns are ignored by scan() and kept by
+redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -95,40 +97,66 @@ def ratio(run: Column, table: Column) -> Column:
     return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
 
 
-SPAN = "struct<start:int,kind:int,end:int,text:string>"
+SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
+#: Characters of the blocks from which pieces of a text are taken.
+BLOCK = 4096
 
 
-def positions(text: Column, pattern: str, hits: Column, kind: int) -> Column:
-    """The spans of a pattern's matches (`hits`) in the text, from the lengths of matches and of the pieces between."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
+def let(x: Column, f) -> Column:
+    """f of x, which is worked out once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def running(numbers: Column, together) -> Column:
+    """What `together` (an associative function) makes of each number and all before it, by doubling steps."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+
+    def step(so_far: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(so_far, lambda x, i: F.when(i >= back, together(x, F.get(so_far, i - back))).otherwise(x))
+
+    return F.aggregate(steps, numbers, step)
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    zipped = F.zip_with(F.slice(between, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(hits) == 0, none).otherwise(spans)
+def before(sorted_: Column, x: Column) -> Column:
+    """How many of the sorted numbers are less than x, by bisection."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2((F.size(sorted_) + 1).cast("double"))).cast("int"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"]) / 2).cast("int")
+        less, done = F.get(sorted_, middle) < x, s["low"] >= s["high"]
+        return F.struct(F.when(done | ~less, s["low"]).otherwise(middle + 1).alias("low"), F.when(done | less, s["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(sorted_).alias("high")), step, lambda s: s["low"])
+
+
+def positions(text: Column, pattern: str, hits: Column, kind: int) -> Column:
+    """The spans of a pattern's matches (`hits`) in the text, from the lengths of matches and of the pieces between."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    ends = let(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: g + F.length(h)), lambda n: running(n, lambda x, y: x + y))
+    spans = F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), h.alias("text")))
+    return F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(spans.cast(SPAN))
 
 
 def scanned(rows: DataFrame, table: list[float]) -> DataFrame:
-    """`rows` (with __text) and arrays of spans: __base of the fixed patterns, __more of the models."""
+    """`rows` (row, text) with arrays of spans: base of the fixed patterns, more of the models."""
     learned = F.split(F.lit(" ".join(map(repr, table))), " ").cast("array<double>")
-    text = F.col("__text")
-    rows = rows.withColumns({f"__h{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in enumerate((ASSIGN, ACCESS, HEX, RUN))})
-    rows = rows.withColumns({f"__s{k}": positions(text, p, F.col(f"__h{k}"), k) for k, p in enumerate((ASSIGN, ACCESS, HEX, RUN))})
-    assign = F.filter("__s0", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 6)
-    rows = rows.withColumn("__base", F.array_sort(F.concat(assign, F.col("__s1"), F.col("__s2"))))
+    patterns = (ASSIGN, ACCESS, HEX, RUN)
+    rows = rows.withColumns({f"h{k}": F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in enumerate(patterns)})
+    rows = rows.withColumns({f"s{k}": positions(F.col("text"), p, F.col(f"h{k}"), k) for k, p in enumerate(patterns)})
+    assign = F.filter("s0", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 6)
+    rows = rows.withColumn("base", F.array_sort(F.concat(assign, "s1", "s2")))
+
+    def apart(s: Column, starts: Column, reach: Column) -> Column:
+        """No span of a fixed pattern that starts before the run's end ends after its start."""
+        return (F.size(starts) == 0) | let(before(starts, s["end"]), lambda n: (n == 0) | (F.get(reach, n - 1) <= s["start"]))
 
-    def secret(s: Column) -> Column:
-        n = F.length(s["text"])
-        score = ratio(s["text"], learned)
-        apart = ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return s["text"].rlike("[A-Za-z]") & apart & (score >= F.greatest(F.lit(IN_ALL), PER_CHARACTER * (n - 1)))
+    def secret(s: Column, starts: Column, reach: Column) -> Column:
+        return s["text"].rlike("[A-Za-z]") & apart(s, starts, reach) & (ratio(s["text"], learned) >= F.greatest(F.lit(IN_ALL), PER_CHARACTER * (F.length(s["text"]) - 1)))
 
-    return rows.withColumn("__more", F.filter("__s3", secret)).drop(*(f"__{x}{k}" for x in "hs" for k in range(4)))
+    # reach: the greatest end so far; bound by let, since a column that a lambda uses could be worked out for each element
+    found = let(F.col("base.start"), lambda starts: let(running(F.col("base.end"), F.greatest), lambda reach: F.filter("s3", lambda s: secret(s, starts, reach))))
+    return rows.withColumn("more", F.when(F.size("s3") == 0, F.col("s3")).otherwise(found)).select("row", "text", "base", "more")
 
 
 def joined(spans: Column) -> Column:
@@ -138,20 +166,35 @@ def joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and spans: array of (start, kind, end, text) in order, base and model spans together; and base, those of the fixed patterns alone."""
-    rows = scanned(docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text")), table)
-    return rows.select(F.col("__id").alias(id_col), F.col("__base").alias("base"), F.array_sort(F.concat("__base", "__more")).alias("spans"))
+    rows = scanned(docs.select(F.col(id_col).alias("row"), whole_text(text_col).alias("text")), table)
+    return rows.select(F.col("row").alias(id_col), "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
-def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, with every span of the text replaced by `mask`; spans that overlap are one. A null text stays null."""
-    rows = scanned(docs.withColumn("__text", whole_text(text_col)), table)
-    rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", "__more")))
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with `mask` in place of the spans, which are sorted; those that overlap are one."""
+
+    def of(reach: Column, blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            a, b = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+            first = F.substring(F.coalesce(F.get(blocks, a), F.lit("")), start % BLOCK + 1, F.when(a == b, end - start).otherwise(BLOCK))
+            rest = F.concat(F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(blocks, b), F.lit("")), F.lit(1), end % BLOCK))
+            return F.when(a == b, first).otherwise(F.concat(first, rest))
 
-    def step(s: Column, x: Column) -> Column:
-        apart = x["start"] >= s["at"]
-        added = F.concat(F.substring(F.col("__text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.array_append(s["out"], added)).otherwise(s["out"]).alias("out"))
+        def at(s: Column, i: Column) -> Column:
+            """The text between the spans before and this one, and the mask; nothing if it overlaps one of them."""
+            done = F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            return F.when(s["start"] >= done, F.concat(piece(done, s["start"]), F.lit(mask))).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("__text"), s["at"] + 1, F.length("__text"))))
-    return rows.withColumn(text_col, F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(whole)).drop("__text", "__base", "__more", "__spans")
+        return F.concat(F.array_join(F.transform(spans, at), ""), piece(F.element_at(reach, -1), F.length(text)))
+
+    reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(reach, lambda r: let(blocks, lambda b: of(r, b))))
+
+
+def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+    """All columns of `docs`, with every span of the text replaced by `mask`; spans that overlap are one. A null text stays null."""
+    rows = scanned(docs.select(F.struct(*docs.columns).alias("row"), whole_text(text_col).alias("text")), table)
+    rows = rows.withColumn("spans", F.array_sort(F.concat("base", "more")))
+    text = F.when(F.col("row").getField(text_col).isNotNull(), masked(F.col("text"), F.col("spans"), mask))
+    return rows.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
