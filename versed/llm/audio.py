@@ -2,10 +2,10 @@
 
 A payload is kept as 8-bit mu-law samples in a WAV file (8 kHz, one channel); whatever its bytes are, they come back
 unchanged. Reading expands mu-law and A-law by lookup tables, decodes IMA ADPCM blocks of 64 bytes with numpy across all
-blocks of a batch at once, and resamples the mu-law signal to 16 kHz linear PCM, which can be stored too.
+blocks of a batch at once, and resamples the mu-law signal to 16 kHz linear PCM, which is stored as a column of its own.
 
-Documents are decoded in frames of FRAME bytes: interpolation and zero crossings stay inside a frame, sums run over all
-of them, so that memory is bounded however long a document is.
+Documents are decoded in frames of FRAME bytes, so that working memory is bounded however long a document is; the last
+samples go over into the next frame, and results don't depend on where frames end.
 
 Defined cases: a null text counts as empty and is 64 zero bytes; whole texts are stored; media that is null or is no such
 file reads as null; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -95,10 +95,9 @@ def compress(pcm: np.ndarray, table: np.ndarray) -> np.ndarray:
     return order[right - nearer].astype(np.uint8)
 
 
-def resample(pcm: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Twice the rate: means between neighbours; the last sample of a frame repeats. starts: of the frames."""
-    following = np.append(pcm[1:], pcm[-1:])
-    ends = np.append(starts[1:], len(pcm)) - 1
+def resample(pcm: np.ndarray, ends: np.ndarray, after: int) -> np.ndarray:
+    """Twice the rate: means between neighbours; the last sample of a document (at `ends`) repeats. after: the sample that follows the last of all."""
+    following = np.append(pcm[1:], np.int16(after))
     following[ends] = pcm[ends]
     out = np.empty(2 * len(pcm), dtype="<i2")
     out[::2] = pcm
@@ -137,14 +136,18 @@ class Sums:
 
     def __init__(self, n: int):
         self.squares, self.samples, self.crossings = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        self.last = 0  # sample of all so far
 
-    def add(self, pcm: np.ndarray, starts: np.ndarray, own: np.ndarray) -> None:
+    def add(self, pcm: np.ndarray, starts: np.ndarray, own: np.ndarray, begins: np.ndarray) -> None:
+        """starts: of the frames; begins: of those frames, which are the first of their documents."""
         wide = pcm.astype(np.int64)
         np.add.at(self.squares, own, np.add.reduceat(wide * wide, starts))
-        crossed = np.append(False, (pcm[1:] < 0) != (pcm[:-1] < 0))
-        crossed[starts] = False
+        below = np.append(self.last < 0, pcm < 0)
+        crossed = below[1:] != below[:-1]
+        crossed[starts[begins]] = False
         np.add.at(self.crossings, own, np.add.reduceat(crossed.astype(np.int64), starts))
         np.add.at(self.samples, own, np.diff(np.append(starts, len(pcm))))
+        self.last = int(pcm[-1])
 
     def said(self, k: int) -> str:
         return f"{isqrt(int(self.squares[k]) // max(1, int(self.samples[k])))}/{self.crossings[k]}"
@@ -154,28 +157,30 @@ def listen(payloads: list[bytes], keep: bool = False) -> tuple[list[str], list[b
     """Feature of each payload (a multiple of 64 bytes): rms/zero crossings as mu-law, A-law and ADPCM, and the crc32 of the resampled PCM; and that PCM itself if it is to be kept."""
     laws, blocks = {"ulaw": (Sums(len(payloads)), MULAW_TABLE), "alaw": (Sums(len(payloads)), ALAW_TABLE)}, Sums(len(payloads))
     crc, pcm_of = [0] * len(payloads), [[] for _ in payloads]
-    frames = [(k, p[i : i + FRAME]) for k, p in enumerate(payloads) for i in range(0, len(p), FRAME)]
+    frames = [(k, i, p[i : i + FRAME]) for k, p in enumerate(payloads) for i in range(0, len(p), FRAME)]
     first = 0
     while first < len(frames):
         last, size = first, 0
-        while last < len(frames) and (last == first or size + len(frames[last][1]) <= AT_ONCE):
-            size += len(frames[last][1])
+        while last < len(frames) and (last == first or size + len(frames[last][2]) <= AT_ONCE):
+            size += len(frames[last][2])
             last += 1
         some, first = frames[first:last], last
-        own = np.array([k for k, _ in some])
-        starts = np.cumsum([0, *(len(f) for _, f in some[:-1])])
-        data = np.frombuffer(b"".join(f for _, f in some), dtype=np.uint8)
+        own, begins = np.array([k for k, _, _ in some]), np.array([i == 0 for _, i, _ in some])
+        starts = np.cumsum([0, *(len(f) for _, _, f in some[:-1])])
+        data = np.frombuffer(b"".join(f for _, _, f in some), dtype=np.uint8)
+        goes_on = last < len(frames) and frames[last][1] > 0
+        ends = np.append(starts[1:][begins[1:]] - 1, [] if goes_on else [len(data) - 1]).astype(np.int64)
         for name, (sums, table) in laws.items():
             pcm = table[data]
-            sums.add(pcm, starts, own)
+            sums.add(pcm, starts, own, begins)
             if name == "ulaw":
-                wide = resample(pcm, starts).tobytes()
+                wide = resample(pcm, ends, table[frames[last][2][0]] if goes_on else 0).tobytes()
                 for k, a, b in zip(own.tolist(), (4 * starts).tolist(), [*(4 * starts[1:]).tolist(), len(wide)], strict=True):
                     crc[k] = zlib.crc32(wide[a:b], crc[k])
                     if keep:
                         pcm_of[k].append(wide[a:b])
         decoded = decode_adpcm(data.reshape(-1, BLOCK))
-        blocks.add(decoded.reshape(-1), starts // BLOCK * decoded.shape[1], own)
+        blocks.add(decoded.reshape(-1), starts // BLOCK * decoded.shape[1], own, begins)
     said = [";".join([*(f"{name}={sums.said(k)}" for name, (sums, _) in laws.items()), f"adpcm={blocks.said(k)}", f"pcm16k={crc[k]:08x}"]) for k in range(len(payloads))]
     return said, [b"".join(x) for x in pcm_of]
 
@@ -195,8 +200,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def read(stored: DataFrame, id_col: str = "doc_id", keep_pcm: bool = False) -> DataFrame:
-    """`id_col`, n_bytes, media, payload, feature and pcm (a 16 kHz PCM file, null unless keep_pcm) of stored rows."""
+def read(stored: DataFrame, id_col: str = "doc_id", keep_pcm: bool = True) -> DataFrame:
+    """`id_col`, n_bytes, media, payload, feature and pcm (the resampled signal as a 16 kHz PCM file; null without keep_pcm) of stored rows."""
     bounded_batches(stored.sparkSession)
     rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
 
