@@ -6,7 +6,8 @@ about good and about bad texts, and the share of good texts. A document's qualit
 pattern, in place of a filter that all rules must pass.
 
 Counts of a text are made once, in Arrow batches, and written to the shared folder; votes, patterns and posteriors are
-SQL expressions on those few numbers. Nothing but the pattern counts reaches the driver.
+SQL expressions on those few numbers, and the posteriors join by broadcast. Nothing but the pattern counts reaches the
+driver.
 
 Defined cases: a null text has no words; an empty text makes every rule abstain but base_failed holds; whole texts count;
 repeated rows are judged each; an empty table gives an empty result; other columns are ignored by judge() and kept by
@@ -40,6 +41,9 @@ RULES = (
     ("word_length", "word_chars / n_words", 15.0, 9.0),
 )
 
+#: Patterns of votes at most: what is collected and broadcast is bounded by it.
+PATTERNS = 3**11
+
 #: Steps of expectation-maximisation, and the weight of the prior counts that keep every rate inside (0, 1).
 STEPS, PRIOR = 60, 2.0
 
@@ -93,13 +97,14 @@ def fit(counts: dict[str, int], rules=RULES) -> dict[str, float]:
 
 def judged(counts: DataFrame, rules=RULES) -> DataFrame:
     """`counts` with pattern, quality (posterior), base_failed and kept; `counts` must be cheap to read twice."""
+    if 3 ** len(rules) > PATTERNS:
+        raise ValueError(f"{len(rules)} rules have more than {PATTERNS} patterns of votes")
     rows = counts.withColumn("pattern", pattern(rules))
-    found = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most 3 ** len(rules) rows
-    posterior = fit(found, rules)
-    table = F.create_map(*(F.lit(x) for pair in posterior.items() for x in pair)) if posterior else F.create_map().cast("map<string,double>")
-    quality = F.element_at(table, F.col("pattern"))
+    found = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most PATTERNS rows
+    posterior = counts.sparkSession.createDataFrame(list(fit(found, rules).items()), "pattern string, quality double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns({"quality": quality, "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    rows = rows.join(F.broadcast(posterior), "pattern", "left").withColumn("base_failed", failed)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
