@@ -3,16 +3,16 @@
 A source's mean repetition rate is (its weight x the rows wanted) / its rows. Each document's number of copies is the
 inverse Poisson distribution function at a uniform number that a seeded hash of its doc_id gives, so a run repeats
 exactly and neither depends on partitions nor on other documents. Rates above MOST are split into equal parts with a
-number each, whose sum has the same distribution. Documents are exploded by their count and dealt out by a hash of
-(doc_id, copy), sorted by it within partitions: a global shuffle with one exchange.
+number each, whose sum has the same distribution. Documents are exploded by their count and sorted by a hash of
+(doc_id, copy) over all partitions: a global shuffle. Rows with the same hash, as repeated rows have, may be split.
 
 Only DataFrame functions are used. Rows are counted with partial aggregation; the table of rates joins by broadcast
 while it has at most SMALL sources, else by (source, salt), so that a source with a third of all rows is spread.
 
-Defined cases: a null source is a source of its own; rows with a null doc_id share the number of the empty id; rows with
-equal doc_id get equal counts; weights are relative, a source without one (when weights are given) goes; an empty table
-gives an empty result; texts pass through whole; columns of the input keep their names, and any that are named copy_no,
-n_copies or shuffle_key are replaced.
+Defined cases: a null source is a source of its own; a row with a null doc_id is told by a hash of its text, and the
+empty id if that is null too; rows with equal doc_id get equal counts; weights are relative, a source without one (when
+weights are given) goes; an empty table gives an empty result; texts pass through whole; columns of the input keep their
+names, and any that are named copy_no, n_copies or shuffle_key are replaced.
 """
 
 from __future__ import annotations
@@ -56,29 +56,31 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, wanted: int
     return rows.select("of", "rate", "parts", F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, term, lambda s: s["cdf"]).alias("cdf")), sums["sources"]
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, wanted: int | None = None, seed: int = 17) -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, wanted: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of `docs`, with copy_no (1 up), n_copies and shuffle_key: as many rows of a document as its draw says, in shuffled order."""
     table, sources = rates(docs, weights, wanted)
-    table = table.select(F.struct("of", "parts", "cdf").alias("__rate"))
-    docs = docs.drop("copy_no", "n_copies", "shuffle_key")
-    same = F.col("source").eqNullSafe(F.col("__rate.of"))
+    names = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string").cast("binary")), F.lit(""))
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("from"), key.alias("key"))
+    same = F.col("from").eqNullSafe(F.col("of"))
+    table = table.select("of", "parts", "cdf")
     if sources <= SMALL:
-        joined = docs.join(F.broadcast(table), same)
+        joined = rows.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("__own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt")))
 
     def drawn(i: Column) -> Column:
-        return F.struct(uniform(seed, F.lit("n"), key, i).alias("u"))
+        return F.struct(uniform(seed, F.lit("n"), F.col("key"), i).alias("u"))
 
     def below(u: Column) -> Column:
-        return F.size(F.filter("__rate.cdf", lambda c: c < u))
+        return F.size(F.filter("cdf", lambda c: c < u))
 
-    draws = F.transform(F.sequence(F.lit(1), F.col("__rate.parts")), drawn)
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), drawn)
     copies = F.aggregate(draws, F.lit(0), lambda n, d: n + below(d["u"]))
-    out = joined.withColumn("n_copies", copies).drop("__rate").where("n_copies > 0")
+    out = joined.select("row", "key", copies.alias("n_copies")).where("n_copies > 0")
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.lit("at"), key, F.col("copy_no").cast("string"))
+    text = F.concat_ws(":", F.lit(str(seed)), F.lit("at"), F.col("key"), F.col("copy_no").cast("string"))
     out = out.withColumn("shuffle_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
+    out = out.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("shuffle_key", "tie").sortWithinPartitions("shuffle_key", "key", "tie")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "copy_no", "n_copies", "shuffle_key")
