@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of labelled rows (SAMPLE, the least hash
 and scored whole, in bounded Arrow batches, in one pass without a shuffle.
 
 Defined cases: a null text counts as empty, and an empty text has zeros for all features; of several labels of a doc_id
-the larger counts; with no labels, or one kind, the score is that share (0 without any); features that never vary
+the larger counts, and of several texts the least is learned from; with no labels, or one kind, the score is that share (0 without any); features that never vary
 get one bin; repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -6,11 +6,12 @@ buckets that few training documents have stay zero, so that chance collisions of
 calibrated by language, which is told from the text's own frequent words, and scores are rescaled so that 0.5 is the
 language's threshold.
 
-The classifier is fitted on a bounded sample of labelled rows (SAMPLE, the least hashes of doc_id); every document is
-scored whole, in bounded Arrow batches, in one pass without a shuffle.
+The classifier is fitted on the driver on a bounded sample: SAMPLE labelled documents at most, those with the least hashes
+of doc_id, of which texts of more than LONGEST bytes aren't learned from, so that the driver gets SAMPLE x LONGEST bytes at
+most. Every document is scored whole, in bounded Arrow batches, in one pass without a shuffle.
 
 Defined cases: a null text counts as empty; a text without words pools to nothing and gets the score of the bias alone;
-of several labels of a doc_id the larger counts; with no labels, or one kind, the score is that share (0 without any);
+of several labels of a doc_id the larger counts, and of several texts the least is learned from; with no labels, or one kind, the score is that share (0 without any);
 repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from versed.llm.common import bounded_batches, fold, texts, unique_labels, whole_text
 
-#: Labelled rows to learn from at most.
-SAMPLE = 8_000
+#: Labelled documents to learn from at most, and the bytes of a text that is learned from.
+SAMPLE, LONGEST = 8_000, 16_384
 #: Buckets, size of a vector, filters of each width, widths, training documents that a bucket needs, letters of a beginning.
 BUCKETS, SIZE, FILTERS, WIDTHS, LEAST, LETTERS = 1 << 20, 8, 6, (1, 2, 3), 3, 4
 #: Steps of learning, texts in a step, rate; kept texts of label 1 that a language's own threshold needs.
@@ -170,6 +171,36 @@ def known(some: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.append(0.0, odds)
 
 
+def gradients(model: Model, batch: Batch, at: np.ndarray, y: np.ndarray, rise: float) -> tuple[dict, float, tuple[np.ndarray, np.ndarray]]:
+    """Slopes of the mean logistic loss, where label 1 weighs `rise`: of the arrays (o, and by width f and c), the bias, and the vectors (rows and slopes). at: rows of the words' vectors."""
+    vectors, kept = model.vectors[at].sum(axis=1), []
+    h = model.pooled(batch, model.responses(vectors), kept)
+    p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.bias, -30, 30)))
+    d = ((p - y) * np.where(y > 0, rise, 1) / len(y)).astype(np.float32)
+    slopes = {"o": h.T @ d}
+    back = d[:, None] * model.out * (h > 0)
+    moved = np.zeros_like(vectors)
+    own = np.repeat(np.arange(len(batch.starts)), np.diff(np.append(batch.starts, len(batch.ids))))
+    for k, width in enumerate(WIDTHS):
+        z, part = kept[k], back[:, k * FILTERS : (k + 1) * FILTERS]
+        top = h[:, k * FILTERS : (k + 1) * FILTERS]
+        texts_, which = np.nonzero(part)
+        slopes["f", k], slopes["c", k], grad = np.zeros_like(model.filters[k]), part.sum(axis=0), part[texts_, which]
+        best = np.full((len(batch.starts), FILTERS), -1, dtype=np.int64)
+        where, f = np.nonzero((z > 0) & (z == top[own]))
+        best[own[where[::-1]], f[::-1]] = where[::-1]  # of places with the maximum, the first
+        spot = best[texts_, which]
+        for step in range(width):
+            word = batch.ids[spot + step]
+            np.add.at(slopes["f", k][step].T, which, grad[:, None] * vectors[word])
+            np.add.at(moved, word, grad[:, None] * model.filters[k][step][:, which].T)
+    words = np.flatnonzero(moved.any(axis=1))
+    rows, inverse = np.unique(at[words], return_inverse=True)
+    total = np.zeros((len(rows), SIZE), dtype=np.float32)
+    np.add.at(total, inverse.ravel(), np.repeat(moved[words], 3, axis=0))
+    return slopes, float(d.sum()), (rows, total)
+
+
 def train(some: list[str], labels: np.ndarray, seed: int = 5) -> Model | None:
     """Fit by Adagrad; a fifth of the texts is kept to set the thresholds. None if the labels are of one kind."""
     labels = np.asarray(labels, dtype=np.float32)
@@ -188,8 +219,8 @@ def train(some: list[str], labels: np.ndarray, seed: int = 5) -> Model | None:
     model.vectors[0] = 0
     for x in model.filters:
         x[0, 0] = np.abs(x[0, 0])
-    squares = {"v": np.full(model.vectors.shape, 1e-3, dtype=f32), "o": np.full(model.out.shape, 1e-3, dtype=f32), "b": 1e-3}
-    squares |= {("f", k): np.full(x.shape, 1e-3, dtype=f32) for k, x in enumerate(model.filters)} | {("c", k): np.full(x.shape, 1e-3, dtype=f32) for k, x in enumerate(model.biases)}
+    arrays = {"o": model.out} | {("f", k): x for k, x in enumerate(model.filters)} | {("c", k): x for k, x in enumerate(model.biases)}
+    squares = {name: np.full(x.shape, 1e-3, dtype=f32) for name, x in (arrays | {"v": model.vectors}).items()} | {"b": 1e-3}
     rise = float(np.sqrt((labels[use] == 0).sum() / max(1, labels[use].sum())))
     use = use[np.argsort([len(some[i]) for i in use], kind="stable")]
     groups = [Batch.of([some[i] for i in use[k : k + GROUP]]) for k in range(0, len(use), GROUP)]
@@ -197,41 +228,12 @@ def train(some: list[str], labels: np.ndarray, seed: int = 5) -> Model | None:
     places = [np.concatenate([np.zeros((1, 3), dtype=np.int32), model.places(list(b.numbers)[1:])]) for b in groups]
     for _ in range(EPOCHS):
         for g in rng.permutation(len(groups)):
-            batch, y, at = groups[g], targets[g], places[g]
-            vectors, kept = model.vectors[at].sum(axis=1), []
-            h = model.pooled(batch, model.responses(vectors), kept)
-            p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.bias, -30, 30)))
-            d = ((p - y) * np.where(y > 0, rise, 1) / len(y)).astype(f32)
-            steps = [("o", model.out, h.T @ d)]
-            back = d[:, None] * model.out * (h > 0)
-            moved = np.zeros_like(vectors)
-            for k, width in enumerate(WIDTHS):
-                z, part = kept[k], back[:, k * FILTERS : (k + 1) * FILTERS]
-                top = h[:, k * FILTERS : (k + 1) * FILTERS]
-                texts_, which = np.nonzero(part)
-                if not len(texts_):
-                    continue
-                grad_f, grad = np.zeros_like(model.filters[k]), part[texts_, which]
-                own = np.repeat(np.arange(len(batch.starts)), np.diff(np.append(batch.starts, len(batch.ids))))
-                best = np.full((len(batch.starts), FILTERS), -1, dtype=np.int64)
-                where, f = np.nonzero((z > 0) & (z == top[own]))
-                best[own[where[::-1]], f[::-1]] = where[::-1]
-                spot = best[texts_, which]
-                for step in range(width):
-                    word = batch.ids[spot + step]
-                    np.add.at(grad_f[step].T, which, grad[:, None] * vectors[word])
-                    np.add.at(moved, word, grad[:, None] * model.filters[k][step][:, which].T)
-                steps += [(("f", k), model.filters[k], grad_f), (("c", k), model.biases[k], part.sum(axis=0))]
-            for name, value, gradient in steps:
-                squares[name] += gradient**2
-                value -= RATE * gradient / np.sqrt(squares[name])
-            squares["b"] += float(d.sum()) ** 2
-            model.bias -= RATE * float(d.sum()) / squares["b"] ** 0.5
-            words = np.flatnonzero(moved.any(axis=1))
-            total = np.zeros((0, SIZE))
-            rows_, inverse = np.unique(at[words], return_inverse=True)
-            total = np.zeros((len(rows_), SIZE), dtype=f32)
-            np.add.at(total, inverse.ravel(), np.repeat(moved[words], 3, axis=0))
+            slopes, bias, (rows_, total) = gradients(model, groups[g], places[g], targets[g], rise)
+            for name, slope in slopes.items():
+                squares[name] += slope**2
+                arrays[name] -= RATE * slope / np.sqrt(squares[name])
+            squares["b"] += bias**2
+            model.bias -= RATE * bias / squares["b"] ** 0.5
             squares["v"][rows_] += total**2
             model.vectors[rows_] -= RATE * total / np.sqrt(squares["v"][rows_])
             model.vectors[0] = 0
@@ -259,16 +261,18 @@ def thresholds(model: Model, some: list[str], labels: np.ndarray) -> dict[str, f
     return {k: best(score[own == k], toxic[own == k]) if toxic[own == k].sum() >= FEW else overall for k in LANGUAGES}
 
 
-def sample(docs: DataFrame, labels: DataFrame, name: str, rows: int = SAMPLE) -> DataFrame:
-    """text and label of at most `rows` labelled documents outside the held-out fold, those with the least hashes of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, name: str, rows: int = SAMPLE, longest: int | None = None) -> DataFrame:
+    """doc_id, text and label of at most `rows` labelled documents outside the held-out fold, those with the least hashes of doc_id, one row each; without texts of more than `longest` bytes."""
     chosen = unique_labels(labels, name).where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most `rows` rows are broadcast
+    if longest is not None:
+        own = own.where(F.octet_length("text") <= longest)
+    return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # at most `rows` rows are broadcast
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model | float:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, longest: int = LONGEST) -> Model | float:
     """The classifier, or the share of label 1 where there is only one kind."""
-    found = sample(docs, labels, "toxic", rows).toPandas().sort_values(["doc_id", "text"])
+    found = sample(docs, labels, "toxic", rows, longest).toPandas().sort_values("doc_id")
     model = train(found["text"].tolist(), found["label"].to_numpy())
     return model if model else float(found["label"].mean()) if len(found) else 0.0
 
