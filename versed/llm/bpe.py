@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from versed.llm.common import bounded_batches, whole_text
 
-#: Pieces whose ids a worker keeps; the cache starts anew beyond that, which bounds memory and changes no result.
+#: Pieces (none longer than LONGEST bytes) whose ids a worker keeps; the cache starts anew beyond that, which bounds memory and changes no result.
 CACHE = 400_000
+#: Longest piece in bytes that shares arrays with others and is kept; longer ones get a tree of their own.
+LONGEST = 64
 #: Texts whose pieces a worker holds at once.
 AT_ONCE = 128
 NONE = 1 << 62
@@ -90,9 +92,6 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Merges:
     """Pair ranks as arrays, and the segment trees of many short pieces side by side: one numpy row for each piece."""
 
-    #: Longest piece in bytes that shares arrays with others; longer ones get a tree of their own.
-    LONGEST = 64
-
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.base = max(ranks.values(), default=0) + 1
@@ -118,7 +117,7 @@ class Merges:
         for k, piece in enumerate(pieces):
             if (rank := self.ranks.get(piece)) is not None:
                 out[k] = rank.to_bytes(4, "little")
-            elif len(piece) > self.LONGEST:
+            elif len(piece) > LONGEST:
                 out[k] = np.array(merge_piece(piece, self.ranks), dtype="<i4").tobytes()
             else:
                 classes.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
@@ -188,8 +187,10 @@ def encoder(data: Broadcast, pattern: str):
         pieces = [split(text) for text in texts]
         known = [list(map(cache.get, words)) for words in pieces]
         if new := list({x for words, ids in zip(pieces, known, strict=True) if None in ids for x in compress(words, map(is_, ids, repeat(None)))}):
-            cache.update(zip(new, merges.many([x.encode() for x in new]), strict=True))
-            known = [list(map(cache.get, words)) if None in ids else ids for words, ids in zip(pieces, known, strict=True)]
+            data = [x.encode() for x in new]
+            made = dict(zip(new, merges.many(data), strict=True))
+            known = [[made[x] if i is None else i for x, i in zip(words, ids, strict=True)] if None in ids else ids for words, ids in zip(pieces, known, strict=True)]
+            cache.update((x, made[x]) for x, d in zip(new, data, strict=True) if len(d) <= LONGEST)
         return [b"".join(ids) for ids in known]
 
     return encode
