@@ -80,14 +80,14 @@ draws AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.cs, unnest(range(1, p.parts + 1)) AS i
   FROM documents d JOIN part p ON d.source IS NOT DISTINCT FROM p.source JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
 numbers AS (
-  SELECT *, (('0x' || substr(md5('17:n:' || coalesce(doc_id::VARCHAR, '') || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  SELECT *, (('0x' || substr(md5('17:n:' || coalesce(doc_id::VARCHAR, md5(text), '') || ':' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM draws),
 copies AS (
   SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cs, lambda c: c < u)))::BIGINT AS n_copies
   FROM numbers GROUP BY doc_id, text, lang, source, n_chars),
 rows AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM copies)
 SELECT doc_id, text, lang, source, n_chars, copy_no, n_copies,
-  ('0x' || substr(md5('17:at:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no::VARCHAR), 1, 15))::BIGINT AS shuffle_key
+  ('0x' || substr(md5('17:at:' || coalesce(doc_id::VARCHAR, md5(text), '') || ':' || copy_no::VARCHAR), 1, 15))::BIGINT AS shuffle_key
 FROM rows
 """
 
@@ -97,7 +97,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score."""
     from versed.llm import urls
 
-    return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), *urls.train(urls.labelled(spark)))
 
 
 @query
@@ -134,14 +134,14 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of each document's payload as read back from its stored form, of that form, and audio features."""
+    """Digests of each document's payload as read back from its stored form, of that form and of the resampled PCM file, and audio features."""
     from versed.llm import audio
 
     out = audio.read(audio.store(table(spark, sf_dir, "documents")))
     return out.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 

@@ -1,12 +1,12 @@
 """URL filters: host and path rules first, else a logistic regression on hashed character n-grams.
 
-Only DataFrame, SQL and Spark ML functions are used. The model is trained from a small labelled URL table (LABELLED or
-another one of that size); scoring sums the learned weights of a URL's distinct n-grams inside one projection, so `pages`
-is read once, without a shuffle.
+Only DataFrame, SQL and Spark ML functions are used. The model is trained from a small labelled URL table, an input of
+train(); labelled() makes one from lists of common words. Scoring sums the learned weights of a URL's distinct n-grams
+inside one projection, so `pages` is read once, without a shuffle.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and is judged by the model; repeated rows
-get repeated verdicts; rules of equal length that both fit are decided in the order given; whole urls are judged, of any
-length; other columns are ignored.
+get repeated verdicts; of rules of equal length that both fit the last one given wins; whole urls are judged, of any
+length; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,29 +24,48 @@ BUCKETS = 2048
 #: (verdict, host, path) of the rules in force.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Labelled urls to train from: 1 is to be blocked.
-LABELLED = tuple((u, 1) for u in """
-https://free-bets.test/en/1 https://www.free-bets.test/win http://m.free-casino.test/play https://casino-win.test/slots
-https://m.casino-win.test/fr/77 https://best-casino.test/bonus http://www.casino-bets.test/en/9.html https://win-big-casino.test/
-https://cheap-pills.test/order http://www.cheap-pills.test/de/4 https://pills-online.test/buy https://m.cheap-meds.test/en/3
-https://diet-pills.test/fr/8?ref=x https://ads-track.test/pixel http://m.ads-track.test/en/12 https://track-ads.test/click?page=2
-https://ads-server.test/banner https://adult-x.test/video https://blog.adult-x.test/es/5 http://www.adult-cams.test/live
-https://xxx-adult.test/ https://spam-farm.test/links http://www.spam-farm.test/en/6#top https://link-farm.test/seo
-https://seo-spam.test/page https://free-bets-now.test/de/3 http://poker-win.test/table https://online-poker.test/free
-https://www.win-prize.test/claim http://free-prize.test/en/2 https://payday-loans.test/fast https://fast-loans.test/cheap
-https://cheap-replica.test/watch http://blog.cheap-pills.test/fr/9 https://m.spam-farm.test/es/11 https://www.ads-track.test/fr/2
-""".split()) + tuple((u, 0) for u in """
-https://www.library.test/en/1203 http://blog.garden.test/de/897 https://m.weather.test/fr/12#top https://museum.test/es/3210.html
-https://tionning.test/en/9916 https://thoner.test/en/2112/ http://www.thening.test/de/56 https://blog.thertion.test/en/12?page=2
-https://m.ththor.test/en/4135.html https://tionther.test/fr/3844 http://thion.test/en/7056 https://news.test/2024/05/article
-https://university.test/courses/math https://www.hospital.test/contact http://school.test/fr/plan https://recipes.test/en/bread
-https://docs.project.test/guide/install https://wiki.project.test/History http://blog.travel.test/en/5168/ https://m.radio.test/es/176
-https://stadtwerke.test/de/7541/ https://bibliotheque.test/fr/877/ https://noticias.test/es/8793.html https://zeitung.test/de/1780?page=2
-http://www.bakery.test/ https://theatre.test/fr/6302#top https://blog.thonhe.test/en/3896 https://m.thereat.test/fr/5912.html
-http://tionion.test/en/218 https://www.thring.test/en/2638?page=2 https://thorand.test/en/9508 http://blog.tionre.test/de/9134
-https://m.thhe.test/en/883/ https://theranti.test/fr/7261/ http://ththing.test/es/3431 https://city-council.test/en/minutes
-https://train-times.test/de/plan https://open-data.test/en/sets http://old-maps.test/fr/12 https://about:blank/
-""".split()) + (("", 0), ("https://", 0))
+#: Words of which unwanted and ordinary hosts are often made, for labelled().
+UNWANTED = """
+casino poker roulette jackpot betting bets slots lottery bingo viagra pills pharmacy meds steroids replica counterfeit warez crack keygen
+torrent adult porn xxx cams escort hookup loans payday forex bitcoin doubler prize winner giveaway clickbait track ads banner popup
+spam seo backlinks farm phishing malware
+""".split()
+ORDINARY = """
+library museum garden weather school university hospital recipes travel radio news docs wiki project city council train maps theatre bakery
+music science history health sport kitchen house forest river mountain bridge market coffee bread teacher student office letter paper book
+language grammar physics chemistry biology archive journal gallery village church harbour station orchard dairy carpenter plumber dentist
+bibliothek schule zeitung wetter stadt verein garten rathaus kirche bahnhof verlag handwerk
+bibliotheque ecole musee jardin meteo ville mairie cuisine gare librairie journaux
+biblioteca escuela museo tiempo ciudad cocina noticias ayuntamiento estacion libros
+""".split()
+BESIDE = "my the best top online daily open free big one go our".split()
+UNWANTED_PATHS, ORDINARY_PATHS = "play win order buy click bonus claim live".split(), "about contact article guide page index events team".split()
+#: Hosts for each word, and made-up ordinary names.
+EACH, MADE_UP = 10, 300
+
+
+def labelled(spark: SparkSession) -> DataFrame:
+    """url, label (1 is to be blocked) and host: a few hosts for each word of the lists, alone or with another, and ordinary hosts of made-up syllables."""
+
+    def pick(words: list[str], *salt: str | Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64(*(F.lit(x) if isinstance(x, str) else x for x in salt)), F.lit(len(words))) + 1).cast("int"))
+
+    def hosts(words: list[str], label: int) -> DataFrame:
+        rows = spark.range(len(words) * EACH).select("id", F.element_at(F.array(*map(F.lit, words)), F.floor(F.col("id") / EACH).cast("int") + 1).alias("word"))
+        other = F.when(F.col("id") % 2 == 0, pick(words, "other", F.col("id"))).otherwise(pick(BESIDE, "beside", F.col("id")))
+        join = pick(["-", "-", ""], "join", F.col("id"))
+        name = F.when(F.col("id") % EACH == 0, F.col("word")).when(F.col("id") % 3 == 0, F.concat(other, join, "word")).otherwise(F.concat("word", join, other))
+        return rows.select("id", name.alias("name"), F.lit(label).alias("label"))
+
+    syllable = [pick([c + v for c in "bdfghklmnprstvw" for v in ("a", "e", "i", "o", "u", "er", "on", "in")], "syllable", str(k), F.col("id")) for k in range(3)]
+    made_up = spark.range(MADE_UP).select("id", F.concat(*syllable[:2], F.when(F.col("id") % 2 == 0, syllable[2]).otherwise("")).alias("name"), F.lit(0).alias("label"))
+    rows = hosts(UNWANTED, 1).union(hosts(ORDINARY, 0)).union(made_up)
+    host = F.concat(pick(["", "", "www.", "m.", "blog."], "front", F.col("id"), F.col("name")), "name", pick([".test", ".example", ".invalid"], "end", F.col("id"), F.col("name")))
+    word = F.when(F.col("label") == 1, pick(UNWANTED_PATHS, "path", F.col("id"))).otherwise(pick(ORDINARY_PATHS, "path", F.col("id")))
+    place = F.concat(pick(["en/", "de/", "fr/", "es/"], "lang", F.col("id"), F.col("name")), F.pmod(F.xxhash64("id", "name"), F.lit(10_000)).cast("string"))
+    url = F.concat(pick(["https://", "http://"], "scheme", F.col("id")), host, F.lit("/"), F.when(F.pmod(F.xxhash64("name"), F.lit(3)) == 0, word).otherwise(place))
+    empty = spark.range(2).select(F.when(F.col("id") == 0, "https://").otherwise("").alias("url"), F.lit(0).alias("label"), F.lit("").alias("host"))
+    return rows.select(url.alias("url"), "label", host.alias("host")).union(empty)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -77,11 +96,10 @@ def buckets(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(grams("h:", host, 3), grams("h:", host, 4), grams("p:", path, 3)))
 
 
-def train(spark: SparkSession, labelled=LABELLED) -> tuple[list[float], float]:
-    """Weights by bucket and the intercept, fitted by Spark ML from the labelled urls (a table of fixed, small size)."""
-    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(float(y)).alias("label")) for u, y in labelled))))
-    host, path = host_and_path(F.col("url"))
-    rows = rows.select("label", host.alias("host"), path.alias("path"))
+def train(urls: DataFrame) -> tuple[list[float], float]:
+    """Weights by bucket and the intercept, fitted by Spark ML from a small table of url and label (0 or 1; rows without one don't count)."""
+    host, path = host_and_path(F.col("url").cast("string"))
+    rows = urls.where("label is not null").select(F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path"))
     rows = cut(rows.select("label", buckets(F.col("host"), F.col("path")).alias("at")))  # else each of the features below would work it out again
     ones = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("at"), i.cast("int")).cast("double"))
     model = LogisticRegression(regParam=0.001, standardization=False, maxIter=30).fit(rows.select("label", array_to_vector(ones).alias("features")).coalesce(1))
