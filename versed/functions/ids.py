@@ -52,17 +52,30 @@ def eli(celex: Column) -> Column:
     return F.when(word.isNotNull(), F.concat(F.lit("http://data.europa.eu/eli/"), word, F.lit("/"), F.regexp_extract(F.trim(celex), shape, 1), F.lit("/"), number, F.lit("/oj")))
 
 
-def normal_eli(x: Column, languages: tuple[str, ...] = ("eng", "fra", "deu", "ukr", "spa", "ita", "pol")) -> Column:
-    """Canonical form of a European identifier; null if it is none, empty if it is broken."""
+# The languages of European law and those of human-rights case law, two letters to three.
+EU_LANGUAGES = {
+    "bg": "bul", "cs": "ces", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "es": "spa", "et": "est", "fi": "fin", "fr": "fra", "ga": "gle", "hr": "hrv",
+    "hu": "hun", "it": "ita", "lt": "lit", "lv": "lav", "mt": "mlt", "nl": "nld", "pl": "pol", "pt": "por", "ro": "ron", "sk": "slk", "sl": "slv", "sv": "swe",
+}
+ECHR_LANGUAGES = {"en": "ENG", "fr": "FRA", "ru": "RUS", "uk": "UKR", "de": "GER", "it": "ITA", "es": "SPA", "tr": "TUR", "pl": "POL", "ro": "ROM", "lv": "LAV", "lt": "LIT"}
+
+
+def language_code(x: Column, codes: dict[str, str] = EU_LANGUAGES) -> Column:
+    """The three-letter code of a two-letter one, English if it is empty; null for a language that isn't covered."""
+    low = F.coalesce(F.nullif(F.lower(F.trim(x)), F.lit("")), F.lit("en"))
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in codes.items() for v in pair)), low)
+
+
+def normal_eli(x: Column, languages: tuple[str, ...] = tuple(EU_LANGUAGES.values())) -> Column:
+    """Canonical form of a European identifier, without formats and languages at its end; null if it is none, empty if it is broken."""
     raw = F.regexp_extract(F.trim(x), r"^[^?#]*", 0)
     start = r"(?i)^(?:https?://(?:data\.europa\.eu|eur-lex\.europa\.eu|publications\.europa\.eu/resource)/)?eli/"
     parts = F.filter(F.split(F.lower(F.regexp_replace(raw, start, "")), "/"), lambda s: s != "")
-    tails = F.array(*(F.lit(t) for t in (*ELI_TAILS, *languages)))
-    for _ in range(3):
-        last = F.element_at(parts, -1)
-        parts = F.when((F.size(parts) > 3) & F.array_contains(tails, last), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    rest = F.array_join(F.slice(parts, 4, F.greatest(F.size(parts), F.lit(1))), "/")
+    rest = F.regexp_replace(rest, f"(?:(?:^|/)(?:{'|'.join((*ELI_TAILS, *languages))}))+$", "")
     good = (F.size(parts) >= 3) & F.forall(parts, lambda s: s.rlike(r"^[a-z0-9_\-]+$"))
-    return F.when(~raw.rlike(start), F.lit(None).cast("string")).when(good, F.concat(F.lit("http://data.europa.eu/eli/"), F.array_join(parts, "/"))).otherwise("")
+    path = F.concat_ws("/", F.slice(parts, 1, 3), F.nullif(rest, F.lit("")))
+    return F.when(~raw.rlike(start), F.lit(None).cast("string")).when(good, F.concat(F.lit("http://data.europa.eu/eli/"), path)).otherwise("")
 
 
 def locator(x: Column) -> Column:
@@ -85,8 +98,9 @@ def roman(n: Column) -> Column:
 def annex(x: Column) -> Column:
     """Roman number of an annex; a bare number is an article, a bare Roman one an annex."""
     clean = F.translate(F.trim(x), *LOOKALIKES)
-    named, shape = r"(?i)^(?:annex|додаток|приложение|anx)[\s_.]*", r"([0-9]{1,2}|[IVXLC]+)$"
-    number = F.upper(F.regexp_extract(clean, named + shape, 1))
+    named, shape = r"(?iu)^(?:annex|додаток|приложение|anx)[\s_.]*", r"(?i)^([0-9]{1,2}|[IVXLC]+)$"
+    bare_number = F.translate(F.regexp_replace(F.trim(x), named, ""), *LOOKALIKES)
+    number = F.when(F.trim(x).rlike(named), F.upper(F.regexp_extract(bare_number, shape, 1))).otherwise("")
     bare = F.regexp_extract(clean, "^([IVXLC]+)$", 1)
     return F.coalesce(F.when(number.rlike("^[0-9]+$"), roman(F.nullif(number, F.lit("")).try_cast("int"))), F.nullif(number, F.lit("")), F.nullif(bare, F.lit("")))
 
@@ -137,3 +151,72 @@ def identifier_kind(x: Column) -> Column:
 def age_days(now: Column, then: Column) -> Column:
     """Whole days from `then` to `now`."""
     return F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 86400)
+
+
+def age(now: Column, then: Column) -> Column:
+    """Days from `then` to `now`, to two decimals."""
+    return F.round((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 86400, 2)
+
+
+def without_dot(x: Column) -> Column:
+    """A metadata value without blanks and dots at its end; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.trim(x), r"\.+$", ""), F.lit(""))
+
+
+def case_number(x: Column) -> Column:
+    """A case number from an address, which may be encoded twice, in small letters and single spaces."""
+    once = F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    twice = F.coalesce(F.try_url_decode(F.replace(once, F.lit("+"), F.lit("%2B"))), once)
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(twice, F.lit("")))), r"\s+", " ")
+
+
+def redaction_date(text: Column) -> Column:
+    """The date after the words for `redaction of` as an ISO text, or null."""
+    shape = r"(?iu)редакція\s+від\s+(\d{2})\.(\d{2})\.(\d{4})"
+    return F.when(text.rlike(shape), F.concat_ws("-", *(F.regexp_extract(text, shape, k) for k in (3, 2, 1))))
+
+
+# Shapes of identifiers that may be sent on.
+SHAPES = {"company": r"^\d{8,10}$", "tender": r"^UA-\d{4}-\d{2}-\d{2}-\d{6}-[a-z]$", "generic": r"^[A-Za-z0-9][A-Za-z0-9._/-]{0,63}$"}
+
+
+def well_formed(x: Column, kind: str) -> Column:
+    """Whether an identifier has its kind's shape; null and blanks at the ends don't."""
+    return F.coalesce(x.rlike(SHAPES[kind]), F.lit(False))
+
+
+# Endings of file names.
+FILE_ENDINGS = ("pdf", "docx", "doc", "txt", "rtf", "zip", "xml", "html")
+
+
+def address_fault(x: Column) -> Column:
+    """Why a text is no address inside a document: url, path or file; null if it may be one."""
+    t = F.trim(F.coalesce(x, F.lit("")))
+    low = F.lower(t)
+    return (
+        F.when(low.contains("://") | low.startswith("file:") | low.startswith("\\\\"), "url")
+        .when(t.contains("\\") | t.rlike(r"[A-Za-z]:[/\\]") | t.startswith("/"), "path")
+        .when(t.contains("..") | low.rlike(rf"\.(?:{'|'.join(FILE_ENDINGS)})$"), "file")
+    )
+
+
+def flag(x: Column) -> Column:
+    """true for `1` and `true`, false for `0` and `false`, else null."""
+    return F.when(F.lower(F.trim(x)).isin("1", "true"), True).when(F.lower(F.trim(x)).isin("0", "false"), False)
+
+
+def file_name(x: Column) -> Column:
+    """An id as the name of a file: slashes, backslashes and colons become underscores."""
+    return F.translate(F.trim(x), "/\\:", "___")
+
+
+def document_class(order: Column, ident: Column) -> Column:
+    """treaty, procedure or act, by legal order and shape of the id; decision where the id is a court document's."""
+    t = F.trim(ident)
+    procedure = t.rlike(r"^(?:12016E/PRO/03|1\d{4}E|32012Q|02012Q|32024Y|32024D2490)") | t.rlike(r"(?i)^(?:https?://[^/]+/(?:resource/)?)?eli/proc_rules/")
+    return F.when((order == "INTL") | F.lower(t).startswith("treaty:"), "treaty").when((order == "EU") & procedure, "procedure").when(t.rlike(r"(?i)^(?:ecli:|6\d{4}[a-z]{2}\d|001-\d+)"), "decision").otherwise("act")
+
+
+def citation(*parts: Column) -> Column:
+    """The parts that aren't blank, joined by commas."""
+    return F.concat_ws(", ", *(F.nullif(F.trim(p.cast("string")), F.lit("")) for p in parts))

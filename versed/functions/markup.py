@@ -14,6 +14,8 @@ from versed.functions.python import flat
 HEADING = re.compile(r"(?i)article\s+\d+[a-z]?$")
 #: Classes of an act's title, and how many lines of each make one.
 TITLES = {"oj-doc-ti": 2, "title-doc-first": 2, "doc-ti": 2, "oj-ti-tbl": 1}
+#: Tags that never hold one of their own kind directly.
+LIKE = frozenset(("p", "li", "tr", "td", "th", "dt", "dd", "option"))
 VOID = frozenset(("br", "img", "meta", "link", "input", "hr", "col", "area", "base", "wbr"))
 
 
@@ -24,10 +26,12 @@ class Node:
         self.tag, self.attrs, self.up, self.children = tag, attrs, up, []
 
     def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+        """This node and all below it in order; without recursion, since tags that nobody closed nest deeply."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
     def text(self) -> str:
         out, todo = [], [self]
@@ -49,7 +53,7 @@ class Tree(HTMLParser):
         self.root = self.at = Node("", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and self.at.tag == "p":  # a paragraph that wasn't closed
+        if tag in LIKE and self.at.tag == tag:  # one that wasn't closed
             self.at = self.at.up
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)

@@ -173,24 +173,37 @@ def stub_kind(text: Column, shortest: int | None = SHORT, extra: tuple[str, ...]
 BYLAW_WORDS = ("постанова", "наказ", "указ", "розпорядження", "рішення", "лист", "інструкція", "положення", "порядок", "декрет", "угода", "конвенція")
 
 
-def kind_of_words(words_: Column) -> Column:
+def kind_of_words(words_: Column, bylaw: tuple[str, ...] = BYLAW_WORDS) -> Column:
     low = F.lower(words_)
     return (
         F.when(low.contains("конституція"), "constitution").when(low.contains("кодекс"), "code").when(low.contains("закон"), "law")
-        .when(any_of(low, BYLAW_WORDS), "bylaw")
+        .when(any_of(low, bylaw), "bylaw")
     )
 
 
+# What makes a heading in capitals a bylaw's; the shapes of a requisite line and of a bylaw's id; the start of a text that is read.
+HEADING_BYLAW = ("кабінет міністрів", "міністерство", "постанова", "наказ", "указ", "розпорядження", "рішення", "положення")
+REQUISITE = r"(?m)^[^\n]{0,200};\s*([^\n;]{2,120}?)\s+від\s+\d{2}\.\d{2}\.\d{4}"
+BYLAW_ID = r"(?i)-\d{4}-(?:п|р)$|^z\d+"
+HEAD = 4000
+
+
+def first_kind(texts: Column, bylaw: tuple[str, ...]) -> Column:
+    """The kind that the first of the texts to name one names."""
+    return F.get(F.filter(F.transform(texts, lambda x: kind_of_words(x, bylaw)), lambda k: k.isNotNull()), 0)
+
+
 def document_kind(text: Column, doc_id: Column, type_code: Column | None = None) -> Column:
-    """Kind of a document: by type code, else the requisite line, else its id, else its first heading in capitals."""
-    requisite = F.regexp_extract(text, r"(?m)^[^\n]{0,200};\s*([^\n;]{2,120}?)\s+від\s+\d{2}\.\d{2}\.\d{4}", 1)
-    heads = F.filter(F.transform(F.split(text, r"\R"), strip), lambda x: F.length(x).between(4, 90) & (F.upper(x) == x) & (F.lower(x) != x))
+    """Kind of a document: by type code, else a requisite line, else its id, else its first heading in capitals that names a kind."""
+    start = F.substring(text, 1, HEAD)
+    heads = F.filter(F.transform(F.split(start, r"\R"), squeeze), lambda x: F.length(x).between(4, 90) & (F.upper(x) == x))
     by_code = F.lit(None).cast("string")
     if type_code is not None:
         code = F.trim(type_code.cast("string"))
         by_code = F.when(code == "216", "constitution").when(code == "1", "law").when(code == "21", "code").when(code != "", "bylaw")
     return F.coalesce(
-        by_code, F.when(requisite != "", kind_of_words(requisite)), F.when(doc_id.rlike(r"(?i)-\d{4}-(?:п|р)$|^z\d+"), "bylaw"), kind_of_words(F.get(heads, 0)), F.lit("unknown"),
+        by_code, first_kind(F.regexp_extract_all(start, F.lit(REQUISITE), F.lit(1)), BYLAW_WORDS), F.when(F.trim(doc_id).rlike(BYLAW_ID), "bylaw"),
+        first_kind(heads, HEADING_BYLAW), F.lit("unknown"),
     )
 
 
@@ -213,8 +226,41 @@ def real_title(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), squeeze), lambda x: x != "")
     plain = F.transform(lines, lambda x: F.regexp_replace(x, r"^(.+?)\s*\|\s*від\s+\d{2}\.\d{2}\.\d{4}.*$", "$1"))
     skipped = lambda x: x.rlike("(?iu)^(?:" + "|".join(b.replace("[", r"\[").replace("]", r"\]") for b in BOILERPLATE) + ")")
-    good = F.filter(plain, lambda x: ~skipped(x) & ~x.rlike(r"^[^\n]{0,200};\s*[^\n;]{2,120}?\s+від\s+\d{2}\.\d{2}\.\d{4}") & F.length(x).between(5, 500))
+    good = F.filter(plain, lambda x: ~skipped(x) & ~x.rlike(REQUISITE) & F.length(x).between(5, 500))
     title = F.coalesce(F.get(good, 0), F.lit(""))
     start = F.substring(F.regexp_replace(title, r"[.…\s]+$", ""), 1, 24)
     whole = F.get(F.filter(lines, lambda x: (F.length(x) > F.length(title)) & x.startswith(start) & (F.length(x) <= 500) & ~x.rlike(r"\|\s*від\s")), 0)
     return F.when(title.rlike(r"(?:\.\.\.|…)$") & (F.length(start) >= 12), F.coalesce(whole, title)).otherwise(title)
+
+
+def excerpt(text: Column, tokens: list[str], size: int = 14) -> Column:
+    """`size` words of a text around the first that a token reaches, with ` … ` where it was cut; the beginning if none does."""
+    def reached(w: Column) -> Column:
+        low, found = F.regexp_replace(F.lower(w), f"^(?:(?!{TOKEN}).)+|(?:(?!{TOKEN}).)+$", ""), F.lit(False)
+        for t in tokens:
+            start, prefix = stem_of(t)
+            found = found | (low.startswith(start) if prefix else low == start)
+        return found
+
+    def shown(ws: Column) -> Column:
+        first = F.coalesce(F.get(F.filter(F.transform(ws, lambda w, i: F.when(reached(w), i)), lambda i: i.isNotNull()), 0), F.lit(0))
+        begin = F.greatest(F.lit(0), F.least(first - size // 2, F.size(ws) - size))
+        body = F.array_join(F.slice(ws, begin + 1, size), " ")
+        return F.concat(F.when(begin > 0, " … ").otherwise(""), body, F.when(begin + size < F.size(ws), " … ").otherwise(""))
+
+    return let(F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != ""), shown)
+
+
+def query_status(query: Column) -> Column:
+    """`unusable_query` if a query has no searchable word, which is no empty result; else `ok`."""
+    return F.when(F.size(query_tokens(F.coalesce(query, F.lit("")))) == 0, "unusable_query").otherwise("ok")
+
+
+# Kinds of opinions after which a judgment's own text has ended.
+OPINIONS = ("CONCURRING", "DISSENTING", "SEPARATE", "PARTLY", "JOINT")
+
+
+def own_lines(lines: Column) -> Column:
+    """The lines of a judgment before the first heading, all in capitals, of an opinion."""
+    ends = F.filter(F.transform(lines, lambda x, i: F.when((strip(x) == F.upper(strip(x))) & x.contains("OPINION") & any_of(x, OPINIONS), i)), lambda i: i.isNotNull())
+    return F.slice(lines, 1, F.coalesce(F.get(ends, 0), F.size(lines)))

@@ -23,17 +23,28 @@ def missing(rows: DataFrame, have: DataFrame, key: str, other: str) -> DataFrame
     return rows.join(have.select(F.col(other).alias("__have")), F.col(key) == F.col("__have"), "left_anti")
 
 
-def within_budget(rows: DataFrame, part: str, order: str, size: Column, limit: int, separator: int = 1) -> DataFrame:
+#: Width of the stretches of a numeric order in which windows over a large part are worked out.
+SPAN = 1 << 16
+
+
+def within_budget(rows: DataFrame, part: str, order: str, size: Column, limit: int, separator: int = 1, span: int = SPAN) -> DataFrame:
     """Rows of each part, in order, up to the first that would pass the budget; the first row always stays.
 
-    used_before is the budget that the rows before took, separators included.
+    used_before is the budget that the rows before took, separators included. `order` is a whole number: sums are made by
+    stretches of it and carried over, and stretches that begin past the budget go first, so no task walks a whole part.
     """
-    w = W.partitionBy(part).orderBy(order)
-    rows = rows.withColumn("__size", size)
-    rows = rows.withColumns({"used_before": F.coalesce(F.sum(F.col("__size") + separator).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__n": F.row_number().over(w)})
-    over = (F.col("__n") > 1) & (F.col("used_before") + F.col("__size") > limit)
-    rows = rows.withColumn("__over", F.max(over).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.where(~F.col("__over")).drop("__over", "__n", "__size")
+    rows = rows.withColumn("__size", size).withColumn("__at", F.floor(F.col(order) / span))
+    w = W.partitionBy(part).orderBy("__at")
+    sums = rows.groupBy(part, "__at").agg(F.sum(F.col("__size") + separator).alias("__all"))
+    sums = sums.select(F.col(part).alias("__part"), F.col("__at").alias("__in"), F.coalesce(F.sum("__all").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__carried"))
+    rows = rows.join(sums.where(F.col("__carried") <= limit + separator), F.col(part).eqNullSafe(F.col("__part")) & (F.col("__at") == F.col("__in"))).drop("__part", "__in")
+    own = W.partitionBy(part, "__at").orderBy(order)
+    rows = rows.withColumn("used_before", F.col("__carried") + F.coalesce(F.sum(F.col("__size") + separator).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    first = (F.col("__carried") == 0) & (F.row_number().over(own) == 1)
+    rows = rows.withColumn("__over", ~first & (F.col("used_before") + F.col("__size") > limit))
+    ends = rows.where("__over").groupBy(F.col(part).alias("__part")).agg(F.min(order).alias("__end"))
+    rows = rows.join(ends, F.col(part).eqNullSafe(F.col("__part")), "left").where("__end is null or not __over").where(F.col("__end").isNull() | (F.col(order) < F.col("__end")))
+    return rows.drop("__over", "__size", "__at", "__carried", "__part", "__end")
 
 
 def joined_within(rows: DataFrame, part: str, order: str, chunk: Column, budget: int, most: int, separator: str = "\n\n---\n\n") -> DataFrame:

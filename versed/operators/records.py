@@ -47,8 +47,8 @@ def lookup(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def containment(queries: DataFrame, q: str, aliases: DataFrame, alias: str, width: int = 3) -> DataFrame:
     """Pairs in which one text contains the other, found by shared grams of `width` characters and then checked.
 
-    A contained text shares its first grams with the container, so an equi-join on one gram of the shorter side finds all
-    pairs: no cross join. Texts shorter than `width` meet by single characters.
+    A contained text has all its grams in the container, so an equi-join on any one of them finds all pairs: no cross
+    join. Of each text that one is taken which the fewest of the other side have. Shorter texts meet by characters.
     """
     def grams(x: Column) -> Column:
         n = F.length(x)
@@ -56,13 +56,16 @@ def containment(queries: DataFrame, q: str, aliases: DataFrame, alias: str, widt
         short = F.transform(F.split(x, ""), lambda c: c)
         return F.array_distinct(F.when(n >= width, F.concat(many, short)).otherwise(short))
 
-    def head(x: Column) -> Column:
-        return F.when(F.length(x) >= width, F.substring(x, 1, width)).otherwise(F.substring(x, 1, 1))
+    def meet(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        theirs = outer.select(o).distinct().select(F.col(o).alias("__o"), F.explode(grams(F.col(o))).alias("__g"))
+        common = theirs.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+        mine = inner.select(F.col(i).alias("__i")).distinct().withColumn("__g", F.explode(grams(F.col("__i"))))
+        rarest = mine.join(common, "__g").groupBy("__i").agg(F.min(F.struct("__n", "__g")).alias("__r")).select("__i", F.col("__r.__g").alias("__g"))
+        pairs = rarest.join(theirs, "__g").where(F.col("__o").contains(F.col("__i"))).select("__i", "__o")
+        return inner.join(pairs, inner[i] == pairs["__i"]).join(outer, outer[o] == F.col("__o")).drop("__i", "__o")
 
     a, b = queries.where(F.col(q) != ""), aliases.where(F.col(alias) != "")
-    inside = a.withColumn("__g", head(F.col(q))).join(b.withColumn("__g", F.explode(grams(F.col(alias)))), "__g").where(F.col(alias).contains(F.col(q)))
-    around = a.withColumn("__g", F.explode(grams(F.col(q)))).join(b.withColumn("__g", head(F.col(alias))), "__g").where(F.col(q).contains(F.col(alias)))
-    return inside.drop("__g").union(around.drop("__g")).distinct()
+    return meet(a, q, b, alias).unionByName(meet(b, alias, a, q)).distinct()
 
 
 def quota(rows: DataFrame, part: str, order: str, size: Column, entries: int, chars: int) -> DataFrame:

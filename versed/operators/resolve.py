@@ -12,7 +12,8 @@ from versed.operators.records import containment, pick
 # Shape of an official id, the title that stands in for one, law words before a title.
 OFFICIAL = r"(?iu)^[a-zа-яіїєґ]*\d+[a-zа-яіїєґ]*\d*[-_/]\d+(?:[-_](?:[а-яіїєґ]{1,3}|[ivxlcdm]{1,6}))?$"
 STAND_IN = "zakon rada document"
-PREFIXES = ("", "зу ", "закон ", "закон україни ")
+#: What a beginning of a query may stand for, besides itself.
+PREFIXES = {"зу ": ("закон ", "закон україни "), "закон україни ": ("закон ", ""), "закон ": ("",)}
 
 
 def is_official(x: Column) -> Column:
@@ -49,15 +50,23 @@ def best_title(rows: DataFrame, request: str, wanted: str, title: str, seq: str)
     return pick(scored, [request], F.desc("title_score"), F.col(seq))
 
 
+def variants(low: Column) -> Column:
+    """A query and what it may stand for, in a fixed order: its usual beginning replaced by each of the others."""
+    out = F.array(low)
+    for start, others in PREFIXES.items():
+        rest = F.substring(low, F.lit(len(start) + 1), F.length(low))
+        out = F.when(low.startswith(start), F.concat(out, F.array(*(F.concat(F.lit(o), rest) for o in others)))).otherwise(out)
+    return F.array_distinct(F.filter(out, lambda x: F.trim(x) != ""))
+
+
 def by_alias(queries: DataFrame, q: str, aliases: DataFrame) -> DataFrame:
     """q, law_id and matched_by: an id, else an exact alias, else an alias that contains the query or lies in it.
 
-    aliases has alias (lower-cased) and law_id. The variants of a query (with the usual words before it) are tried in
-    order; of equals the alias that comes first by name wins.
+    aliases has alias (lower-cased) and law_id. The variants of a query are tried in order; of equals the alias that comes
+    first by name wins.
     """
     asked = queries.select(F.col(q), F.lower(F.trim(q)).alias("__low")).where("__low <> ''").distinct()
-    stages = F.array(*(F.struct(F.lit(k).alias("variant"), F.concat(F.lit(p), F.col("__low")).alias("text")) for k, p in enumerate(PREFIXES)))
-    tried = asked.select(q, F.inline(stages))
+    tried = asked.select(q, F.posexplode(variants(F.col("__low"))).alias("variant", "text"))
     ids = asked.join(aliases.select("law_id").distinct(), F.col("__low") == F.lower("law_id")).select(q, "law_id", F.lit(0).alias("stage"), F.lit(0).alias("variant"), F.lit("").alias("alias"))
     exact = tried.join(aliases, tried["text"] == aliases["alias"]).select(q, "law_id", F.lit(1).alias("stage"), "variant", "alias")
     near = containment(tried, "text", aliases, "alias").select(q, "law_id", F.lit(2).alias("stage"), "variant", "alias")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versed.functions import text as T
+from versed.plans.session import ship
 
 #: Reciprocal-rank constant, BM25 parameters and weights of heading and body.
 RRF, K1, B, HEADING, BODY = 60, 1.2, 0.75, 5.0, 1.0
@@ -123,6 +127,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 16_384) -> DataFrame:
+    """query, key and score: for each query vector the k nearest others by cosine (9 decimals, ties by key), exactly.
+
+    Queries go out in blocks of about `block`, told by a hash, so that what is sent is bounded; each task keeps the k best
+    of its rows for each query of a block, and the tasks' bests are merged.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    blocks = max(1, -(-queries.count() // block))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def unit(rows) -> np.ndarray:
+        x = np.array(rows.to_pylist(), dtype=float).reshape(len(rows), -1)
+        n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 0)
+
+    out = []
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).toArrow()
+        if not asked.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((asked[key].to_numpy(), unit(asked[vector])))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, matrix = sent.value
+            kept = []  # the best keys and scores so far, a column for each query
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(key).to_numpy(zero_copy_only=False)
+                score = np.round(unit(batch.column(vector)) @ matrix.T, 9)
+                score[own[:, None] == ids] = np.nan  # not itself; nor vectors of no length
+                names = np.broadcast_to(own[:, None], score.shape)
+                if kept:
+                    names, score = np.concatenate([kept[0], names]), np.concatenate([kept[1], score])
+                by = np.argsort(names, axis=0, kind="stable")
+                names, score = np.take_along_axis(names, by, 0), np.take_along_axis(score, by, 0)
+                by = np.argsort(-score, axis=0, kind="stable")[:k]  # nan sorts last
+                kept = [np.take_along_axis(names, by, 0), np.take_along_axis(score, by, 0)]
+            if kept:
+                good = ~np.isnan(kept[1])
+                of = np.broadcast_to(ids, good.shape)[good]
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(kept[0][good]), pa.array(kept[1][good])], names=["query", key, "score"])
+
+        out.append(vectors.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double"))
+    rows = reduce(DataFrame.unionByName, out) if out else vectors.select(F.col(key).alias("query"), key, F.lit(0.0).alias("score")).where("false")
+    merged = rows.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col(key)))), 1, k).alias("best"))  # k rows for each task
+    return merged.select("query", F.explode("best").alias("b")).select("query", F.col(f"b.{key}").alias(key), (-F.col("b.far")).alias("score"))
+
+
 def ranked(hits: DataFrame, key: str, channel: str, pool: int) -> DataFrame:
     """key, channel and rank (from 1) of the best `pool` hits by (score desc, key)."""
     best = top(hits, pool, F.desc("score"), F.col(key))

@@ -46,10 +46,22 @@ def fresh(age_days: Column, ttl: Column) -> Column:
     return F.coalesce(age_days < F.coalesce(F.nullif(ttl, F.lit(0)), F.lit(DAYS)), F.lit(False))
 
 
-def change_state(rows: DataFrame, part: list[str], order: str, digest: str) -> DataFrame:
-    """Rows with prev_hash and state: unknown without a row before, else same or changed."""
-    prev = F.lag(digest).over(W.partitionBy(*part).orderBy(order))
-    return rows.withColumn("prev_hash", prev).withColumn("state", F.when(F.col("prev_hash").isNull(), "unknown").when(F.col("prev_hash") == F.col(digest), "same").otherwise("changed"))
+def change_state(rows: DataFrame, part: list[str], order: str, digest: str, span: int = 1 << 16) -> DataFrame:
+    """Rows with prev_hash and state: unknown without a row before, else same or changed.
+
+    `order` is a whole number, one row each: a row looks back inside its stretch of it, the first of a stretch to the last
+    row of the stretch before, so no task walks a whole part.
+    """
+    rows = rows.withColumn("__at", F.floor(F.col(order) / span))
+    lasts = rows.groupBy(*part, "__at").agg(F.max_by(digest, order).alias("__last"))
+    lasts = lasts.withColumn("__carried", F.lag("__last").over(W.partitionBy(*part).orderBy("__at"))).select(*(F.col(c).alias(f"__k{k}") for k, c in enumerate([*part, "__at"])), "__carried")
+    same = F.lit(True)
+    for k, c in enumerate([*part, "__at"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{k}"))
+    own = W.partitionBy(*part, "__at").orderBy(order)
+    rows = rows.join(lasts, same).withColumn("prev_hash", F.when(F.row_number().over(own) == 1, F.col("__carried")).otherwise(F.lag(digest).over(own)))
+    state = F.when(F.col("prev_hash").isNull(), "unknown").when(F.col("prev_hash") == F.col(digest), "same").otherwise("changed")
+    return rows.withColumn("state", state).drop("__at", "__carried", *(f"__k{k}" for k in range(len(part) + 1)))
 
 
 def stale_while_error(cached: Column, is_fresh: Column, fetched: Column) -> Column:

@@ -152,17 +152,19 @@ def postings_df(spark, sf):
     return search.top(search.document_frequencies(table(spark, sf, "documents"), "doc_id", "text"), 200, F.desc("df"), F.col("term"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE lang = 'de')
-SELECT term, doc_id, 'body' AS field, count(*) AS tf FROM t GROUP BY term, doc_id""")
+POSTINGS_SQL = """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)
+SELECT term, doc_id, 'body' AS field, count(*) AS tf FROM t GROUP BY term, doc_id"""
+
+
+@query(POSTINGS_SQL)
 def inverted_index(spark, sf):
-    """The postings of the German documents; inverted_index_all has those of every document."""
-    return search.postings(table(spark, sf, "documents").where("lang = 'de'"), "doc_id", body="text")
+    return search.postings(table(spark, sf, "documents"), "doc_id", body="text")
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)
-SELECT term, doc_id, 'body' AS field, count(*) AS tf FROM t GROUP BY term, doc_id""")
+@query(POSTINGS_SQL + """ UNION ALL SELECT term, doc_id, 'heading' AS field, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term, doc_id""")
 def inverted_index_all(spark, sf):
-    return search.postings(table(spark, sf, "documents"), "doc_id", body="text")
+    """The postings of two fields: the body, and the first line as a heading."""
+    return search.postings(table(spark, sf, "documents").withColumn("heading", F.get(F.split("text", "\n"), 0)), "doc_id", body="text", heading="heading")
 
 
 @query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
@@ -374,19 +376,42 @@ def doc_kind(spark, sf):
 # --- quotes ---
 
 
+#: Words of a gram by which quotes and documents meet, characters of one for quotes without whole words, items up to which they are broadcast.
+GRAM, CHARACTERS, SMALL = 5, 12, 100_000
+
+
 def _pairs(spark, sf, rules):
-    """benchmark x documents that hold the item, met by the item's first five words: an equi-join, then a check of the whole quote."""
-    def head(words):
-        return F.array_join(F.slice(words, 1, 5), " ")
+    """benchmark x documents that hold the item: an equi-join on words, then a check of the whole quote.
+
+    A quote may begin and end inside a word, but the words between its first and last are whole words of the document, so
+    up to GRAM of them are the key; quotes of one or two words meet by their first characters.
+    """
+    def runs(size, n, part):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: part(i, n))
 
     norm = (lambda x: T.normal_quote(x, rules)) if rules else (lambda x: x)
-    items = table(spark, sf, "benchmark").select("item_id", norm(F.col("text")).alias("quote"))
-    items = items.withColumn("g", head(F.slice(F.split(F.regexp_replace("quote", r"^\S*\s+", ""), r"\s+"), 1, 5)))
+    items = table(spark, sf, "benchmark").select("item_id", norm(F.col("text")).alias("quote")).where("quote <> ''")
+    items = items.withColumn("inner", F.split("quote", r"\s+")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
+    items = items.withColumn("width", F.least(F.size("inner"), F.lit(GRAM)))
+    key = F.when(F.col("width") > 0, F.array_join(F.slice("inner", 1, GRAM), " "))
+    kinds = items.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("quote")).alias("least")).collect()  # GRAM + 1 rows at most
     docs = table(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("body"))
-    words = docs.select("doc_id", F.split("body", r"\s+").alias("w"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    met = words.select("doc_id", F.explode(grams).alias("g")).join(items.select("item_id", "g", "quote"), "g").select("doc_id", "item_id", "quote").distinct()
-    return met.join(docs, "doc_id").where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", F.instr("body", F.col("quote")).cast(LONG).alias("position"))
+    words = docs.select("doc_id", "body", F.split("body", r"\s+").alias("w"))
+    met = None
+    for kind in kinds:
+        n = kind["width"]
+        mine = items.where(F.col("width") == n)
+        if n:
+            mine, grams = mine.withColumn("g", key), T.let(F.col("w"), lambda w: runs(F.size(w), n, lambda i, n: F.array_join(F.slice(w, i, n), " ")))
+        else:
+            n = min(CHARACTERS, kind["least"])
+            mine, grams = mine.withColumn("g", F.substring("quote", 1, n)), T.let(F.split("body", ""), lambda w: runs(F.size(w), n, lambda i, n: F.array_join(F.slice(w, i, n), "")))
+        mine = mine.select("item_id", "g", "quote")
+        rows = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(F.broadcast(mine) if kind["n"] <= SMALL else mine, "g").select("doc_id", "item_id", "quote")
+        met = rows if met is None else met.union(rows)
+    if met is None:
+        return docs.select(F.lit(0).cast(LONG).alias("item_id"), "doc_id", F.lit(0).cast(LONG).alias("position")).where("false")
+    return met.distinct().join(docs, "doc_id").where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", F.instr("body", F.col("quote")).cast(LONG).alias("position"))
 
 
 @query("SELECT b.item_id, d.doc_id, 'exact' AS status, instr(d.text, b.text) AS position FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -400,13 +425,32 @@ def quote_normalized(spark, sf):
     return _pairs(spark, sf, ("whitespace",)).select("item_id", "doc_id", F.lit("normalized").alias("status"), "position")
 
 
+#: Words of a gram by which an altered quote is found, and the share of a quote's grams that a document must have.
+NEAR, SHARE = 4, 0.2
+
+
+def near_pairs(items, docs):
+    """item_id, doc_id and word (place where the quote would begin) of documents that have a share of a quote's grams."""
+    def grams(text):
+        def of(w):
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - NEAR + 1)), lambda i: F.array_join(F.slice(w, i, NEAR), " "))
+
+        return T.let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), of)
+
+    asked = items.select("item_id", grams(F.col("quote")).alias("gs")).select("item_id", F.size("gs").alias("of"), F.posexplode("gs").alias("i", "g"))
+    theirs = docs.select("doc_id", F.posexplode(grams(F.col("text"))).alias("k", "g"))
+    at = theirs.join(F.broadcast(asked) if asked.count() <= SMALL else asked, "g").groupBy("item_id", "doc_id").agg(F.count_distinct("i").alias("n"), F.max("of").alias("of"), F.mode(F.col("k") - F.col("i"), deterministic=True).alias("word"))
+    return at.where(F.col("n") >= SHARE * F.col("of")).select("item_id", "doc_id", F.greatest("word", F.lit(0)).alias("word"))
+
+
 @query()
 def quote_nearest(spark, sf):
-    """Each benchmark item checked against the document of the same number: status, nearest window and word differences."""
-    from versed.functions.python import flat, match_quote
+    """Benchmark items in all documents that share words in a row with them: status, nearest window and word differences."""
+    from versed.functions.python import flat, match_near
 
-    pairs = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")).join(table(spark, sf, "documents").select("doc_id", "text"), F.col("item_id") == F.col("doc_id"))
-    return flat(pairs, ["item_id", "doc_id"], ["text", "quote"], "status string, start long, len long, rules string, diff string", match_quote).select("item_id", "doc_id", "status", "start", "len")
+    items, docs = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf, "documents").select("doc_id", "text")
+    pairs = near_pairs(items, docs).join(items, "item_id").join(docs, "doc_id")
+    return flat(pairs, ["item_id", "doc_id"], ["text", "quote", "word"], "status string, start long, len long, rules string, diff string", match_near).select("item_id", "doc_id", "status", "start", "len")
 
 
 # --- identifiers ---

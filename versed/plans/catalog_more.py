@@ -77,7 +77,11 @@ def provenance_flags(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.lit("full_text").alias("content"), evidence.confirmable(content, publication).alias("confirmable"), evidence.quotable(content, publication, F.col("vec_id") % 5 != 0, no, no).alias("quotable"))
 
 
-@query("""SELECT 'one current version' AS rule, 0::BIGINT AS n UNION ALL SELECT 'intervals run forward', 0 UNION ALL SELECT 'unit ids are unique', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))""")
+@query("""WITH a AS (SELECT l_partkey AS k, l_suppkey AS s, min(l_shipdate) AS f FROM lineitem GROUP BY 1, 2), v AS (SELECT k, lead(f) OVER (PARTITION BY k ORDER BY f, s) AS upto FROM a),
+o AS (SELECT o_custkey, o_orderdate AS f, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS n FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders))
+SELECT 'one current version' AS rule, (SELECT count(*) FROM (SELECT k FROM v GROUP BY k HAVING count(*) FILTER (upto IS NULL) <> 1)) AS n UNION ALL SELECT 'intervals run forward', (SELECT count(*) FROM o WHERE n IS NOT NULL AND n - INTERVAL 1 DAY < f)
+UNION ALL SELECT 'unit ids are unique', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+UNION ALL SELECT 'one order a day', (SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1))""")
 def invariants(spark, sf):
     """How often each rule of the data model is broken."""
     from versed.operators import temporal
@@ -88,7 +92,8 @@ def invariants(spark, sf):
     current = versions.groupBy("l_partkey").agg(F.count_if(F.col("status") == "current").alias("n")).where("n <> 1")
     spans = temporal.intervals(table(spark, sf, "orders"), "o_custkey", "o_orderdate").where("valid_to < valid_from")
     twice = lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
-    rules = (("one current version", current), ("intervals run forward", spans), ("unit ids are unique", twice))
+    often = table(spark, sf, "orders").groupBy("o_custkey", "o_orderdate").count().where("count > 1")
+    rules = (("one current version", current), ("intervals run forward", spans), ("unit ids are unique", twice), ("one order a day", often))
     out = None
     for name, broken in rules:
         row = broken.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")

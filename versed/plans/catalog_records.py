@@ -157,15 +157,12 @@ SELECT 5::BIGINT AS k, round(avg((first IS NOT NULL)::INT), 4) AS recall, round(
 
 @query(RECALL_SQL)
 def recall_mrr(spark, sf):
-    """A stated query set (ids divisible by 100) against all vectors, in one pass over them: queries are grouped in blocks."""
-    vectors = table(spark, sf, "embeddings")
-    block = vectors.where("vec_id % 100 = 0").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int"))
-    blocks = block.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("e"))).alias("qs"))
-    every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    rows = every.join(blocks, "block").select("vec_id", "label", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.q")
-    rows = rows.select(F.col("q.q").alias("q"), F.col("q.ql").alias("ql"), "label", "vec_id", F.round(search.cosine(F.col("embedding"), F.col("q.e")), 9).alias("s"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "vec_id"))
-    first = rows.withColumn("rank", rank).where("rank <= 5").groupBy("q").agg(F.min(F.when(F.col("label") == F.col("ql"), F.col("rank"))).alias("first"))
+    """A stated query set (ids divisible by 100) against all vectors: blocks of queries, each in one pass over the vectors."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    best = search.nearest(vectors.where("vec_id % 100 = 0"), vectors, "vec_id", "embedding", 5)
+    rows = best.join(vectors.select("vec_id", "label"), "vec_id").join(vectors.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query")
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id")))  # of five
+    first = rows.groupBy("query").agg(F.min(F.when(F.col("label") == F.col("ql"), F.col("rank"))).alias("first"))
     return first.agg(F.lit(5).cast(LONG).alias("k"), F.round(F.avg(F.col("first").isNotNull().cast("int")), 4).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr")).select("k", "recall", "mrr")
 
 
