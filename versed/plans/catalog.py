@@ -161,8 +161,14 @@ def inverted_index(spark, sf):
     return search.postings(table(spark, sf, "documents"), "doc_id", body="text")
 
 
-@query(POSTINGS_SQL + """ UNION ALL SELECT term, doc_id, 'heading' AS field, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term, doc_id""")
+@query(POSTINGS_SQL)
 def inverted_index_all(spark, sf):
+    """The same, by its earlier name."""
+    return inverted_index(spark, sf)
+
+
+@query(POSTINGS_SQL + """ UNION ALL SELECT term, doc_id, 'heading' AS field, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY term, doc_id""")
+def inverted_index_fields(spark, sf):
     """The postings of two fields: the body, and the first line as a heading."""
     return search.postings(table(spark, sf, "documents").withColumn("heading", F.get(F.split("text", "\n"), 0)), "doc_id", body="text", heading="heading")
 
