@@ -154,8 +154,9 @@ def age_days(now: Column, then: Column) -> Column:
 
 
 def age(now: Column, then: Column) -> Column:
-    """Days from `then` to `now`, to two decimals."""
-    return F.round((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 86400, 2)
+    """Days from `then` to `now`, to two decimals, halves up."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
+    return F.floor((seconds * 100 + 43_200) / 86_400) / 100
 
 
 def without_dot(x: Column) -> Column:

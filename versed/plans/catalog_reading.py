@@ -239,7 +239,7 @@ def alias_variants(spark, sf):
     return resolve.by_alias(asked, "q", aliases)
 
 
-@query("""SELECT event_id, round(date_diff('second', ts, TIMESTAMP '2024-06-01') / 86400.0, 2) AS age, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, 'c-605/' || (user_id % 100) || ' p' AS number,
+@query("""SELECT event_id, floor((date_diff('second', ts, TIMESTAMP '2024-06-01') * 100 + 43200) / 86400.0) / 100 AS age, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, 'c-605/' || (user_id % 100) || ' p' AS number,
 event_type || ', ' || user_id AS citation, CASE user_id % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'file' END AS fault, 'doc_' || user_id || '_a' AS file_name, CASE user_id % 4 WHEN 0 THEN 'treaty' WHEN 1 THEN 'procedure' WHEN 2 THEN 'decision' ELSE 'act' END AS class,
 '20' || lpad((user_id % 90 + 10)::VARCHAR, 2, '0') || '-02-01' AS redaction, user_id % 2 = 0 AS company_ok FROM events""")
 def small_rules(spark, sf):
