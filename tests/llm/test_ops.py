@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and its defined cases: nulls, empty and long texts, repeats, clashes, no rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -529,18 +530,35 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == set(slow_classes(texts))
 
 
-def test_near_duplicates_of_a_group_without_a_centre(spark):
-    """Documents that share a bucket but few links: none may be lost, and pairs that are ruled out make no rows."""
+@functools.cache
+def group_without_a_centre():
     r = random.Random(8)
     base = [f"w{k}" for k in range(150)]
     texts = []
-    for k in range(400):
+    for k in range(240):
         copy = list(base)
         for at in r.sample(range(150), r.choice([1, 2, 3, 4])):
             copy[at] = f"x{k}y{at}"
-        texts.append(" ".join(copy))
+        texts.append(" ".join(copy + copy[20:40] * (k % 40 == 0)))
+    return texts, slow_classes(texts)
+
+
+@pytest.mark.parametrize("many", [0, neardup.MANY, 10**9])
+def test_near_duplicates_of_a_group_without_a_centre(spark, monkeypatch, many):
+    """Documents that share a bucket but few links: none may be lost, whether pairs meet on shingles or are tested one by one."""
+    monkeypatch.setattr(neardup, "MANY", many)
+    texts, expected = group_without_a_centre()
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
-    assert [got[k] for k in range(len(texts))] == slow_classes(texts)
+    assert [got[k] for k in range(len(texts))] == expected
+
+
+def test_near_duplicates_of_many_that_are_near_but_not_linked(spark):
+    """2,000 documents at a similarity of 0.69 to each other, and copies of some: work doesn't grow with the pairs."""
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join(base + [f"x{k}y{j}" for j in range(90)]) for k in range(1900)]
+    texts += [t + " end" for t in texts[:100]]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
+    assert got == {k: k if k < 1900 else k - 1900 for k in range(2000)}
 
 
 def test_near_duplicates_without_ids_and_rows(spark, none):

@@ -12,6 +12,8 @@ Bands of components make buckets, and candidates are compared on their shingles:
     about n comparisons, not n squared.
  3. In buckets that still hold several components, the pairs across components are compared, unless what is known of
     both against the central document rules them out, with certainty (see `across`). Pairs that are ruled out make no rows.
+    Where many are outside the largest component, pairs meet on the shingles that one of them must have among its rarest
+    (see `prefixes`), if that takes fewer steps than a test of each pair: both ways find the same links.
 Every pair that shares a bucket is either compared, or ruled out, or in one component already, whatever the bucket's size.
 Two documents are linked if the plain or the probability Jaccard similarity of their shingles is SIMILAR or more.
 Classes are the connected components, found by alternating large and small stars in tables.
@@ -29,7 +31,7 @@ their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Bands, and components in each.
 BANDS, ROWS = 32, 5
 COMPONENTS = BANDS * ROWS
+#: Documents outside a bucket's largest component beyond which pairs may meet on shingles; it changes the work, not the links.
+MANY = 64
 #: 64-bit words of the bitmaps of the shingles that only one of a document and its bucket's central one has.
 BITMAP = 16
 
@@ -200,25 +204,61 @@ def shingled(rows: DataFrame) -> DataFrame:
 
 def compared(pairs: DataFrame, cand: DataFrame) -> DataFrame:
     """x, y and both similarities of the pairs (x, y); of x: size (distinct shingles), weight (of all its shingles), shares (with y), more (bitmap of the others); of y: whole (distinct shingles), less (bitmap of those that x hasn't)."""
+    def found(lists: list[list[np.ndarray]]) -> list[pa.Array]:
+        a_, m_, b_, o_ = lists
+        found = [similarity(a.view(np.uint32), m, b.view(np.uint32), o) for a, m, b, o in zip(a_, m_, b_, o_, strict=True)]
+        js, jp, shares = (np.array([f[k] for f in found], dtype=kind) for k, kind in ((0, float), (1, float), (2, np.int32)))
+        more, less = (pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(f[k]) for f in found] or [np.empty(0, dtype=np.int64)])), BITMAP).cast(pa.list_(pa.int64())) for k in (3, 4))
+        size, whole = (np.array([len(a) for a in some], dtype=np.int32) for some in (a_, b_))
+        weight = np.array([len(m) + np.log(m).sum() for m in m_], dtype=float)
+        return [*map(pa.array, (js, jp, size, weight, shares, whole)), more, less]
+
+    return side_by_side(pairs, cand, "js double, jp double, size int, weight double, shares int, whole int, more array<long>, less array<long>", FACTS, found)
+
+
+def prefixes(pairs: DataFrame, cand: DataFrame) -> DataFrame:
+    """x, y, shingle and short: the shingles of x that come first, those that y hasn't before those that it has, each kind by hash.
+
+    Of two documents that are linked, one lacks in the other at most (1 - SIMILAR) / (1 + SIMILAR) of its weight and the
+    other at most 1 - SIMILAR of its own (see `across`). In any order that is common to both, all before the first shingle
+    that they share is lacking, so that shingle is in the short beginning of the one, where no more than that fraction
+    comes before, and in the long beginning of the other. The order of all documents with the same y is the same; y's own
+    shingles, which most of them have, come last. Each beginning is the longer of those with equal and with own weights.
+    """
+
+    def found(lists: list[list[np.ndarray]]) -> list[pa.Array]:
+        taken, sizes = [], []
+        for a, m, b, _ in zip(*lists, strict=True):
+            order = np.argsort(np.isin(a, b, assume_unique=True), kind="stable")  # equal ones stay in the order of their hashes
+            w = 1 + np.log(m[order])
+            before, places = np.cumsum(w) - w, np.arange(len(w))
+            short, long = (max(int((before <= r * w.sum() + 1e-6).sum()), int((places <= r * len(w) + 1e-6).sum())) for r in ((1 - SIMILAR) / (1 + SIMILAR), 1 - SIMILAR))
+            taken.append(a[order[:long]])
+            sizes.append((short, long))
+        ends = np.append(0, np.cumsum([long for _, long in sizes])).astype(np.int32)
+        first = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken or [np.empty(0)]).astype(np.int32)))
+        return [first, pa.array(np.array([short for short, _ in sizes], dtype=np.int32))]
+
+    rows = side_by_side(pairs, cand, "first array<int>, shorts int", ("first", "shorts"), found)
+    return rows.select("x", "y", "shorts", F.posexplode("first").alias("k", "shingle")).select("x", "y", "shingle", (F.col("k") < F.col("shorts")).alias("short"))
+
+
+def side_by_side(pairs: DataFrame, cand: DataFrame, schema: str, names: tuple[str, ...], found: Callable[[list[list[np.ndarray]]], list[pa.Array]]) -> DataFrame:
+    """x, y and what `found` makes of the shingles and occurrences of x and of y."""
     one = cand.select(F.col("id").alias("x"), F.col("sh").alias("a"), F.col("n").alias("m"))
     two = cand.select(F.col("id").alias("y"), F.col("sh").alias("b"), F.col("n").alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {}
+            columns = []
             for name in ("a", "m", "b", "o"):
                 lists = batch.column(name)
                 values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-                columns[name] = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            found = [similarity(a.view(np.uint32), m, b.view(np.uint32), o) for a, m, b, o in zip(*columns.values(), strict=True)]
-            js, jp, shares = (np.array([f[k] for f in found], dtype=kind) for k, kind in ((0, float), (1, float), (2, np.int32)))
-            more, less = (pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(f[k]) for f in found] or [np.empty(0, dtype=np.int64)])), BITMAP).cast(pa.list_(pa.int64())) for k in (3, 4))
-            size, whole = (np.array([len(a) for a in columns[c]], dtype=np.int32) for c in "ab")
-            weight = np.array([len(m) + np.log(m).sum() for m in columns["m"]], dtype=float)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *map(pa.array, (js, jp, size, weight, shares, whole)), more, less], names=["x", "y", *FACTS])
+                columns.append([values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), *found(columns)], names=["x", "y", *names])
 
     rows = pairs.join(one, "x").join(two, "y").select("x", "y", "a", "m", "b", "o")
-    return rows.mapInArrow(run, "x long, y long, js double, jp double, size int, weight double, shares int, whole int, more array<long>, less array<long>")
+    return rows.mapInArrow(run, f"x long, y long, {schema}")
 
 
 def linked() -> Column:
@@ -266,7 +306,7 @@ def related(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, sc
 
     edges = seen.where(linked()).select("x", "y")
     parts = scratch.cut(components(edges, scratch))
-    more = scratch.cut(compared(across(shared, seen, parts, scratch), cand).where(linked()).select("x", "y"))
+    more = scratch.cut(compared(across(shared, seen, parts, cand, scratch), cand).where(linked()).select("x", "y"))
     parts = components(edges.union(more), scratch)
     return groups.join(parts, "id", "left").select("key", "first", F.coalesce("component", "id").alias("component"))
 
@@ -282,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return cut(sketches.select("doc_id", "key").join(named, "key").select("doc_id", "class_id"))
 
 
-def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, cand: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of a bucket that are in different components and that the bucket's central document p doesn't rule out.
 
     What rules out a pair (x, y), with certainty:
@@ -294,8 +334,9 @@ def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratc
     A bucket's largest component is never joined with itself, so what is tried grows with the pairs across components.
     """
     rows = scratch.cut(shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
-    mixed = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = scratch.cut(mixed.where("parts > 1").select("bucket", "main"))
+    mixed = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("part", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    mixed = scratch.cut(mixed.where("most < all").select("bucket", "main", (F.col("all") - F.col("most") > MANY).alias("many"), (F.col("all").cast("double") * (F.col("all") - F.col("most"))).alias("tests")))
+
     def ones(c: Column) -> Column:
         return sum((F.bit_count(F.get(c, F.lit(k))) for k in range(BITMAP)), F.lit(0))
 
@@ -306,7 +347,9 @@ def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratc
         (F.col("size") - (1 - SIMILAR) * F.col("weight")).alias("any"), (F.col("size") - (1 - SIMILAR) / (1 + SIMILAR) * F.col("weight")).alias("either"),
     )
     rows = rows.where("id <> pivot and members > 2").join(mixed, "bucket")  # the central document has been compared with all
-    rows = scratch.cut(rows.select("id", "pivot", "bucket", "part", "main").join(known, ["id", "pivot"]).drop("pivot"))
+    rows = scratch.cut(rows.select("id", "pivot", "bucket", "part", "main", "many", "tests").join(known, ["id", "pivot"]))
+    met, by_shingle = meeting(rows.where("many").select("id", "pivot", "bucket", "part", "tests"), cand, scratch)
+    rows = rows.join(by_shingle.withColumn("many", F.lit(True)), ["pivot", "many"], "left_anti")
 
     def one(side: str, some: DataFrame) -> DataFrame:
         return some.select(*(F.col(c).alias(f"{side}_{c}") for c in some.columns))
@@ -335,7 +378,34 @@ def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratc
     minor = rows.where("part <> main")
     both = one("x", minor).join(one("y", minor), apart & (x("id") > y("id")) & reached)
     mixed_ = one("x", minor).join(one("y", rows.where("part = main")), apart & reached)
-    return both.union(mixed_).select(F.greatest(x("id"), y("id")).alias("x"), F.least(x("id"), y("id")).alias("y")).distinct()
+    met = met.join(one("x", known), (F.col("x") == x("id")) & (F.col("pivot") == x("pivot"))).join(one("y", known), (F.col("y") == y("id")) & (F.col("pivot") == y("pivot")) & reached)
+    found = both.select("x_id", "y_id").union(mixed_.select("x_id", "y_id")).union(met.select("x_id", "y_id"))
+    return found.select(F.greatest(x("id"), y("id")).alias("x"), F.least(x("id"), y("id")).alias("y")).distinct()
+
+
+def meeting(rows: DataFrame, cand: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) around a central document (pivot) that are in different components and meet on a shingle of their prefixes; and the pivots for which all such pairs are among these, as that takes no more steps than the tests of their buckets.
+
+    The largest component around a pivot is never joined with itself.
+    """
+    own = scratch.cut(rows.select("id", "pivot", "part").distinct())
+    main = own.groupBy("pivot", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("pivot").agg(F.max_by("part", "n").alias("main"))
+    own = own.join(main, "pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y"), "part", (F.col("part") != F.col("main")).alias("minor"))
+    found = prefixes(own.select("x", "y"), cand).join(own, ["x", "y"]).withColumnRenamed("y", "pivot")
+    found = scratch.cut(found)
+
+    short, minor = F.col("short"), F.col("minor")
+    counts = found.groupBy("pivot", "shingle").agg(*(F.count_if(c).cast("double").alias(n) for c, n in ((minor & short, "sm"), (minor, "lm"), (~minor & short, "sn"), (~minor, "ln"))))
+    steps = counts.groupBy("pivot").agg(F.sum(F.expr("sm * (lm + ln) + sn * lm")).alias("steps"))
+    tests = rows.select("pivot", "bucket", "tests").distinct().groupBy("pivot").agg(F.sum("tests").alias("tests"))
+    fewer = scratch.cut(tests.join(steps, "pivot", "left").where(F.coalesce("steps", F.lit(0.0)) <= F.col("tests")).select("pivot"))
+
+    found = found.join(fewer, "pivot")
+    one = found.where("short").select("pivot", "shingle", "x", F.col("part").alias("x_part"), "minor")
+    two = found.select("pivot", "shingle", F.col("x").alias("y"), F.col("part").alias("y_part"), F.col("minor").alias("y_minor"))
+    sides = [one.where("minor").join(two, ["pivot", "shingle"]), one.where("not minor").join(two.where("y_minor"), ["pivot", "shingle"])]
+    met = [s.where("x_part <> y_part").select("pivot", F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")) for s in sides]
+    return scratch.cut(met[0].union(met[1]).distinct()), fewer
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
