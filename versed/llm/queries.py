@@ -170,3 +170,73 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, their errors, the errors by label, and the codebooks' digest."""
+    from versed.llm import codes
+
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op11_vector_codes"] = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS p FROM (SELECT vec_id, v, unnest(range(16)) AS part FROM kept)),
+book0 AS MATERIALIZED (SELECT part, rank - 1 AS e, p AS b FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM parts) WHERE rank <= 64),
+near0 AS MATERIALIZED (SELECT vec_id, part, any_value(p) AS p, min({'d': list_sum(list_transform(list_zip(p, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}) AS best FROM parts JOIN book0 USING (part) GROUP BY vec_id, part),
+sums0 AS (SELECT part, e, list(floor(s / n)::BIGINT ORDER BY i) AS b FROM (SELECT part, best.e AS e, i, sum(x)::DOUBLE AS s, count(*) AS n FROM (SELECT part, best, unnest(p) AS x, unnest(range(len(p))) AS i FROM near0) GROUP BY part, best.e, i) GROUP BY part, e),
+book1 AS MATERIALIZED (SELECT part, e, coalesce(s.b, o.b) AS b FROM book0 o LEFT JOIN sums0 s USING (part, e)),
+near1 AS MATERIALIZED (SELECT vec_id, part, any_value(p) AS p, min({'d': list_sum(list_transform(list_zip(p, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}) AS best FROM parts JOIN book1 USING (part) GROUP BY vec_id, part),
+sums1 AS (SELECT part, e, list(floor(s / n)::BIGINT ORDER BY i) AS b FROM (SELECT part, best.e AS e, i, sum(x)::DOUBLE AS s, count(*) AS n FROM (SELECT part, best, unnest(p) AS x, unnest(range(len(p))) AS i FROM near1) GROUP BY part, best.e, i) GROUP BY part, e),
+book2 AS MATERIALIZED (SELECT part, e, coalesce(s.b, o.b) AS b FROM book1 o LEFT JOIN sums1 s USING (part, e)),
+near2 AS (SELECT vec_id, part, min({'d': list_sum(list_transform(list_zip(p, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}) AS best FROM parts JOIN book2 USING (part) GROUP BY vec_id, part),
+coded AS (SELECT vec_id, string_agg(lpad(printf('%x', best.e), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    from versed.llm import trie
+
+    return trie.prefixes(table(spark, sf_dir, "conversations")).drop("start", "end")
+
+
+ORACLE_SQL["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, list({'r': r, 'x': x} ORDER BY n) AS s FROM t GROUP BY conv_id),
+shares AS (
+  SELECT conv_id, s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: xor(v // 2, 3988292384 * (v % 2))))) % 9 AS h FROM own),
+rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list_concat(coalesce(b.s, [])[1 : c.h], c.s[c.h + 1 :]) AS s FROM shares c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+heads AS MATERIALIZED (SELECT conv_id, d, s[1 : d] AS k, len(s) AS own_length FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce((count(*) - 1) * strlen(k[-1].x), 0) AS saving,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (own_length = d), '')) AS ends_sha256 FROM heads GROUP BY k, d),
+children AS (SELECT k[1 : d - 1] AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+shaped AS MATERIALIZED (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (k, d)),
+sums AS (SELECT k[1 : a] AS k, a AS d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saving)::BIGINT AS saved_tokens FROM (SELECT k, n_children, saving, unnest(range(d + 1)) AS a FROM shaped) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM shaped v JOIN sums s USING (k, d) LEFT JOIN nodes p ON p.d = v.d - 1 AND p.k = v.k[1 : v.d - 1]
+"""
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of up to 1024 ids, with the windows' sizes and step groups."""
+    import public_tokenizers
+
+    from versed.llm import packing
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        vocabulary = f.read()
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary, *ranks_and_pattern("byte_bpe_50k.tiktoken"))
