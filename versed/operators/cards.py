@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from versed.operators import reading, search, temporal
+from versed.operators import index, temporal
 
 # fixed values: the shape of a base act's identifier, and the date at the end of a dated text's
 BASE_ACT = r"^3\d{4}[A-Z]{1,2}\d{1,5}(?:\(\d{2}\))?$"
@@ -90,8 +91,10 @@ def registers(asked: DataFrame, table: DataFrame, known: Iterable[str]) -> DataF
     return rows.select("request", "legal_order", F.when(ok, "ok").otherwise("unknown_legal_order").alias("status"), "adapters", F.size("adapters").alias("total"))
 
 
-def across(index: DataFrame | None, docs: DataFrame, key: str, text: str, tokens: list[str], k: int) -> DataFrame:
-    """key and hits of the best k documents with every token, from the index; one that is missing or empty is made of the documents first."""
-    if index is None or index.isEmpty():
-        index = search.postings(docs, key, body=text)
-    return search.top(reading.from_postings(index, docs.select(key), key, tokens), k, F.desc("hits"), F.col(key))
+def across(docs: DataFrame, key: str, path: str, queries: DataFrame, query: str, asked: str, k: int, **fields: str) -> DataFrame:
+    """query, key and hits of the best k documents with every term of each query; the index at `path` is built first where there is none, and read as it is where there is one."""
+    if index.state(docs.sparkSession, path) is None:
+        index.build(docs, key, path, **fields)
+    hits = index.counted(index.found(queries, query, asked, path))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("hits"), F.col("key")))  # kept to k a task before the shuffle
+    return hits.withColumn("place", place).where(F.col("place") <= k).drop("place")

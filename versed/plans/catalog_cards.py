@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from versed.operators import cards
-from versed.plans.catalog import TOKENS
 from versed.plans.registry import query
 from versed.sources.tables import table
 
@@ -89,11 +88,3 @@ def registers(spark, sf):
     asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("request"), order.alias("legal_order"))
     found = cards.registers(asked, rows, [f"REGION_{n}" for n in range(6)])
     return found.select("request", "status", F.array_join("adapters", ",").alias("adapters"), F.col("total").cast(LONG).alias("total"))
-
-
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)
-SELECT doc_id, count(*) AS hits FROM t WHERE term = 'the' OR starts_with(term, 'thing') GROUP BY doc_id HAVING bool_or(term = 'the') AND bool_or(starts_with(term, 'thing')) ORDER BY hits DESC, doc_id LIMIT 20""")
-def across_corpus(spark, sf):
-    """The twenty documents with most hits of two words, without an index at hand."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return cards.across(None, docs, "doc_id", "text", TOKENS[:2], 20)

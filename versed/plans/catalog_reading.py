@@ -107,14 +107,6 @@ def vector_hits_with_laws(spark, sf):
     return search.top(out, 25, F.desc("score"), F.col("doc_id")).select("doc_id", "score", "title", "version")
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
-f AS (SELECT doc_id, count(*) AS hits FROM t WHERE term = 'the' OR starts_with(term, 'thing') GROUP BY doc_id HAVING bool_or(term = 'the') AND bool_or(starts_with(term, 'thing')))
-SELECT d.doc_id, d.source, f.hits::BIGINT AS hits FROM documents d JOIN f ON f.doc_id = d.doc_id""")
-def hits_from_postings(spark, sf):
-    docs = table(spark, sf, "documents")
-    return reading.from_postings(search.postings(docs, "doc_id", body="text"), docs, "doc_id", TOKENS[:2]).select("doc_id", "source", F.col("hits").cast(LONG).alias("hits"))
-
-
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, coalesce(list_position(list_transform(ws, lambda x: regexp_replace(lower(x), '^[^a-z0-9-]+|[^a-z0-9-]+$', '', 'g') = 'the'), true), 1) - 1 AS first FROM w),
 b AS (SELECT doc_id, ws, greatest(0, least(first - 7, len(ws) - 14)) AS start FROM p)

@@ -25,3 +25,14 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(name)
+
+
+def workspace(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in this process, as in tests."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.getCheckpointDir():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
