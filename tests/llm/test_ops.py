@@ -668,4 +668,4 @@ def test_gam(spark, odd, none):
 
 def test_names():
     assert len(stats("")) == len(NAMES)
-    assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")}
+    assert {f"op{k}" for k in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q.startswith("op")}
