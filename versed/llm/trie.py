@@ -154,7 +154,7 @@ def keyed(turns: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(carried(rows, carry).select("conv", "n", *moved, "bytes"))
 
 
-def linked(rows: DataFrame, convs: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
     """All nodes: ka, kb, conv_id (least member), depth, n_convs, bytes of the last turn, n_children, parent_conv_id, and whether they are `aside`: no root and not the last child."""
     root = convs.agg(F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("conv_id is not null")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
@@ -163,7 +163,7 @@ def linked(rows: DataFrame, convs: DataFrame) -> DataFrame:
     nodes = nodes.select(*names).unionByName(root.select(zero.alias("ka"), zero.alias("kb"), none.alias("pa"), none.alias("pb"), "conv_id", zero.alias("depth"), "n_convs", zero.alias("bytes")))
     children = nodes.where("depth > 0").groupBy(F.col("pa").alias("xa"), F.col("pb").alias("xb")).agg(F.count(F.lit(1)).alias("n_children"), F.max(F.struct("n_convs", F.bitwise_not("conv_id").alias("first"))).alias("last"))
     nodes = nodes.join(children, (F.col("ka") == F.col("xa")) & (F.col("kb") == F.col("xb")), "left")
-    nodes = nodes.select(*names, F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.bitwise_not("last.first").alias("last_child"))
+    nodes = scratch.cut(nodes.select(*names, F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), F.bitwise_not("last.first").alias("last_child")))  # written, so that the next join can split a node with many children
     parents = nodes.where("n_children > 0").select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("conv_id").alias("parent_conv_id"), F.col("last_child").alias("last_there"))
     nodes = nodes.join(parents, (F.col("pa") == F.col("xa")) & (F.col("pb") == F.col("xb")), "left")
     return nodes.select("ka", "kb", "conv_id", "depth", "n_convs", "bytes", "n_children", "parent_conv_id", ((F.col("depth") > 0) & (F.col("conv_id") != F.col("last_there"))).alias("aside"))
@@ -257,7 +257,7 @@ def endings(rows: DataFrame, convs: DataFrame) -> DataFrame:
 def trie(turns: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
     """The nodes of the conversations whose turns are given (conv, n from 1 up, digest, bytes), the root for all of `convs` (conv)."""
     rows = keyed(turns, scratch)
-    nodes = scratch.cut(linked(rows, convs))
+    nodes = scratch.cut(linked(rows, convs, scratch))
     out = intervals(pathed(nodes, rows), scratch)
     out = out.join(endings(rows, convs), (F.col("ka") == F.col("xa")) & (F.col("kb") == F.col("xb")), "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
