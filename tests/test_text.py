@@ -90,11 +90,11 @@ def test_quote_match():
     text = "Договір укладено у письмовій формі, якщо сторони — дійшли згоди."
     assert P.match_quote(text, "коротка цитата")[0][0] == "refused"
     assert P.match_quote(text, "укладено у письмовій")[0][:3] == ("exact", 8, 20)
-    status, start, size, rules, _ = P.match_quote(text, "якщо сторони - дійшли згоди")[0]
+    status, start, size, rules, *_ = P.match_quote(text, "якщо сторони - дійшли згоди")[0]
     assert (status, rules) == ("normalized", "dashes") and text[start : start + size] == "якщо сторони — дійшли згоди"
-    status, _, _, _, diff = P.match_quote(text, "якщо сторони — досягли згоди")[0]
+    status, _, _, _, diff, _ = P.match_quote(text, "якщо сторони — досягли згоди")[0]
     assert status == "mismatch" and "[-дійшли-]{+досягли+}" in diff
-    assert P.match_quote("a" * 200_001, "b" * 20)[0] == ("mismatch", None, None, None, None)
+    assert P.match_quote("a" * 200_001, "b" * 20)[0] == ("mismatch", None, None, None, None, "nothing_in_common")
 
 
 def test_flat_rows(spark):

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from versed.functions import ids
 from versed.functions import text as T
-from versed.operators import corpus, search, temporal
+from versed.operators import corpus, patterns, search, temporal
 from versed.plans.registry import query
 from versed.sources.tables import table
 
@@ -382,42 +381,13 @@ def doc_kind(spark, sf):
 # --- quotes ---
 
 
-#: Words of a gram by which quotes and documents meet, characters of one for quotes without whole words, items up to which they are broadcast.
-GRAM, CHARACTERS, SMALL = 5, 12, 100_000
-
-
 def _pairs(spark, sf, rules):
-    """benchmark x documents that hold the item: an equi-join on words, then a check of the whole quote.
-
-    A quote may begin and end inside a word, but the words between its first and last are whole words of the document, so
-    up to GRAM of them are the key; quotes of one or two words meet by their first characters.
-    """
-    def runs(size, n, part):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: part(i, n))
-
-    norm = (lambda x: T.normal_quote(x, rules)) if rules else (lambda x: x)
-    items = table(spark, sf, "benchmark").select("item_id", norm(F.col("text")).alias("quote")).where("quote <> ''")
-    items = items.withColumn("inner", F.split("quote", r"\s+")).withColumn("inner", F.slice("inner", 2, F.greatest(F.size("inner") - 2, F.lit(0))))
-    items = items.withColumn("width", F.least(F.size("inner"), F.lit(GRAM)))
-    key = F.when(F.col("width") > 0, F.array_join(F.slice("inner", 1, GRAM), " "))
-    kinds = items.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("quote")).alias("least")).collect()  # GRAM + 1 rows at most
-    docs = table(spark, sf, "documents").select("doc_id", norm(F.col("text")).alias("body"))
-    words = docs.select("doc_id", "body", F.split("body", r"\s+").alias("w"))
-    met = None
-    for kind in kinds:
-        n = kind["width"]
-        mine = items.where(F.col("width") == n)
-        if n:
-            mine, grams = mine.withColumn("g", key), T.let(F.col("w"), lambda w: runs(F.size(w), n, lambda i, n: F.array_join(F.slice(w, i, n), " ")))
-        else:
-            n = min(CHARACTERS, kind["least"])
-            mine, grams = mine.withColumn("g", F.substring("quote", 1, n)), T.let(F.split("body", ""), lambda w: runs(F.size(w), n, lambda i, n: F.array_join(F.slice(w, i, n), "")))
-        mine = mine.select("item_id", "g", "quote")
-        rows = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(F.broadcast(mine) if kind["n"] <= SMALL else mine, "g").select("doc_id", "item_id", "quote")
-        met = rows if met is None else met.union(rows)
-    if met is None:
-        return docs.select(F.lit(0).cast(LONG).alias("item_id"), "doc_id", F.lit(0).cast(LONG).alias("position")).where("false")
-    return met.distinct().join(docs, "doc_id").where(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", F.instr("body", F.col("quote")).cast(LONG).alias("position"))
+    """benchmark x documents that hold the item, all found in one pass over the documents."""
+    from versed.functions.python import plain
+
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    found = patterns.matches(docs, "doc_id", "text", items, "item_id", "text", (lambda x: plain(x, rules)) if rules else None)
+    return found.select(F.col("name").alias("item_id"), "doc_id", "position")
 
 
 @query("SELECT b.item_id, d.doc_id, 'exact' AS status, instr(d.text, b.text) AS position FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -431,32 +401,11 @@ def quote_normalized(spark, sf):
     return _pairs(spark, sf, ("whitespace",)).select("item_id", "doc_id", F.lit("normalized").alias("status"), "position")
 
 
-#: Words of a gram by which an altered quote is found, and the share of a quote's grams that a document must have.
-NEAR, SHARE = 4, 0.2
-
-
-def near_pairs(items, docs):
-    """item_id, doc_id and word (place where the quote would begin) of documents that have a share of a quote's grams."""
-    def grams(text):
-        def of(w):
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - NEAR + 1)), lambda i: F.array_join(F.slice(w, i, NEAR), " "))
-
-        return T.let(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)), of)
-
-    asked = items.select("item_id", grams(F.col("quote")).alias("gs")).select("item_id", F.size("gs").alias("of"), F.posexplode("gs").alias("i", "g"))
-    theirs = docs.select("doc_id", F.posexplode(grams(F.col("text"))).alias("k", "g"))
-    at = theirs.join(F.broadcast(asked) if asked.count() <= SMALL else asked, "g").groupBy("item_id", "doc_id").agg(F.count_distinct("i").alias("n"), F.max("of").alias("of"), F.mode(F.col("k") - F.col("i"), deterministic=True).alias("word"))
-    return at.where(F.col("n") >= SHARE * F.col("of")).select("item_id", "doc_id", F.greatest("word", F.lit(0)).alias("word"))
-
-
 @query()
 def quote_nearest(spark, sf):
-    """Benchmark items in all documents that share words in a row with them: status, nearest window and word differences."""
-    from versed.functions.python import flat, match_near
-
-    items, docs = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf, "documents").select("doc_id", "text")
-    pairs = near_pairs(items, docs).join(items, "item_id").join(docs, "doc_id")
-    return flat(pairs, ["item_id", "doc_id"], ["text", "quote", "word"], "status string, start long, len long, rules string, diff string", match_near).select("item_id", "doc_id", "status", "start", "len")
+    """Benchmark items in all documents that have a quarter of them in one block: status, and the quote's place or that of the window nearest to it."""
+    items, docs = table(spark, sf, "benchmark").select("item_id", "text"), table(spark, sf, "documents").select("doc_id", "text")
+    return patterns.near_quotes(docs, "doc_id", "text", items, "item_id", "text").select(F.col("name").alias("item_id"), "doc_id", "status", "start", "len", "block")
 
 
 # --- identifiers ---
@@ -471,27 +420,3 @@ def evidence_id(spark, sf):
 @query("SELECT doc_id, upper('ua') || '|' || doc_id || '|' || source || '||' || lower(lang) AS source_key FROM documents")
 def source_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.source_key(F.lit("ua"), F.col("doc_id"), F.col("source"), F.lit(None), F.upper("lang")).alias("source_key"))
-
-
-def _values(spark, values):
-    return spark.createDataFrame([(v,) for v in values], S.StructType([S.StructField("x", S.StringType())]))
-
-
-@query("""SELECT * FROM (VALUES ('C-311/18', '62018CJ0311,62018CO0311,62018CC0311'), ('T-1/93', '61993TJ0001,61993TO0001'), ('C-50/00 P', '62000CJ0050,62000CO0050,62000CC0050'), ('hello', NULL)) t(x, candidates)""")
-def case_number_candidates(spark, sf):
-    return _values(spark, ["C-311/18", "T-1/93", "C-50/00 P", "hello"]).select("x", F.array_join(ids.case_candidates(F.col("x")), ",").alias("candidates"))
-
-
-@query("""SELECT * FROM (VALUES ('32016R0679', 'http://data.europa.eu/eli/reg/2016/679/oj'), ('32016X0001', NULL), ('32019L0790', 'http://data.europa.eu/eli/dir/2019/790/oj'), ('x', NULL)) t(x, eli)""")
-def eli_from_id(spark, sf):
-    return _values(spark, ["32016R0679", "32016X0001", "32019L0790", "x"]).select("x", ids.eli(F.col("x")).alias("eli"))
-
-
-@query("""SELECT * FROM (VALUES ('5а', '5a'), ('5(1)(A)', '5(1)(a)'), ('annex 2', 'Annex II'), ('II', 'Annex II'), ('2', '2'), ('recital 5', 'recital 5')) t(x, canonical)""")
-def locator_parse(spark, sf):
-    return _values(spark, ["5а", "5(1)(A)", "annex 2", "II", "2", "recital 5"]).select("x", ids.canonical_locator(F.col("x")).alias("canonical"))
-
-
-@query("""SELECT * FROM (VALUES ('https://eur-lex.europa.eu/ELI/reg/2016/679/oj/eng?x=1', 'http://data.europa.eu/eli/reg/2016/679/oj'), ('eli/reg', ''), ('32016R0679', NULL)) t(x, eli)""")
-def eli_normal(spark, sf):
-    return _values(spark, ["https://eur-lex.europa.eu/ELI/reg/2016/679/oj/eng?x=1", "eli/reg", "32016R0679"]).select("x", ids.normal_eli(F.col("x")).alias("eli"))

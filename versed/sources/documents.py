@@ -163,3 +163,10 @@ def read_table(spark: SparkSession, folder: str) -> DataFrame:
     if row["schema_version"] != SCHEMA_VERSION:
         raise ValueError(f"index has schema version {row['schema_version']}, this code reads {SCHEMA_VERSION}")
     return spark.read.parquet(f"{folder}/v-{row['version']}")
+
+
+def landed(df: DataFrame, folder: str) -> DataFrame:
+    """The rows written as a table in a shared folder and read again: later steps neither repeat their work nor depend on the executors that did it. The table stays."""
+    path = f"{folder}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
