@@ -151,7 +151,7 @@ def keyed(turns: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.cut(laid(turns, ["conv", "n"], ["conv", "n", "digest", "bytes"], run, made))
     carry = over(rows, ["ka", "kb"], lambda a, b: a ^ b)
     moved = [F.col(c).bitwiseXOR(F.coalesce(f"from_k{c[1]}", F.lit(0).cast("long"))).alias(c) for c in ("ka", "kb", "pa", "pb")]
-    return scratch.cut(carried(rows, carry).select("conv", "n", *moved, "bytes"))
+    return carried(rows, carry).select("conv", "n", *moved, "bytes")
 
 
 def linked(rows: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -206,7 +206,6 @@ def intervals(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     before = rows.sparkSession.createDataFrame(out, "of long, x long, y long, z long")
     rows = rows.join(F.broadcast(before), F.col("part") == F.col("of"))
     rows = rows.select(*columns, (F.col("at") + F.col("x")).alias("start"), (F.col("leaves") + F.col("y")).alias("leaves"), (F.col("saved") + F.col("z")).alias("saved"))
-    rows = scratch.cut(rows)
     bottoms = rows.groupBy(F.col("top_depth").alias("xa"), F.col("top_first").alias("xb")).agg(F.max("start").alias("end"), F.max("leaves").alias("all_leaves"), F.max("saved").alias("all_saved"))  # running sums: the largest are those of the bottom
     rows = rows.join(bottoms, (F.col("top_depth") == F.col("xa")) & (F.col("top_first") == F.col("xb")))
     leaves, saved = F.col("all_leaves") - F.col("leaves") + F.col("leaf"), F.col("all_saved") - F.col("saved") + F.col("saving")
@@ -267,6 +266,6 @@ def trie(turns: DataFrame, convs: DataFrame, scratch: Scratch) -> DataFrame:
 def prefixes(conversations: DataFrame, shared: bool = True) -> DataFrame:
     """The nodes of the trie of all conversations, after their rebuilding if `shared`; saved_tokens counts UTF-8 bytes."""
     with Scratch(conversations.sparkSession) as scratch:
-        turns = scratch.cut(ordered(conversations, scratch))
+        turns = ordered(conversations, scratch)
         convs = scratch.cut(turns.groupBy("conv").agg(F.count(F.lit(1)).alias("turns")))
         return cut(trie(rebuilt(turns, convs) if shared else turns, convs, scratch))
