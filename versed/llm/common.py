@@ -66,9 +66,24 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
+def named(column: str) -> F.Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def whole_text(text: str = "text") -> F.Column:
     """The whole text; null counts as empty."""
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(named(text).cast("string"), F.lit(""))
+
+
+def whole_row(docs: DataFrame, names: list[str] | None = None) -> F.Column:
+    """All columns of `docs` (or those) as a struct named row."""
+    return F.struct(*map(named, docs.columns if names is None else names)).alias("row")
+
+
+def number(column: F.Column) -> F.Column:
+    """An id as a whole number; null where it is none."""
+    return column.try_cast("long")
 
 
 def fold(doc_id: str = "doc_id") -> F.Column:
@@ -85,7 +100,7 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 def unique_labels(labels: DataFrame, name: str) -> DataFrame:
     """One label for each doc_id: nulls are left out, of several that disagree the larger counts."""
     return (
-        labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        labels.where(number(F.col("doc_id")).isNotNull() & F.col(name).isNotNull())
+        .groupBy(number(F.col("doc_id")).alias("doc_id"))
         .agg(F.max(F.col(name).cast("int")).alias("label"))
     )

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versed.llm.common import bounded_batches, cut, texts, whole_text
+from versed.llm.common import bounded_batches, cut, named, number, texts, whole_text
 from versed.llm.neardup import mix
 
 #: Size of the stated vocabulary of `counts`, and the weights (in tokens) of the unigram model behind a bigram and of uniform behind that.
@@ -110,8 +110,8 @@ def counts(docs: DataFrame, words: list[str], target: DataFrame, id_col: str = "
     """Bigram counts (2, VOCABULARY, VOCABULARY): of all documents, and of those whose id is in `target`."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    chosen = target.select(F.col(target.columns[0]).cast("long").alias("id")).where("id is not null").distinct().withColumn("mine", F.lit(True)).hint("merge")  # one plan at every size: the target grows with the corpus
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")).join(chosen, "id", "left").select("text", "mine")
+    chosen = target.select(number(named(target.columns[0])).alias("id")).where("id is not null").distinct().withColumn("mine", F.lit(True)).hint("merge")  # one plan at every size: the target grows with the corpus
+    rows = docs.select(number(F.col(id_col)).alias("id"), whole_text(text_col).alias("text")).join(chosen, "id", "left").select("text", "mine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, size = Ids(sent.value), VOCABULARY * VOCABULARY
@@ -281,9 +281,9 @@ class Chunk:
 
 def flagged(chunks: DataFrame, target: DataFrame) -> DataFrame:
     """chunk, mine (places of its documents whose id is in `target`) and n (their tokens), of the chunks that have any."""
-    chosen = target.select(F.col(target.columns[0]).cast("long").alias("id")).where("id is not null").distinct().hint("merge")  # one plan at every size: the target grows with the corpus
+    chosen = target.select(number(named(target.columns[0])).alias("id")).where("id is not null").distinct().hint("merge")  # one plan at every size: the target grows with the corpus
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "lengths")).alias("place", "of"))
-    rows = rows.select("chunk", "place", F.col("of.ids").cast("long").alias("id"), F.col("of.lengths").alias("n"))
+    rows = rows.select("chunk", "place", number(F.col("of.ids")).alias("id"), F.col("of.lengths").alias("n"))
     return rows.join(chosen, "id", "left_semi").groupBy("chunk").agg(F.collect_list("place").alias("mine"), F.sum("n").alias("n"))
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versed.llm.common import cut
+from versed.llm.common import cut, whole_row
 
 #: Largest mean of one inversion, and terms of its distribution function (1 - F is below 1e-30 then).
 MOST, TERMS = 8.0, 60
@@ -61,7 +61,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, wanted:
     table, sources = rates(docs, weights, wanted)
     names = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string").cast("binary")), F.lit(""))
-    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("from"), key.alias("key"))
+    rows = docs.select(whole_row(docs, names), F.col("source").alias("from"), key.alias("key"))
     same = F.col("from").eqNullSafe(F.col("of"))
     table = table.select("of", "parts", "cdf")
     if sources <= SMALL:

@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from versed.llm.common import Scratch, bounded_batches, cut, texts, whole_text
+from versed.llm.common import Scratch, bounded_batches, cut, number, texts, whole_row, whole_text
 
 WORDS, SIMILAR = 5, 0.8
 #: Bands, and components in each.
@@ -159,7 +160,7 @@ def bitmap(some: np.ndarray) -> np.ndarray:
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and key, the hash that tells texts apart."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    rows = docs.select(number(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
     return rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
@@ -338,6 +339,14 @@ def across(shared: DataFrame, seen: DataFrame, parts: DataFrame, scratch: Scratc
     return both.union(mixed_).select(F.greatest(x("id"), y("id")).alias("x"), F.least(x("id"), y("id")).alias("y")).distinct()
 
 
+def least_row(docs: DataFrame) -> Column:
+    """The least of equal documents' rows by their columns; by a hash of them where a column is a map, which has no order."""
+    def ordered(kind) -> bool:
+        return not isinstance(kind, MapType) and all(map(ordered, [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []))
+
+    return F.min("row") if ordered(docs.schema) else F.min_by("row", F.sha2(F.to_json("row"), 256))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `docs`, all columns, of each class: that of the least doc_id; of several texts with that id (or, in a class without ids, of all) that of the least hash; of rows that repeat both the least by its columns."""
     with Scratch(docs.sparkSession) as scratch:
@@ -345,6 +354,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         texts_ = related(docs, sketches, id_col, text_col, scratch)
         place = F.struct(F.col("first").isNull().alias("nameless"), F.coalesce("first", F.lit(0)).alias("no"), "key")
         first = scratch.cut(texts_.groupBy("component").agg(F.min(place).alias("at")).select("at.key", "at.no", "at.nameless"))
-        keys = [F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("no"), F.col(id_col).cast("long").isNull().alias("nameless")]
-        rows = docs.select(*keys, F.struct(*docs.columns).alias("row")).groupBy("key", "no", "nameless").agg(F.min("row").alias("row"))
+        keys = [F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("key"), F.coalesce(number(F.col(id_col)), F.lit(0)).alias("no"), number(F.col(id_col)).isNull().alias("nameless")]
+        rows = docs.select(*keys, whole_row(docs)).groupBy("key", "no", "nameless").agg(least_row(docs).alias("row"))
         return cut(rows.join(first, ["key", "no", "nameless"], "left_semi").select("row.*"))

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from versed.llm.common import bounded_batches, cut, texts, whole_text
+from versed.llm.common import bounded_batches, cut, texts, whole_row, whole_text
 from versed.llm.textstats import NAMES, stats
 
 #: name, share (a ratio of counts), bounds: a vote against from `bad` on, a vote for up to `good`, else none.
@@ -51,14 +52,17 @@ STEPS, PRIOR = 60, 2.0
 def counted(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of every row, as a struct named row, and the counts of its text."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*keep).alias("row"), whole_text(text_col).alias("text"))
+    rows = docs.select(whole_row(docs, list(keep)), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, some in texts(batches):
             columns = np.array([stats(x) for x in some], dtype=np.int64).T
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, columns)], names=["row", *NAMES])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in NAMES))
+    schema = StructType([rows.schema["row"]])
+    for name in NAMES:
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(run, schema)
 
 
 def vote(share: str, bad: float, good: float) -> Column:
@@ -110,7 +114,7 @@ def judged(counts: DataFrame, rules=RULES) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """`id_col`, the counts, pattern, quality, base_failed and kept of every row."""
     rows = judged(cut(counted(docs, text_col, (id_col,))), rules)
-    return rows.select(f"row.{id_col}", *(c for c in rows.columns if c != "row"))
+    return rows.select(F.col("row").getField(id_col).alias(id_col), *(c for c in rows.columns if c != "row"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:

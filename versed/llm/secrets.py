@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versed.llm.common import whole_text
+from versed.llm.common import whole_row, whole_text
 
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -194,7 +194,7 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
 
 def redact(docs: DataFrame, table: list[float], mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with every span of the text replaced by `mask`; spans that overlap are one. A null text stays null."""
-    rows = scanned(docs.select(F.struct(*docs.columns).alias("row"), whole_text(text_col).alias("text")), table)
+    rows = scanned(docs.select(whole_row(docs), whole_text(text_col).alias("text")), table)
     rows = rows.withColumn("spans", F.array_sort(F.concat("base", "more")))
     text = F.when(F.col("row").getField(text_col).isNotNull(), masked(F.col("text"), F.col("spans"), mask))
     return rows.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versed.llm.common import bounded_batches, fold, texts, unique_labels, whole_text
+from versed.llm.common import bounded_batches, fold, number, texts, unique_labels, whole_text
 
 #: Labelled documents to learn from at most, and the bytes of a text that is learned from.
 SAMPLE, LONGEST = 8_000, 16_384
@@ -263,10 +263,11 @@ def thresholds(model: Model, some: list[str], labels: np.ndarray) -> dict[str, f
 
 def sample(docs: DataFrame, labels: DataFrame, name: str, rows: int = SAMPLE, longest: int | None = None) -> DataFrame:
     """doc_id, text and label of at most `rows` labelled documents outside the held-out fold, those with the least hashes of doc_id, one row each; without texts of more than `longest` bytes."""
-    chosen = unique_labels(labels, name).where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    own = docs.select(number(F.col("doc_id")).alias("doc_id"), whole_text().alias("text"))
     if longest is not None:
         own = own.where(F.octet_length("text") <= longest)
+    there = own.select("doc_id").distinct()  # ids alone are shuffled; documents that are absent or too long take no place in the sample
+    chosen = unique_labels(labels, name).where(fold() != 0).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))  # at most `rows` rows are broadcast
 
 

@@ -12,7 +12,7 @@ length; an empty table gives an empty result; other columns are ignored, whateve
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,8 +101,9 @@ def train(urls: DataFrame) -> tuple[list[float], float]:
     host, path = host_and_path(F.col("url").cast("string"))
     rows = urls.where("label is not null").select(F.col("label").cast("double").alias("label"), host.alias("host"), path.alias("path"))
     rows = cut(rows.select("label", buckets(F.col("host"), F.col("path")).alias("at")))  # else each of the features below would work it out again
-    ones = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("at"), i.cast("int")).cast("double"))
-    model = LogisticRegression(regParam=0.001, standardization=False, maxIter=30).fit(rows.select("label", array_to_vector(ones).alias("features")).coalesce(1))
+    ones = CountVectorizerModel.from_vocabulary([str(k) for k in range(BUCKETS)], "names", "features").setBinary(True)  # sparse, the bucket's number as the place
+    rows = ones.transform(rows.select("label", F.col("at").cast("array<string>").alias("names")))
+    model = LogisticRegression(regParam=0.001, standardization=False, maxIter=30).fit(rows.select("label", "features").coalesce(1))
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
 
