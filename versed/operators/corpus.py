@@ -119,7 +119,33 @@ def split_oversize(units: DataFrame, key: str, body: str, over: int = OVERSIZE,
     return rows.withColumns({key: name, body: cut})
 
 
+def fuzzy_units(requests: DataFrame, units: DataFrame, law: str, asked: str, key: str, ordinal: str) -> DataFrame:
+    """Each request (its own columns, with `law` and `asked`) with the unit of its law that it names: the one with that key, else the first by `ordinal` whose key goes on with a hyphen or a dot after it; requests that name none have nulls.
+
+    A key meets a request by one of its beginnings that end before a hyphen or dot, so both ways are one equi-join.
+    Columns of the unit are in the struct `unit`; dashes of a request count as hyphens, blanks at its ends don't count.
+    """
+    chars = F.split(F.col(key), "")
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key))), lambda i: F.get(chars, i).isin("-", "."))
+    theirs = units.withColumn("__unit", F.struct(*units.columns)).withColumn("__starts", F.concat(F.array(F.col(key)), F.transform(ends, lambda i: F.substring(F.col(key), F.lit(1), i))))
+    theirs = theirs.select(F.col(law).alias("__law"), F.col(ordinal).alias("__ordinal"), F.col(key).alias("__key"), "__unit", F.explode(F.array_distinct("__starts")).alias("__start")).where("__start <> ''")
+    wanted = requests.withColumn("__asked", F.translate(F.trim(F.col(asked)), "–", "-"))
+    keys = wanted.select(F.col(law).alias("__of"), F.col("__asked").alias("__wanted")).distinct()
+    met = keys.join(theirs, (F.col("__of") == F.col("__law")) & (F.col("__wanted") == F.col("__start")))
+    best = met.groupBy("__of", "__wanted").agg(F.min_by("__unit", F.struct((F.col("__key") != F.col("__wanted")), "__ordinal", "__key")).alias("unit"))
+    return wanted.join(best, F.col(law).eqNullSafe(F.col("__of")) & F.col("__asked").eqNullSafe(F.col("__wanted")), "left").drop("__asked", "__of", "__wanted")
+
+
 def fuzzy_unit(units: DataFrame, key: str, ordinal: str, asked: str) -> DataFrame:
     """The unit with the key asked for, else the first whose key starts with it and a hyphen or dot."""
     rank = F.when(F.col(key) == asked, 0).when(F.col(key).startswith(asked + "-") | F.col(key).startswith(asked + "."), 1)
     return units.withColumn("__rank", rank).where("__rank is not null").orderBy("__rank", ordinal).limit(1).drop("__rank")
+
+
+def replace_oversize(units: DataFrame, vectors: DataFrame, unit: str, key: str, body: str, over: int = OVERSIZE, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """Units with the long ones replaced by their pieces (`unit` is null for the new ones, chunk_no counts), and the vectors of the units that stay as they are; to be written in one step with replace_tables()."""
+    long = F.length(body) > over
+    pieces = split_oversize(units.where(long), key, body, over, piece).withColumn(unit, F.lit(None).cast(units.schema[unit].dataType))
+    stay = units.where(~F.coalesce(long, F.lit(False))).withColumn("chunk_no", F.lit(1))
+    gone = units.where(long).select(F.col(unit).alias("__gone"))
+    return stay.unionByName(pieces), vectors.join(gone, F.col(unit) == F.col("__gone"), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructField, StructType
 from versed.functions import text as T
 from versed.functions.python import flat
 from versed.operators.search import B, BODY, HEADING, K1
-from versed.plans.session import ship
+from versed.plans.session import bounded
 from versed.sources.documents import read_table, replace_table
 
 #: Buckets of terms, and characters that decide on a term's bucket; no stem that matches as a prefix is shorter.
@@ -52,7 +52,7 @@ def postings_of(key: StructField, more: str = "") -> StructType:
 
 def positional(units: DataFrame, key: str, **fields: str) -> DataFrame:
     """term, key, field, tf and positions of the fields' index tokens: grouped within each document, without a shuffle."""
-    ship(units.sparkSession)
+    bounded(units.sparkSession)
     parts = [units.select(F.col(key).alias("key"), F.lit(name).alias("field"), T.index_tokens(F.col(column)).alias("terms")) for name, column in fields.items()]
     rows = reduce(DataFrame.unionByName, parts).where("size(terms) > 0")
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from versed.functions import text as T
 from versed.operators.records import containment, pick
 
 # Shape of an official id, the title that stands in for one, law words before a title.
@@ -59,15 +60,21 @@ def variants(low: Column) -> Column:
     return F.array_distinct(F.filter(out, lambda x: F.trim(x) != ""))
 
 
+def plain_name(name: Column) -> Column:
+    """A name as it is compared: lower-cased, without number signs, white space squeezed."""
+    return T.squeeze(F.replace(F.lower(name), F.lit("№"), F.lit("")))
+
+
 def by_alias(queries: DataFrame, q: str, aliases: DataFrame) -> DataFrame:
     """q, law_id and matched_by: an id, else an exact alias, else an alias that contains the query or lies in it.
 
-    aliases has alias (lower-cased) and law_id. The variants of a query are tried in order; of equals the alias that comes
+    aliases has alias and law_id. Case, number signs and runs of white space make no difference. The variants of a query are tried in order; of equals the alias that comes
     first by name wins.
     """
-    asked = queries.select(F.col(q), F.lower(F.trim(q)).alias("__low")).where("__low <> ''").distinct()
+    asked = queries.select(F.col(q), plain_name(F.col(q)).alias("__low")).where("__low <> ''").distinct()
+    aliases = aliases.select("law_id", plain_name(F.col("alias")).alias("alias"))
     tried = asked.select(q, F.posexplode(variants(F.col("__low"))).alias("variant", "text"))
-    ids = asked.join(aliases.select("law_id").distinct(), F.col("__low") == F.lower("law_id")).select(q, "law_id", F.lit(0).alias("stage"), F.lit(0).alias("variant"), F.lit("").alias("alias"))
+    ids = asked.join(aliases.select("law_id").distinct(), F.col("__low") == F.trim(F.replace(F.lower("law_id"), F.lit("№"), F.lit("")))).select(q, "law_id", F.lit(0).alias("stage"), F.lit(0).alias("variant"), F.lit("").alias("alias"))
     exact = tried.join(aliases, tried["text"] == aliases["alias"]).select(q, "law_id", F.lit(1).alias("stage"), "variant", "alias")
     near = containment(tried, "text", aliases, "alias").select(q, "law_id", F.lit(2).alias("stage"), "variant", "alias")
     found = pick(ids.union(exact).union(near), [q], F.col("stage"), F.col("variant"), F.col("alias"), F.col("law_id"))

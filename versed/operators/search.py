@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versed.functions import text as T
-from versed.plans.session import ship
+from versed.plans.session import bounded, workspace
+from versed.sources.documents import landed
 
 #: Reciprocal-rank constant, BM25 parameters and weights of heading and body.
 RRF, K1, B, HEADING, BODY = 60, 1.2, 0.75, 5.0, 1.0
@@ -127,14 +128,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 16_384) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """query, key and score: for each query vector the k nearest others by cosine (9 decimals, ties by key), exactly.
 
-    Queries go out in blocks of about `block`, told by a hash, so that what is sent is bounded; each task keeps the k best
-    of its rows for each query of a block, and the tasks' bests are merged.
+    Queries go out in blocks of about `block`, told by a hash, so that what is sent and what a worker holds is bounded; each
+    block is a pass over the vectors, written before the next one. A task keeps the k best of its rows for each query of a
+    block, and the tasks' bests are merged.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    bounded(spark)
     blocks = max(1, -(-queries.count() // block))
     kind = vectors.schema[key].dataType.simpleString()
 
@@ -171,7 +173,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
                 of = np.broadcast_to(ids, good.shape)[good]
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(kept[0][good]), pa.array(kept[1][good])], names=["query", key, "score"])
 
-        out.append(vectors.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double"))
+        found = vectors.select(key, vector).mapInArrow(run, f"query {kind}, {key} {kind}, score double")
+        out.append(landed(found, workspace(spark)) if blocks > 1 else found)
     rows = reduce(DataFrame.unionByName, out) if out else vectors.select(F.col(key).alias("query"), key, F.lit(0.0).alias("score")).where("false")
     merged = rows.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col(key)))), 1, k).alias("best"))  # k rows for each task
     return merged.select("query", F.explode("best").alias("b")).select("query", F.col(f"b.{key}").alias(key), (-F.col("b.far")).alias("score"))

@@ -20,13 +20,13 @@ def _density_sql(words, size):
     return f"CASE WHEN {a} > 0 AND {b} > 0 THEN {a} * 1000.0::DOUBLE / {size} + {b} * 1000.0::DOUBLE / {size} ELSE 0 END"
 
 
-UNITS_SQL = f"u AS (SELECT doc_id, i::VARCHAR AS num, ps[i] AS text FROM (SELECT doc_id, string_split(text, {NL}) AS ps, unnest(range(1, len(string_split(text, {NL})) + 1)) AS i FROM documents WHERE source IN ('src0', 'src1', 'src2')))"
+UNITS_SQL = f"u AS (SELECT doc_id, i::VARCHAR AS num, ps[i] AS text FROM (SELECT doc_id, string_split(text, {NL}) AS ps, unnest(range(1, len(string_split(text, {NL})) + 1)) AS i FROM documents WHERE len(string_split(text, {NL})) > 1))"
 UNIT_HITS_SQL = f"h AS (SELECT doc_id, num, text, {_density_sql(WORDS_SQL, SIZE_SQL)} AS score FROM u), a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, num DESC, text DESC) AS place FROM h WHERE score > 0)"
 
 
 def _units(docs):
-    """The lines of the documents of three sources: those that have been parsed."""
-    rows = docs.where("source in ('src0', 'src1', 'src2')")
+    """The lines of the documents that have several; one alone is no unit."""
+    rows = docs.where(F.size(F.split("text", "\n")) > 1)
     return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "body")).select("doc_id", (F.col("k") + 1).cast("string").alias("num"), "body")
 
 
@@ -49,7 +49,7 @@ c AS (SELECT lb.doc_id, {_density_sql(WORDS_SQL, SIZE_SQL)} AS score, 'line' AS
 r AS (SELECT 'ст. 2 the thingly' AS request, * FROM d UNION ALL SELECT q, b.* FROM b, (VALUES ('ст. 2 the thingly'), ('the thingly')) t(q) UNION ALL SELECT q, c.* FROM c, (VALUES ('ст. 2 the thingly'), ('the thingly')) t(q))
 SELECT request, doc_id, round(score, 6) AS score, score_kind, sha256(snippet) AS snippet_sha FROM r QUALIFY row_number() OVER (PARTITION BY request, doc_id ORDER BY stage) = 1""")
 def match_query(spark, sf):
-    """Two requests over all documents: one that names a unit, one that doesn't; documents of other sources have no parsed units."""
+    """Two requests over all documents: one that names a unit, one that doesn't; documents of one line have no units."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     out = None
     for request in ("ст. 2 the thingly", "the thingly"):
@@ -100,8 +100,9 @@ def vector_hits_with_laws(spark, sf):
     """The nearest vectors whose documents belong to a current version, with version and law."""
     docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     laws, versions = _laws(docs)
-    one = vectors.where("vec_id = 0").select(F.col("embedding").alias("asked"))  # one row
-    hits = vectors.where("vec_id <> 0").join(F.broadcast(one)).select(F.col("vec_id").alias("doc_id"), F.round(search.cosine(F.col("embedding"), F.col("asked")), 9).alias("score"))
+    one = vectors.where("vec_id = 0").first()
+    asked = F.lit(one["embedding"] if one else None).cast("array<double>")
+    hits = vectors.where("vec_id <> 0").select(F.col("vec_id").alias("doc_id"), F.round(search.cosine(F.col("embedding"), asked), 9).alias("score")).where("score is not null")
     units = docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("version_id"))
     out = reading.located(hits, units, versions, laws, "doc_id", "version_id", "source")
     return search.top(out, 25, F.desc("score"), F.col("doc_id")).select("doc_id", "score", "title", "version")
@@ -115,11 +116,14 @@ def excerpts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.excerpt(F.col("text"), ["the"]).alias("excerpt"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яІіЇїЄєҐґ0-9-]+'), lambda w: replace(w, '-', '') <> '' AND w NOT IN ('the', 'a'))) = 0 THEN 'ok' ELSE 'ok' END AS status FROM conversations WHERE length(trim(text)) > 0
+@query("""SELECT conv_id, turn, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яІіЇїЄєҐґ0-9-]+'), lambda w: replace(w, '-', '') <> '' AND w NOT IN ('на', 'по', 'що', 'та'))) > 0 THEN 'ok' ELSE 'unusable_query' END AS status
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN regexp_replace(text, '[A-Za-z]+', '-', 'g') WHEN turn % 3 = 2 THEN 'На — що? ' || length(text) ELSE text END AS text FROM conversations WHERE length(trim(text)) > 0)
 UNION ALL SELECT conv_id, -1, 'unusable_query' FROM (SELECT DISTINCT conv_id FROM conversations)""")
 def query_statuses(spark, sf):
-    """Each turn as a query, and for each conversation one that has service words only."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", "text").where("length(trim(text)) > 0")
+    """Each turn as a query, some without their plain letters or with service words and a number, and for each conversation one that has service words only."""
+    rows = table(spark, sf, "conversations").where("length(trim(text)) > 0")
+    asked = F.when(F.col("turn") % 3 == 1, F.regexp_replace("text", "[A-Za-z]+", "-")).when(F.col("turn") % 3 == 2, F.concat(F.lit("На — що? "), F.length("text").cast("string"))).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", asked.alias("text"))
     bare = rows.select("conv_id").distinct().select("conv_id", F.lit(-1).cast(rows.schema["turn"].dataType).alias("turn"), F.lit("та - або").alias("text"))
     return rows.union(bare).select("conv_id", "turn", T.query_status(F.col("text")).alias("status"))
 
@@ -257,7 +261,7 @@ def ingest_summary(spark, sf):
     return reading.ingest_summary(table(spark, sf, "events").withColumn("status", status), "status")
 
 
-@query("""SELECT l_partkey, list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS x, array_to_string(list_transform(list_sort(list(DISTINCT lpad(length(l_suppkey::VARCHAR)::VARCHAR, 2, '0') || l_suppkey)), lambda u: substr(u, 3)), ',') AS units FROM lineitem GROUP BY l_partkey""".replace("list_sort(list(DISTINCT l_suppkey::VARCHAR)) AS x, ", ""))
+@query("""SELECT l_partkey, array_to_string(list_transform(list_sort(list(DISTINCT lpad(length(l_suppkey::VARCHAR)::VARCHAR, 2, '0') || l_suppkey)), lambda u: substr(u, 3)), ',') AS units FROM lineitem GROUP BY l_partkey""")
 def units_in_order(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("num"))
     return reading.units_in_order(rows, "l_partkey", "num").select("l_partkey", F.array_join("units", ",").alias("units"))
@@ -265,19 +269,19 @@ def units_in_order(spark, sf):
 
 @query("""SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_nationkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'curated_without_date' END, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 2 = 0 THEN 'authentic_translation' END, CASE WHEN s_suppkey % 5 = 0 THEN 'translation_not_told' END,
 CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 11 <> 0 THEN 'staleness_not_told' END], lambda x: x IS NOT NULL), ',') AS stamp,
-array_to_string(list_filter([CASE WHEN s_nationkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'no_manual_path' END, CASE WHEN s_suppkey % 4 = 0 THEN 'licence_forbids_connection' END, CASE WHEN s_suppkey % 6 = 0 THEN 'attribution_without_text' END, CASE WHEN s_nationkey % 3 <> 0 AND s_suppkey % 9 = 0 THEN 'covered_without_verification' END], lambda x: x IS NOT NULL), ',') AS source FROM supplier""")
+array_to_string(list_filter([CASE WHEN s_nationkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'no_manual_path' END, CASE WHEN s_suppkey % 4 = 0 AND s_acctbal > 0 THEN 'licence_forbids_connection' END, CASE WHEN s_suppkey % 6 = 0 AND s_acctbal < 1000 THEN 'attribution_without_text' END, CASE WHEN s_nationkey % 3 <> 0 AND s_suppkey % 9 = 0 THEN 'covered_without_verification' END], lambda x: x IS NOT NULL), ',') AS source FROM supplier""")
 def envelope_faults(spark, sf):
     """Which invariants of stamps and sources the suppliers, taken as such, break."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     stamp = reading.stamp_faults(F.when(n % 2 == 0, "curated").otherwise("live"), F.when(k % 3 != 0, "2024"), k % 5 == 0, k % 2 == 0, F.when(k % 11 == 0, "may be Stale"), k % 7 == 0)
-    source = reading.source_faults(n % 3 != 0, F.when(k % 2 != 0, "by letter"), k % 4 != 0, F.lit(True), k % 6 == 0, F.lit(" "), F.when(k % 9 != 0, "2024"))
+    source = reading.source_faults(n % 3 != 0, F.when(k % 2 != 0, "by letter"), k % 4 != 0, F.col("s_acctbal") > 0, k % 6 == 0, F.when(F.col("s_acctbal") < 1000, " ").otherwise("by name"), F.when(k % 9 != 0, "2024"))
     return table(spark, sf, "supplier").select("s_suppkey", F.array_join(stamp, ",").alias("stamp"), F.array_join(source, ",").alias("source"))
 
 
-@query("""SELECT doc_id, lang, evidence FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE sha256(text) END AS evidence FROM documents WHERE doc_id % 2 = 0) WHERE evidence IS NULL""")
+@query("""SELECT doc_id, lang, CASE WHEN doc_id % 5 <> 0 THEN 'ev-1' END AS evidence_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 2 = 0 AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0)""")
 def incomplete_fragments(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, "ok").otherwise("not_found").alias("status"), F.lit("ev-1").alias("evidence_id"), F.when(F.col("doc_id") % 3 != 0, ids.content_hash(F.col("text"))).alias("content_hash"))
-    return reading.incomplete_fragments(rows).select("doc_id", "lang", F.col("content_hash").alias("evidence"))
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, "ok").otherwise("not_found").alias("status"), F.when(F.col("doc_id") % 5 != 0, "ev-1").alias("evidence_id"), F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 7 == 0, "").otherwise(ids.content_hash(F.col("text"))).alias("content_hash"))
+    return reading.incomplete_fragments(rows).select("doc_id", "lang", "evidence_id", "content_hash")
 
 
 @query("""SELECT vec_id, CASE WHEN label % 3 <> 0 THEN 'full_text' ELSE 'metadata' END AS content, label % 3 <> 0 AND label % 2 = 0 AS confirmable FROM embeddings""")

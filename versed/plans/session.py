@@ -27,6 +27,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(name)
 
 
+#: Rows and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Ship the package, and bound the Arrow batches of this session from now on, so that a worker's memory doesn't grow with the length of texts. Spark reads these settings when a plan runs, so they can't be put back before."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def workspace(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset and all runs in this process, as in tests."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):

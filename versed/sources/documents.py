@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,11 +83,25 @@ def catalogue(spark: SparkSession, path: str, member: str = "doc.txt") -> DataFr
 
 def changes(rows: DataFrame, payload: str, most: int) -> DataFrame:
     """law_id, title and changed of a feed, which is an object with a list or a list itself; the first dated column counts."""
+    return change_rows(rows, payload).orderBy("n").limit(most)
+
+
+def change_rows(rows: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """`keep`, n (place in the feed), law_id, title and changed of all entries of feeds, on tables and streams alike."""
     item = "struct<id:string,nreg:string,nazva:string,title:string,datred:string,organs:string,date:string>"
     listed = F.coalesce(F.from_json(F.col(payload), f"struct<cnt:string,list:array<{item}>>")["list"], F.from_json(F.col(payload), f"array<{item}>"))
-    x = rows.select(F.posexplode(listed).alias("n", "x")).select("n", "x.*")
+    x = rows.select(*keep, F.posexplode(listed).alias("n", "x")).select(*keep, "n", "x.*")
     day = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in ("datred", "date", "organs")))
-    return x.select("n", F.coalesce(F.nullif(F.trim("nreg"), F.lit("")), "id").alias("law_id"), F.coalesce("nazva", "title").alias("title"), day.alias("changed")).orderBy("n").limit(most)
+    return x.select(*keep, "n", F.coalesce(F.nullif(F.trim("nreg"), F.lit("")), "id").alias("law_id"), F.coalesce("nazva", "title").alias("title"), day.alias("changed"))
+
+
+def change_feed(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
+    """A stream of the entries of landed feeds, one JSON document a file: file, n, law_id, title and changed. A file is an offset: with a checkpoint a stream that starts again reads nothing twice and misses nothing."""
+    reader = spark.readStream.option("wholetext", True)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    rows = reader.text(folder).withColumn("file", F.col("_metadata.file_name"))
+    return change_rows(rows, "value", "file")
 
 
 def result_rows(pages: DataFrame, key: str, html: str, most: int = 20) -> DataFrame:
@@ -165,6 +180,38 @@ def read_table(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/v-{row['version']}")
 
 
+def replace_tables(tables: dict[str, DataFrame], folder: str) -> str:
+    """Write new versions of several tables and let them count in one step: a reader sees all the old ones or all the new ones. Tables that aren't given stay as they are."""
+    spark = next(iter(tables.values())).sparkSession
+    name, old = uuid.uuid4().hex, {}
+    if (row := _pointer(spark, folder)) is not None:
+        old = row["versions"]
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}/v-{name}")
+    new = spark.createDataFrame([(name, SCHEMA_VERSION, old | dict.fromkeys(tables, name))], "step string, schema_version int, versions map<string,string>")
+    new.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/_steps.parquet")
+    return name
+
+
+def _pointer(spark: SparkSession, folder: str):
+    try:
+        return spark.read.parquet(f"{folder}/_steps.parquet").orderBy(F.desc("at"), "step").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the latest step that replace_tables() finished; none before the first, another schema version is refused."""
+    row = _pointer(spark, folder)
+    if row is None:
+        return {}
+    if row["schema_version"] != SCHEMA_VERSION:
+        raise ValueError(f"tables have schema version {row['schema_version']}, this code reads {SCHEMA_VERSION}")
+    return {table: spark.read.parquet(f"{folder}/{table}/v-{name}") for table, name in row["versions"].items()}
+
+
 def landed(df: DataFrame, folder: str) -> DataFrame:
     """The rows written as a table in a shared folder and read again: later steps neither repeat their work nor depend on the executors that did it. The table stays."""
     path = f"{folder}/landed-{uuid.uuid4().hex}"
