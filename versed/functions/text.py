@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,13 +84,26 @@ def n_space_words(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^{BLANK}]+")))
 
 
+def token_count(low: Column, token: str) -> Column:
+    """How many search tokens of a lower-cased text the token reaches, counted in the text: where its stem begins one (and, if it doesn't match as a prefix, ends it)."""
+    start, prefix = stem_of(token)
+    inside = TOKEN[:-1]
+    return F.regexp_count(low, F.lit(rf"(?<!{inside})\Q{start}\E" + ("" if prefix else f"(?!{inside})")))
+
+
+def may_hit(low: Column, tokens: list[str]) -> Column:
+    """Whether a lower-cased text has every token's stem anywhere: a cheap test before any count."""
+    return reduce(lambda a, b: a & b, (low.contains(stem_of(t)[0]) for t in tokens))
+
+
 def density(text: Column, tokens: list[str]) -> Column:
     """Hits per 1000 words, summed over the tokens; 0 unless every token hits."""
     def scored(found: Column, size: Column) -> Column:
         return sum((F.get(found, k) * F.lit(1000.0) / size for k in range(len(tokens))), F.lit(0.0))
 
-    counted = let(words(text), lambda w: F.array(*(hits(w, t) for t in tokens)))
-    return let(counted, lambda c: F.when(F.array_min(c) > 0, let(n_space_words(text), lambda n: scored(c, n))).otherwise(0.0))
+    low = F.lower(text)
+    counted = F.array(*(token_count(low, t) for t in tokens))
+    return F.when(may_hit(low, tokens), let(counted, lambda c: F.when(F.array_min(c) > 0, let(n_space_words(text), lambda n: scored(c, n))).otherwise(0.0))).otherwise(0.0)
 
 
 def normal_quote(text: Column, rules: tuple[str, ...] = QUOTE_RULES) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,13 +27,15 @@ def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 def by_density(units: DataFrame, key: str, text: str, tokens: list[str]) -> DataFrame:
     """key and score of the units in which every token hits, hits per 1000 words."""
-    return units.select(key, T.density(F.col(text), tokens).alias("score")).where("score > 0")
+    rows = units.where(T.may_hit(F.lower(text), tokens))
+    return rows.select(key, F.explode(F.array(T.density(F.col(text), tokens))).alias("score")).where("score > 0")  # exploded, so that the filter doesn't work the score out again
 
 
 def token_hits(units: DataFrame, key: str, text: str, tokens: list[str]) -> DataFrame:
     """key, token and hits, for tokens that hit."""
-    each = T.let(T.words(F.col(text)), lambda w: F.array(*(F.struct(F.lit(t).alias("token"), T.hits(w, t).cast("long").alias("hits")) for t in tokens)))
-    return units.select(key, F.inline(each)).where("hits > 0")
+    low = F.lower(text)
+    each = F.array(*(F.struct(F.lit(t).alias("token"), T.token_count(low, t).cast("long").alias("hits")) for t in tokens))
+    return units.where(reduce(lambda a, b: a | b, (T.may_hit(low, [t]) for t in tokens))).select(key, F.inline(each)).where("hits > 0")
 
 
 def terms_search(units: DataFrame, key: str, text: str, tokens: list[str], every: bool) -> DataFrame:
@@ -44,8 +47,8 @@ def terms_search(units: DataFrame, key: str, text: str, tokens: list[str], every
 def and_or_search(units: DataFrame, key: str, text: str, tokens: list[str]) -> DataFrame:
     """Units with all terms; only if there are none, those with any."""
     n = token_hits(units, key, text, tokens).groupBy(key).agg(F.count(F.lit(1)).alias("n_terms"))
-    most = n.agg(F.max("n_terms")).first()[0]
-    return n.where(F.col("n_terms") == len(tokens)) if most == len(tokens) else n
+    every = F.col("n_terms") == len(tokens)
+    return n.where(every | ~n.where(every).exists())  # both read one exchange
 
 
 def postings(units: DataFrame, key: str, **fields: str) -> DataFrame:
@@ -55,10 +58,22 @@ def postings(units: DataFrame, key: str, **fields: str) -> DataFrame:
 
 
 def document_frequencies(units: DataFrame, key: str, text: str) -> DataFrame:
-    """term, df (units) and cf (occurrences) of the search tokens, summed by term and unit first."""
-    rows = units.select(F.col(key).alias("u"), F.explode(T.words(F.col(text))).alias("term"))
-    rows = rows.groupBy("term", "u").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    """term, df (units) and cf (occurrences) of the search tokens. Rows of one key are units each."""
+    bounded(units.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            coded = lists.flatten().dictionary_encode()
+            if len(coded):
+                words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                own = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                n = len(coded.dictionary)
+                df = np.bincount(np.unique(own * n + words) % n, minlength=n)
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df), pa.array(np.bincount(words, minlength=n))], names=["term", "df", "cf"])
+
+    rows = units.select(T.words(F.col(text)).alias("terms")).mapInArrow(run, "term string, df long, cf long")  # counted within a batch, so only its distinct terms are shuffled
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def bm25(units: DataFrame, key: str, body: str, tokens: list[str], heading: str | None = None) -> DataFrame:
