@@ -115,8 +115,13 @@ def result_rows(pages: DataFrame, key: str, html: str, most: int = 20) -> DataFr
 
 def redirect_ids(rows: DataFrame, location: str) -> DataFrame:
     """Ids of a redirect to a list of documents: the last part of the path, split on commas and decoded."""
+    return redirected(rows, location)
+
+
+def redirected(rows: DataFrame, location: str, *keep: str) -> DataFrame:
+    """`keep`, seq and law_id of many redirects."""
     last = F.substring_index(F.regexp_extract(F.col(location), "^[^?#]*", 0), "/", -1)
-    return rows.select(F.posexplode(F.split(last, ",")).alias("seq", "id")).select("seq", F.coalesce(F.try_url_decode("id"), "id").alias("law_id")).where("law_id <> ''")
+    return rows.select(*keep, F.posexplode(F.split(last, ",")).alias("seq", "id")).select(*keep, "seq", F.coalesce(F.try_url_decode("id"), "id").alias("law_id")).where("law_id <> ''")
 
 
 def tenders(rows: DataFrame, payload: str) -> DataFrame:
