@@ -88,3 +88,20 @@ def test_unit_lookup(spark):
     table = markup.unit_table(spark.createDataFrame([(1, PAGE), (2, None)], "k int, h string"), "k", "h")
     asked = spark.createDataFrame([(1, "5"), (1, "5(1)(A)"), (1, "annex 2"), (1, "9"), (2, "5")], "k int, l string")
     assert {(r["k"], r["l"]): r["status"] for r in markup.find(table, "k", asked, "l").collect()} == {(1, "5"): "ok", (1, "5(1)(A)"): "ok", (1, "annex 2"): "ok", (1, "9"): "path_not_found", (2, "5"): "path_not_found"}
+
+
+LEGACY = """<div><p class='modref'>&#9660;B</p><p class='title-article-norm'>Article 1</p><p class='norm'>1. One</p><p class='modref'>M1</p><p class='norm'>more <p class='modref'>M2</p></p><p class='norm'>3. no third yet</p><p class='norm'>2. Two</p>
+<div class='grid'><div class='grid-list-column-1'>(a)</div><div class='grid-list-column-2'>grid a</div></div><p class='title-article-norm'>Article 1</p><p>again</p><p class='title-article-norm'>2. pants</p><p>(b) plain b</p>
+<table><tr><th>B</th><td>x</td></tr><tr><td>c</td><td>cell c</td></tr></table><p class='title-annex-1'>ANNEX II</p><p>A list</p><p class='title-annex-2'>PART</p><p>rest</p></div>"""
+
+
+def test_units_of_older_consolidations(spark):
+    got = {u: t for u, _, t in markup.units(LEGACY)}
+    assert got == {
+        "art_1": "Article 1 1. One more 3. no third yet 2. Two (a)grid a", "art_1(a)": "grid a", "art_1.1": "One more 3. no third yet", "art_1.2": "Two (a)grid a", "art_1.2(a)": "grid a",
+        "art_2": "2. pants (b) plain b B x c cell c", "art_2(b)": "plain b", "art_2(c)": "cell c", "anx_II": "ANNEX II A list",
+    }
+    table = markup.unit_table(spark.createDataFrame([(1, LEGACY)], "k int, h string"), "k", "h")
+    asked = spark.createDataFrame([(1, x) for x in ("1", "1(2)(a)", "annex II", "3", "1(3)", "2(1)")], "k int, l string")
+    assert {r["l"]: r["status"] for r in markup.find(table, "k", asked, "l").collect()} == {"1": "ok", "1(2)(a)": "ok", "annex II": "ok", "3": "path_not_found", "1(3)": "path_not_found", "2(1)": "path_not_found"}
+    assert markup.units("<p class='title-article-norm'>Article</p>") == [] and markup.units("<p class='title-annex-1'>ANNEX</p>") == []

@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versed.functions import legacy
 from versed.functions.python import flat
 
 HEADING = re.compile(r"(?i)article\s+\d+[a-z]?$")
@@ -91,7 +92,8 @@ def units(markup: str | None) -> list[tuple[str, str, str]]:
     """(unit_id, kind, text) of a page; of equal ids the first counts.
 
     Kinds: article, annex, paragraph and subpoint of acts; point of judgments; practice, a numbered cell of practice
-    directions, on pages without articles. Headings 'Article N' count on pages without ids of articles. Paragraphs are art_N.M, whether the page
+    directions, on pages without articles. Headings 'Article N', and those of older consolidations, count on pages without
+    ids of articles. Paragraphs are art_N.M, whether the page
     numbers them by id (NNN.MMM) or by a marker span; sub-points add their letter in brackets.
     """
     root = parsed(markup)
@@ -139,6 +141,8 @@ def units(markup: str | None) -> list[tuple[str, str, str]]:
                 subpoints(n, name)
 
     if not any(n.attrs.get("id", "").startswith("art_") for n in nodes):
+        for unit in legacy.units(nodes):
+            add(*unit)
         headings = [n for n in nodes if n.tag == "p" and n.has("ti-art")]
         for n in headings:
             if m := re.match(r"Article (\w+)(?: |$)", n.text()):

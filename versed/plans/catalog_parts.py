@@ -73,6 +73,23 @@ def units_by_locator(spark, sf):
     return found.select("page_id", "locator", "status", F.when(F.col("page_id") % 6 != 0, F.col("text")).alias("text"))
 
 
+@query("""WITH p AS (SELECT page_id, 'art_' || (page_id % 40 + 1) AS a FROM pages)
+SELECT page_id, a AS unit_id, 'article' AS kind, 'Article ' || a[5:] || ' Scope 1. First ' || page_id || ' (a) sub one 2014. no 2. Second (a) row a (b) row b' AS text FROM p UNION ALL SELECT page_id, a || '(a)', 'subpoint', 'sub one' FROM p UNION ALL SELECT page_id, a || '(b)', 'subpoint', 'row b' FROM p
+UNION ALL SELECT page_id, a || '.1', 'paragraph', 'First ' || page_id || ' (a) sub one 2014. no' FROM p UNION ALL SELECT page_id, a || '.1(a)', 'subpoint', 'sub one' FROM p UNION ALL SELECT page_id, a || '.2', 'paragraph', 'Second (a) row a (b) row b' FROM p
+UNION ALL SELECT page_id, a || '.2(a)', 'subpoint', 'row a' FROM p UNION ALL SELECT page_id, a || '.2(b)', 'subpoint', 'row b' FROM p UNION ALL SELECT page_id, 'art_' || (a[5:]::INT + 1) || 'a', 'article', 'Article ' || (a[5:]::INT + 1) || 'a Last' FROM p
+UNION ALL SELECT page_id, 'anx_IV', 'annex', 'ANNEX IV List ' || page_id FROM p""")
+def legacy_units_of_pages(spark, sf):
+    """Units of older consolidations: headings by class, marks of modification between and inside blocks, rows of tables, a number out of order, an annex."""
+    k = F.col("page_id").cast("string")
+    n = (F.col("page_id") % 40 + 1).cast("int")
+    html = F.concat(
+        F.lit("<div><p class='title-article-norm'>Article "), n.cast("string"), F.lit("</p><p class='modref'>M3</p><p class='stitle-article-norm'>Scope</p><p class='norm'>1.  First "), k,
+        F.lit("</p><div><p class='modref'>B</p><p class='norm'>(a) sub one</p></div><p class='norm'>2014. no</p><div class='norm'><span class='no-parag'>2.  </span>Second</div><table><tr><td>(a)</td><td>row a</td></tr><tr><td>(b)</td><td><p class='modref'>M1</p>row b</td></tr></table><hr class='separator-short'/><p>between</p><p class='title-article-norm'>Article "),
+        (n + 1).cast("string"), F.lit("a</p><p>Last</p><p class='title-annex-1'>ANNEX IV</p><p>List "), k, F.lit("</p><p class='title-division-1'>PART</p><p>x</p></div>"),
+    )
+    return markup.unit_table(table(spark, sf, "pages").select("page_id", html.alias("html")), "page_id", "html")
+
+
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'REGULATION ' || page_id || ' of May' END AS title, CASE page_id % 2 WHEN 0 THEN 'Held ' || page_id ELSE CASE WHEN page_id % 3 = 0 THEN 'x' ELSE 'REGULATION ' || page_id || ' of May more x' END END AS text FROM pages""")
 def page_titles(spark, sf):
     """Titles of acts and texts of judgments, of pages with and without either."""
