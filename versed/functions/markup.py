@@ -228,6 +228,35 @@ def unit_table(pages: DataFrame, key: str, markup: str) -> DataFrame:
     return flat(pages, [key], [markup], "unit_id string, kind string, text string", units)
 
 
+def akn_texts(xml: str | None) -> list[tuple[str, str]]:
+    """(eId, text) of the elements of an Akoma Ntoso document that have one, the first of each; nothing if it is no XML."""
+    try:
+        root = ElementTree.fromstring((xml or "").strip())
+    except ElementTree.ParseError:
+        return []
+    out: dict[str, str] = {}
+    for n in root.iter():
+        if (name := n.attrib.get("eId")) and name not in out:
+            out[name] = re.sub(r"\s+", " ", "".join(n.itertext())).strip()
+    return list(out.items())
+
+
+def akn_table(pages: DataFrame, key: str, xml: str) -> DataFrame:
+    """key, eid and text of all elements of Akoma Ntoso documents."""
+    return flat(pages, [key], [xml], "eid string, text string", akn_texts)
+
+
+def akn_find(table: DataFrame, key: str, asked: DataFrame, path: str) -> DataFrame:
+    """Each asked (key, path) with its element by the spellings of an article's or a paragraph's eId in order; status ok, or path_not_found also where the element is empty."""
+    clean = F.trim(path)
+    names = F.when(clean != "", F.array(*(F.concat(F.lit(start), clean) for start in ("art_", "art", "para_", "para", ""))))
+    each = asked.select(key, path, F.posexplode(names).alias("place", "name")).join(table.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.col("name") == F.col("eid")))
+    best = each.groupBy(F.col(key).alias("__key"), F.col(path).alias("__path")).agg(F.min_by(F.struct("eid", "text"), "place").alias("unit"))
+    found = asked.join(best, (F.col(key) == F.col("__key")) & (F.col(path) == F.col("__path")), "left").drop("__key", "__path")
+    ok = F.coalesce(F.col("unit.text") != "", F.lit(False))
+    return found.select(*asked.columns, F.when(ok, F.col("unit.eid")).alias("eid"), F.when(ok, F.col("unit.text")).alias("text"), F.when(ok, "ok").otherwise("path_not_found").alias("status"))
+
+
 def find(table: DataFrame, key: str, asked: DataFrame, locator: str) -> DataFrame:
     """Each asked (key, locator) with its unit, by canonical locator: 5, 5(1), 5(1)(a), Annex II; status ok or path_not_found."""
     from versed.functions import ids

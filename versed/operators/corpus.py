@@ -149,3 +149,10 @@ def replace_oversize(units: DataFrame, vectors: DataFrame, unit: str, key: str,
     stay = units.where(~F.coalesce(long, F.lit(False))).withColumn("chunk_no", F.lit(1))
     gone = units.where(long).select(F.col(unit).alias("__gone"))
     return stay.unionByName(pieces), vectors.join(gone, F.col(unit) == F.col("__gone"), "left_anti")
+
+
+def merge_vectors(old: DataFrame, new: DataFrame, key: str, vector: str) -> DataFrame:
+    """Upsert of vectors: the new one wins, with all its columns; empty and null ones are skipped, so an old one stays."""
+    usable = new.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+    kept = old.join(usable.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_anti")
+    return kept.unionByName(usable)

@@ -41,3 +41,12 @@ def preferred(rows: DataFrame, key: str, ident: str) -> DataFrame:
 def collapsed(rows: DataFrame, key: str, many: list[str]) -> DataFrame:
     """One row of each key, several values joined by bars in order."""
     return rows.groupBy(key).agg(*(F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|").alias(c) for c in many))
+
+
+def existing(asked: DataFrame, candidates: Column, store: DataFrame, ident: str, day: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Asked rows with the rows of a store that have one of their candidate identifiers, within both dates; those without any have nulls."""
+    kept = dated(store, day, since, until) if day else store
+    each = asked.select(F.struct(*asked.columns).alias("__asked"), F.explode_outer(F.array_distinct(candidates)).alias("__one"))
+    met = each.join(kept, F.col("__one") == F.col(ident)).drop("__one")
+    rest = asked.select(F.struct(*asked.columns).alias("__of")).join(met.select(F.col("__asked").alias("__had")).distinct(), F.col("__of") == F.col("__had"), "left_anti")
+    return met.select("__asked.*", *kept.columns).unionByName(rest.select("__of.*"), allowMissingColumns=True)

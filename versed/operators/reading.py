@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from versed.functions import ids
 from versed.functions import text as T
 from versed.operators import corpus, resolve, search
 
@@ -132,3 +133,26 @@ def incomplete_fragments(rows: DataFrame, status: str = "status") -> DataFrame:
 def units_in_order(rows: DataFrame, key: str, num: str) -> DataFrame:
     """key and units: the numbers of each document's units, shorter ones first."""
     return rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.length(num).alias("size"), F.col(num).alias("num")))).alias("u")).select(key, F.col("u.num").alias("units"))
+
+
+def verified(asked: DataFrame, request: str, ident: str, hits: DataFrame, appnos: str, ecli: str, itemid: str) -> DataFrame:
+    """Asked requests (request, ident) with status ok where one of the request's hits carries the identifier asked for, else unverified: a source that ignores a filter answers with other rows, and these are no answer."""
+    kind, wanted = ids.identifier_kind(F.col(ident)), F.trim(ident)
+    rows = asked.withColumns({"__kind": kind, "__wanted": wanted}).join(hits.withColumnRenamed(request, "__request"), F.col(request) == F.col("__request"), "left")
+    same = F.when(F.col("__kind") == "appno", F.array_contains(ids.application_numbers(F.col(appnos)), F.col("__wanted"))).when(F.col("__kind") == "ecli", F.upper(F.trim(ecli)) == F.upper("__wanted")).when(F.col("__kind") == "itemid", F.lower(F.trim(itemid)) == F.lower("__wanted"))
+    found = rows.groupBy(request, ident).agg(F.max(F.coalesce(same, F.lit(False))).alias("__ok"))
+    return found.select(request, ident, F.when(F.col("__ok"), "ok").otherwise("unverified").alias("status"))
+
+
+def refused(asked: DataFrame, request: str, reason: str) -> DataFrame:
+    """Requests to a register that only a person may ask: each is refused with the reason, none is answered with nothing."""
+    return asked.select(request, F.lit("requires_human").alias("status"), F.lit(reason).alias("reason"))
+
+
+def catalogue(rows: DataFrame, key: str, category: str | None, cached: DataFrame, fetched: str, now: Column, ttl_days: int) -> DataFrame:
+    """The catalogue's rows of a category (all without one) with cache_status (absent, fresh, stale) and age_days of their cached text."""
+    some = rows.where(F.col("category") == category) if category else rows
+    latest = cached.groupBy(F.col(key).alias("__key")).agg(F.max(fetched).alias("__at"))
+    age = ids.age_days(now, F.col("__at"))
+    out = some.join(latest, F.col(key) == F.col("__key"), "left").withColumn("age_days", age)
+    return out.withColumn("cache_status", F.when(F.col("__at").isNull(), "absent").when(F.col("age_days") < ttl_days, "fresh").otherwise("stale")).drop("__key", "__at")

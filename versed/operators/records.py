@@ -91,3 +91,8 @@ def values(joined: Column) -> Column:
 def single(found: Column) -> Column:
     """The only value of an array, else null."""
     return F.when(F.size(found) == 1, F.get(found, 0))
+
+
+def is_expected(number: Column, expected: Column) -> Column:
+    """Whether a hit is the unit that was expected, or a piece of it (number#2 and so on)."""
+    return F.coalesce((number == expected) | number.startswith(F.concat(expected, F.lit("#"))), F.lit(False))

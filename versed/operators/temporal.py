@@ -81,3 +81,9 @@ def covers(valid_from: Column, valid_to: Column, day: Column) -> Column:
 def amending(composition: Column, own: Column, dated_prefix: Column) -> Column:
     """The acts of a composition that are neither the act itself nor its dated texts."""
     return F.array_sort(F.filter(F.array_except(composition, F.array(own)), lambda x: ~x.startswith(dated_prefix)))
+
+
+def catalogue_state(is_fresh: Column, downloaded: Column, fetched_at: Column) -> Column:
+    """(state, from_cache, stale_since) of a catalogue: cache while the copy is fresh, live after a download, stale with the day of the old copy when that failed, unavailable without any."""
+    state = F.when(is_fresh & fetched_at.isNotNull(), "cache").when(downloaded, "live").when(fetched_at.isNotNull(), "stale").otherwise("unavailable")
+    return F.struct(state.alias("state"), (state != "live").alias("from_cache"), F.when(state == "stale", fetched_at).alias("stale_since"))

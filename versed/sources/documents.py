@@ -222,3 +222,30 @@ def landed(df: DataFrame, folder: str) -> DataFrame:
     path = f"{folder}/landed-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# fixed values: the marks of a search-result page
+FOUND = r"(?is)Знайдено</a>\s*<strong>(\d+)</strong>"
+LIST_TOKEN = r"/laws/main/(u[0-9a-f-]{36})"
+ECHO = r'(?is)<span class="find_params">(.*?)</span>'
+PAGE = r"/laws/main/u[0-9a-f-]{36}/page(\d+)"
+ITEM = r'(?is)<li>\s*<div class="doc">\s*<a href="[^"]*/laws/show/([^"?#]+?)(?:/sp:[^"]*)?"[^>]*alt="([^"]*)"[^>]*>(.*?)</a>'
+
+
+def search_pages(pages: DataFrame, key: str, html: str, most: int) -> DataFrame:
+    """key, found (the count that the page states, else its items), token of the list, params_echo, pages, and the first `most` items (law_id, title, status) of each search-result page."""
+    def plain(x: F.Column) -> F.Column:
+        return squeeze(F.regexp_replace(x, r"(?s)<[^>]+>", ""))
+
+    def all_(pattern: str, group: int) -> F.Column:
+        return F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(group))
+
+    def item(i: F.Column, state: F.Column, title: F.Column) -> F.Column:
+        return F.struct(F.coalesce(F.try_url_decode(i), i).alias("law_id"), plain(title).alias("title"), F.trim(state).alias("status"))
+
+    raw = F.slice(F.arrays_zip(all_(ITEM, 1).alias("i"), all_(ITEM, 2).alias("s"), all_(ITEM, 3).alias("t")), 1, most)
+    items = F.transform(raw, lambda r: item(r["i"], r["s"], r["t"]))
+    count = F.nullif(F.regexp_extract(html, FOUND, 1), F.lit("")).cast("long")
+    last = F.array_max(F.transform(all_(PAGE, 1), lambda n: n.cast("int")))
+    return pages.select(key, items.alias("items"), count.alias("stated"), F.regexp_extract(html, LIST_TOKEN, 1).alias("token"), plain(F.regexp_extract(html, ECHO, 1)).alias("params_echo"), F.coalesce(last, F.lit(1)).alias("pages")).select(
+        key, F.coalesce("stated", F.size("items").cast("long")).alias("found"), "token", "params_echo", "pages", "items")
