@@ -217,3 +217,29 @@ def test_aliases_lose_number_signs_and_blanks(spark):
     aliases = spark.createDataFrame([("Закон  № 435-15", "435-15"), ("закон про мову", "m")], "alias string, law_id string")
     asked = spark.createDataFrame([("№ 435-15",), ("зу  про   мову",), ("ЗАКОН №435-15",)], "q string")
     assert {r["q"]: r["law_id"] for r in resolve.by_alias(asked, "q", aliases).collect()} == {"№ 435-15": "435-15", "зу  про   мову": "m", "ЗАКОН №435-15": "435-15"}
+
+
+def test_quotas_and_ladders_over_many_stretches(spark):
+    from versed.operators import records
+
+    r = random.Random(8)
+    rows = [("hot" if k % 3 else f"p{k % 5}", k, r.randint(1, 20), r.random() < 0.8) for k in range(400)] + [(None, k, 1, True) for k in range(400, 420)]
+    df = spark.createDataFrame(rows, "p string, t long, size long, bad boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x["t"]: (x["n"], x["chars"], x["allowed"]) for x in records.quota(df, "p", "t", F.col("size"), 50, 300).collect()}
+        steps = {x["t"]: (x["attempt"], x["delay_s"]) for x in records.ladder(df, "p", ["t"], F.col("bad")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, tries = {}, {}
+    for part in {x[0] for x in rows}:
+        n = used = failed = 0
+        for _, t, size, bad in (x for x in rows if x[0] == part):
+            n, used, failed = n + 1, used + size, failed + 1 if bad else 0
+            want[t] = (n, used, n <= 50 and used <= 300)
+            if bad:
+                tries[t] = (failed, records.LADDER[min(failed, 5) - 1])
+    assert got == want and steps == tries

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from versed.plans.session import workspace
+from versed.sources.documents import landed
+
 #: Seconds until the next try after so many failures in a row.
 LADDER = (60, 300, 1800, 7200, 86400)
 
@@ -25,8 +28,10 @@ def filled(*columns: Column) -> Column:
 
 def richest(rows: DataFrame, keys: list[str], values: list[str], seq: str) -> DataFrame:
     """The row of each key with most values, the first on a tie, at the place of the key's first row (first_seq)."""
-    first = F.min(seq).over(W.partitionBy(*keys))
-    return pick(rows.withColumns({"first_seq": first, "__filled": filled(*(F.col(v) for v in values))}), keys, F.desc("__filled"), F.col(seq)).drop("__filled")
+    first = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(seq).alias("first_seq"))
+    best = pick(rows.withColumn("__filled", filled(*(F.col(v) for v in values))), keys, F.desc("__filled"), F.col(seq)).drop("__filled")
+    same = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)))
+    return best.join(first, same).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
 def with_completeness(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -68,19 +73,41 @@ def containment(queries: DataFrame, q: str, aliases: DataFrame, alias: str, widt
     return meet(a, q, b, alias).unionByName(meet(b, alias, a, q)).distinct()
 
 
+def stretches(rows: DataFrame, part: str, *order: str) -> DataFrame:
+    """Rows with __at, their stretch of the order by part and `order`: stretches are ranges of rows of about equal size, so a hot part has many. Written, since a range isn't found again the same way."""
+    spread = rows.repartitionByRange(part, *order).withColumn("__at", F.spark_partition_id())
+    return landed(spread, workspace(rows.sparkSession))
+
+
 def quota(rows: DataFrame, part: str, order: str, size: Column, entries: int, chars: int) -> DataFrame:
-    """Rows with n (place in the part), chars (running size) and allowed: both within the quota."""
-    w = W.partitionBy(part).orderBy(order)
-    return rows.withColumns({"n": F.row_number().over(w), "chars": F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))}).withColumn("allowed", (F.col("n") <= entries) & (F.col("chars") <= chars))
+    """Rows with n (place in the part), chars (running size) and allowed: both within the quota. Sums are made by stretches and carried over, so no task walks a whole part."""
+    rows = stretches(rows.withColumn("__size", size), part, order)
+    before = W.partitionBy("__part").orderBy("__in").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col(part).alias("__part"), F.col("__at").alias("__in")).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__all"))
+    sums = sums.select("__part", "__in", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__had"), F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__used"))
+    rows = rows.join(sums, F.col(part).eqNullSafe(F.col("__part")) & (F.col("__at") == F.col("__in")))
+    w = W.partitionBy(part, "__at").orderBy(order)
+    rows = rows.withColumns({"n": F.row_number().over(w) + F.col("__had"), "chars": F.sum("__size").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("__used")})
+    return rows.withColumn("allowed", (F.col("n") <= entries) & (F.col("chars") <= chars)).drop("__size", "__at", "__part", "__in", "__had", "__used")
 
 
 def ladder(events: DataFrame, part: str, order: list[str], failed: Column) -> DataFrame:
     """Failed rows with attempt (failures in a row so far) and delay_s until the next try; a success starts anew."""
-    w = W.partitionBy(part).orderBy(*order)
-    rows = events.withColumn("__fail", failed).withColumn("__island", F.sum(F.when(F.col("__fail"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.where("__fail").withColumn("attempt", F.row_number().over(W.partitionBy(part, "__island").orderBy(*order)))
+    rows = stretches(events.withColumn("__fail", F.coalesce(failed, F.lit(False))), part, *order)
+    w = W.partitionBy(part, "__at").orderBy(*order)
+    rows = rows.withColumn("__island", F.sum((~F.col("__fail")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # of a stretch: its failures after the last success in it, or all; carried into the next ones up to one with a success
+    ends = rows.groupBy(F.col(part).alias("__part"), F.col("__at").alias("__in"), "__island").agg(F.count_if("__fail").alias("__n"))
+    ends = ends.groupBy("__part", "__in").agg(F.max_by("__n", "__island").alias("__tail"), (F.max("__island") > 0).alias("__broken"))
+    along = W.partitionBy("__part").orderBy("__in")
+    before = along.rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__sum", F.coalesce(F.sum("__tail").over(before), F.lit(0)))
+    ends = ends.select("__part", "__in", (F.col("__sum") - F.coalesce(F.last(F.when(F.col("__broken"), F.col("__sum")), ignorenulls=True).over(before), F.lit(0))).alias("__carried"))
+    rows = rows.where("__fail").join(ends, F.col(part).eqNullSafe(F.col("__part")) & (F.col("__at") == F.col("__in")))
+    own = F.row_number().over(W.partitionBy(part, "__at", "__island").orderBy(*order))
+    rows = rows.withColumn("attempt", own + F.when(F.col("__island") == 0, F.col("__carried")).otherwise(0))
     delays = F.array(*(F.lit(x) for x in LADDER))
-    return rows.withColumn("delay_s", F.element_at(delays, F.least(F.col("attempt"), F.lit(len(LADDER))))).drop("__fail", "__island")
+    return rows.withColumn("delay_s", F.element_at(delays, F.least(F.col("attempt"), F.lit(len(LADDER))).cast("int"))).drop("__fail", "__island", "__at", "__part", "__in", "__carried")
 
 
 def values(joined: Column) -> Column:

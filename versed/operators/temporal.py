@@ -24,15 +24,17 @@ def as_of(asked: DataFrame, dates: DataFrame, key: str, day: str) -> DataFrame:
     Dates and questions are laid in one ordered line for each key, so no range join is needed.
     """
     known = dates.select(F.col(key).alias("k"), F.col(day).cast("date").alias("d")).where("d is not null").distinct()
-    line = known.select("k", "d", F.lit(0).alias("turn"), F.col("d").alias("from")).unionByName(asked.select(F.col(key).alias("k"), F.col("as_of").alias("d"), F.lit(1).alias("turn"), F.lit(None).cast("date").alias("from")))
+    once = asked.select(F.col(key).alias("k"), F.col("as_of").alias("d")).distinct()  # a line is no longer than the calendar
+    line = known.select("k", "d", F.lit(0).alias("turn"), F.col("d").alias("from")).unionByName(once.select("k", "d", F.lit(1).alias("turn"), F.lit(None).cast("date").alias("from")))
     w = W.partitionBy("k").orderBy("d", "turn")
     line = line.select("k", "d", "turn", F.last("from", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("valid_from"), F.first("from", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("next"), F.max("from").over(W.partitionBy("k")).alias("last"))
     rows = line.where("turn = 1")
     ok = F.col("valid_from").isNotNull() & (F.col("d") <= F.col("last"))
-    return rows.select(
-        F.col("k").alias(key), F.col("d").alias("as_of"), F.when(F.col("last").isNull(), "not_found").when(ok, "ok").otherwise("revision_unknown").alias("status"),
+    told = rows.select(
+        F.col("k").alias("__k"), F.col("d").alias("__d"), F.when(F.col("last").isNull(), "not_found").when(ok, "ok").otherwise("revision_unknown").alias("status"),
         F.when(ok, F.col("valid_from")).alias("valid_from"), F.when(ok, F.date_sub("next", 1)).alias("valid_to"), F.when(ok & F.col("next").isNull(), F.col("last")).alias("known_through"),
     )
+    return asked.select(key, "as_of").join(told, F.col(key).eqNullSafe(F.col("__k")) & F.col("as_of").eqNullSafe(F.col("__d"))).drop("__k", "__d")
 
 
 def current(dates: DataFrame, key: str, day: str, today: Column) -> DataFrame:
