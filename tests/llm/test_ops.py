@@ -414,32 +414,6 @@ def test_mixing_spreads_rows_without_ids_and_keeps_names(spark):
     assert mixing.replicate(docs.withColumn("text", F.lit(None).cast("string"))).count() >= 0
 
 
-def test_lm_scores(spark, odd, none):
-    good, other = "the cat sat on the mat . " * 5, "zig zag zog 12 34 ! " * 5
-    docs = frame(spark, [good] * 20 + [other] * 60)
-    words = lm.vocabulary(docs)
-    assert words[0] == "!" and set(words[1:4]) == {"zag", "zig", "zog"} and "12" not in words
-    tables = lm.models(lm.counts(docs, words, spark.range(20).toDF("doc_id")))
-    out = {r["doc_id"]: r for r in lm.score(docs, words, tables).collect()}
-    assert out[0]["score"] < -0.3 and out[30]["score"] > 0.3 and abs(out[0]["target_loss"] - out[0]["background_loss"] - out[0]["score"]) < 1e-9
-    ids = lm.Ids(words)
-    flat = [lm.START, *(ids[t] for t in lm.tokens(good))]
-    loss = np.mean([tables[1][a * lm.VOCABULARY + b] for a, b in zip(flat[:-1], flat[1:], strict=True)])
-    assert abs(loss - out[0]["target_loss"]) < 1e-5
-    edge = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lm.score(odd, words, tables).collect()}
-    assert edge[0] == edge[1] == edge[3] == (0, 0.0) and edge[4] == edge[7]
-    empty = lm.models(lm.counts(none, lm.vocabulary(none), spark.range(0).toDF("doc_id")))
-    assert np.allclose(empty, math.log(lm.VOCABULARY)) and lm.score(none, [], empty).count() == 0
-
-
-def test_lm_counts_are_exact(spark):
-    texts = ["a b a", None, "b", "a b"]
-    docs = frame(spark, texts)
-    n = lm.counts(docs, ["a", "b"], spark.createDataFrame([(0,), (0,), (9,), (None,)], "doc_id long"))
-    a, b = 3, 4
-    assert (n[0][0][a], n[0][0][b], n[0][a][b], n[0][b][a], n[0].sum()) == (2, 1, 2, 1, 6) and n[1].sum() == 3
-
-
 def slow_difference(texts, chosen):
     """Target and background loss of each text by the formulas of the module, over dictionaries of all tokens."""
     rows = [["", *("<number>" if w.isdecimal() else w for w in lm.tokens(t or ""))] for t in texts]

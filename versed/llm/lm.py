@@ -15,9 +15,6 @@ Every bigram, context and token of the corpus counts, however rare, so what is g
 A chunk sends a key once, so a frequent bigram has at most as many rows as there are chunks. The driver sees the number of
 tokens, of the target's tokens and of distinct tokens, and nothing is broadcast.
 
-`vocabulary`, `counts`, `models` and `score` are the same models over a stated small vocabulary, as dense tables with
-classes for numbers and for all other words; op7_lm_scores doesn't use them.
-
 Defined cases: a null text counts as empty; an empty text has no tokens and zeros for losses and score; whole texts count;
 target documents that no row has are left out; without target documents the target model is uniform; repeated rows
 count and are scored each; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +23,6 @@ count and are scored each; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +35,10 @@ from pyspark.sql import functions as F
 from versed.llm.common import bounded_batches, cut, named, number, texts, whole_text
 from versed.llm.neardup import mix
 
-#: Size of the stated vocabulary of `counts`, and the weights (in tokens) of the unigram model behind a bigram and of uniform behind that.
-VOCABULARY, BEHIND, UNIFORM = 1024, 20.0, 0.5
-START, OTHER, NUMBER = 0, 1, 2
-SPECIAL = ("<start>", "<other>", "<number>")
-#: Distinct words that a task holds while it counts.
-HELD = 200_000
+#: Weights (in tokens) of the unigram model behind a bigram and of uniform behind that.
+BEHIND, UNIFORM = 20.0, 0.5
+#: What stands before a document's first token, its number, and the class of numbers.
+BEGIN, START, NUMBER = "<start>", 0, "<number>"
 #: Tokens from which a chunk is full, and keys of one range of hashes, about.
 CHUNK, RANGE = 1 << 20, 1 << 19
 SPARE = 22
@@ -56,121 +50,6 @@ def tokens(text: str) -> list[str]:
     return TOKEN(text.lower())
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[str]:
-    """The most frequent tokens that aren't numbers, ties in order of the token; ids follow those of SPECIAL."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def passed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), type=pa.string()), pa.array(held.values(), type=pa.int64())], names=["token", "n"])
-            held.clear()
-            return out
-
-        for _, some in texts(batches):
-            for text in some:
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield passed()
-        if held:
-            yield passed()
-
-    counted = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, "token string, n long")
-    summed = counted.where("not token rlike '^[0-9]+$'").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r["token"] for r in summed.orderBy(F.desc("n"), "token").limit(size - len(SPECIAL)).collect()]
-
-
-class Ids(dict):
-    """Ids of tokens; unknown ones are OTHER or NUMBER and aren't kept."""
-
-    def __init__(self, words: list[str]):
-        super().__init__({w: k + len(SPECIAL) for k, w in enumerate(words)})
-
-    def __missing__(self, token: str) -> int:
-        return NUMBER if token.isdecimal() else OTHER
-
-
-def cells(some: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
-    """VOCABULARY x token before + token of all tokens in order, and how many each text has."""
-    flat, lengths = [], []
-    for text in some:
-        found = tokens(text)
-        flat.append(START)
-        flat += map(ids.__getitem__, found)
-        lengths.append(len(found))
-    numbers = np.array(flat, dtype=np.int64)
-    pairs = numbers[:-1] * VOCABULARY + numbers[1:]
-    inside = np.ones(len(pairs), dtype=bool)
-    inside[np.cumsum(np.array(lengths[:-1], dtype=np.int64) + 1) - 1] = False  # where one text ends and the next starts
-    return pairs[inside], np.array(lengths, dtype=np.int64)
-
-
-def counts(docs: DataFrame, words: list[str], target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Bigram counts (2, VOCABULARY, VOCABULARY): of all documents, and of those whose id is in `target`."""
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    chosen = target.select(number(named(target.columns[0])).alias("id")).where("id is not null").distinct().withColumn("mine", F.lit(True)).hint("merge")  # one plan at every size: the target grows with the corpus
-    rows = docs.select(number(F.col(id_col)).alias("id"), whole_text(text_col).alias("text")).join(chosen, "id", "left").select("text", "mine")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, size = Ids(sent.value), VOCABULARY * VOCABULARY
-        total = np.zeros((2, size), dtype=np.int64)
-        for batch, some in texts(batches):
-            at, lengths = cells(some, ids)
-            mine = np.repeat(np.array([x is True for x in batch.column("mine").to_pylist()]), lengths)
-            total[0] += np.bincount(at, minlength=size)
-            total[1] += np.bincount(at[mine], minlength=size)
-        found = np.flatnonzero(total[0])
-        for k in range(0, len(found), 100_000):
-            some_ = found[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some_.astype(np.int32)), pa.array(total[0][some_]), pa.array(total[1][some_])], names=["cell", "n", "mine"])
-
-    summed = rows.mapInArrow(run, "cell int, n long, mine long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("mine").alias("mine"))
-    found = cut(summed).toArrow()  # at most VOCABULARY squared rows
-    out = np.zeros((2, VOCABULARY * VOCABULARY))
-    out[:, found["cell"].to_numpy()] = found["n"].to_numpy(), found["mine"].to_numpy()
-    return out.reshape(2, VOCABULARY, VOCABULARY)
-
-
-def losses(n: np.ndarray) -> np.ndarray:
-    """Minus log probability of each bigram, smoothed by the unigram model and that by the uniform one."""
-    one = n.sum(axis=0)
-    one = (one + UNIFORM) / (one.sum() + UNIFORM * VOCABULARY)
-    return -np.log((n + BEHIND * one) / (n.sum(axis=1, keepdims=True) + BEHIND))
-
-
-def models(n: np.ndarray) -> np.ndarray:
-    """Losses (2, cells) of the background and the target model, matched in size."""
-    ground, mine = n
-    scale = mine.sum() / ground.sum() if mine.sum() and ground.sum() else 1.0
-    return np.stack([losses(ground * scale), losses(mine)]).reshape(2, -1).astype(np.float32)
-
-
-def score(docs: DataFrame, words: list[str], tables: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, n_tokens, target_loss and background_loss (means per token, nats) and score, their difference, of every row."""
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((words, tables))
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (ground, mine) = Ids(sent.value[0]), sent.value[1]
-        for batch, some in texts(batches):
-            at, lengths = cells(some, ids)
-            ends = np.cumsum(lengths)
-            means = []
-            for table in (mine, ground):
-                sums = np.append(0.0, np.cumsum(table[at], dtype=np.float64))
-                means.append((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, (lengths, *means, means[0] - means[1]))], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-
-
-# --- over all tokens ---
-
-
 def planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, those of like weight side by side, which compresses well."""
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
@@ -195,11 +74,11 @@ class Numbers(dict):
 
     def __init__(self):
         super().__init__()
-        self.words = [SPECIAL[START]]
+        self.words = [BEGIN]
 
     def __missing__(self, token: str) -> int:
         if token.isdecimal():
-            number = self[SPECIAL[NUMBER]]
+            number = self[NUMBER]
         else:
             number = len(self.words)
             self.words.append(token)
