@@ -31,7 +31,7 @@ from versed.functions import text as T
 from versed.functions.python import flat
 from versed.operators.search import B, BODY, HEADING, K1
 from versed.plans.session import bounded
-from versed.sources.documents import read_table, replace_table
+from versed.sources.documents import landed, read_table, replace_table
 
 #: Buckets of terms, and characters that decide on a term's bucket; no stem that matches as a prefix is shorter.
 BUCKETS, LEAD = 64, T.PREFIX_FROM
@@ -121,7 +121,6 @@ def build(units: DataFrame, key: str, path: str, **fields: str) -> int | None:
     which = segments(spark, path)
     columns = {name: f"text_{name}" for name in fields}
     rows = units.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(c).alias(columns[name]) for name, c in fields.items())).withColumn("content_hash", fingerprint(units, columns))
-    size = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.size(T.index_tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns.values())))
     number = max(which, default=-1) + 1
     folder = f"{path}/docs/segment={number}"
     if which:
@@ -137,9 +136,11 @@ def build(units: DataFrame, key: str, path: str, **fields: str) -> int | None:
         return None
     fresh = changed.where("not gone").select(F.col("key").alias("of"), F.col("content_hash").alias("own"))
     texts = rows.join(fresh, (F.col("key") == F.col("of")) & (F.col("content_hash") == F.col("own"))).drop("of", "own").dropDuplicates(["key"])
-    sizes = texts.select(F.col("key").alias("of"), size.alias("fields"))
-    changed.join(sizes, F.col("key") == F.col("of"), "left").select("key", "fields", "content_hash", "gone").write.mode("overwrite").parquet(folder)
-    made = positional(texts, "key", **columns).withColumn("bucket", bucket(F.col("term")))
+    made = landed(positional(texts, "key", **columns).withColumn("bucket", bucket(F.col("term"))), f"{path}/changes")  # else the sampling for the ranges below would make it all once more
+    own = made.groupBy("key", "field").agg(F.sum("tf").cast("int").alias("n")).groupBy(F.col("key").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("own"))
+    size = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.coalesce(F.try_element_at("own", F.lit(name)), F.lit(0)) for name in columns)))
+    rows = changed.join(own, F.col("key") == F.col("of"), "left").select("key", F.when(~F.col("gone"), size).alias("fields"), "content_hash", "gone")
+    rows.write.mode("overwrite").parquet(folder)
     made.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
     point(spark, path, [*which, number])
     return number
