@@ -125,3 +125,12 @@ def link_kinds(spark, sf):
     """Links of a row told apart by their address."""
     href = F.concat(nth(F.col("o_orderkey"), 5, "/juris/document/document.jsf?docid=", "/juris/showPdf.jsf?docid=", "https://eur-lex.europa.eu/", "http://x.test/", "#"), F.col("o_custkey").cast("string"))
     return table(spark, sf, "orders").select("o_orderkey", resolve.link_kind(href).alias("kind"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS seq, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) + (CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END) AS n FROM lineitem)
+SELECT l_orderkey, seq, first_seq FROM (SELECT *, min(seq) OVER (PARTITION BY l_orderkey) AS first_seq FROM r) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, seq) = 1""")
+def richest_lines(spark, sf):
+    """The line of each order with most of two values, the first (by number and part) on a tie, at the place of the order's first line."""
+    seq = F.col("l_linenumber").cast(LONG) * 10_000_000 + F.col("l_partkey")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", seq.alias("seq"), F.when(F.col("l_returnflag") == "R", "R").alias("a"), F.when(F.col("l_suppkey") % 2 == 0, "b").otherwise("").alias("b"))
+    return records.richest(rows, ["l_orderkey"], ["a", "b"], "seq").select("l_orderkey", "seq", "first_seq")
