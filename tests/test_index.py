@@ -6,9 +6,11 @@ import random
 import re
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from versed.functions import text as T
 from versed.operators import index
 
 DOCS = "id long, body string, head string, key string, term string"
@@ -125,3 +127,49 @@ def test_index_without_documents(spark, tmp_path):
     assert index.found(asked, "q", "words", path).count() == 0
     assert index.statuses(asked, "q", "words", path).first()["status"] == "empty"
     assert build(spark, {1: "law"}, path) == 1 and index.counted(index.found(asked, "q", "words", path)).count() == 1
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_build_shuffles_no_texts_or_postings(spark, tmp_path, monkeypatch):
+    path, plans = f"{tmp_path}/index", []
+    own = index.written
+    monkeypatch.setattr(index, "written", lambda rows, *more: (plans.append(plan_of(rows)), own(rows, *more)))
+    texts = {k: f"law number {k}\nof the sea" for k in range(50)}
+    build(spark, texts, path)
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Join" not in plans[0]
+    assert read(spark, path) == slow_postings(texts)
+
+
+def test_of_several_units_with_a_key_one_counts(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    rows = [(1, "one text", "h", "x", "y"), (1, "another text", "h", "x", "y"), (1, "another text", "h", "x", "y"), (2, "alone", "h", "x", "y"), (None, "no key", "h", "x", "y")]
+    index.build(spark.createDataFrame(rows, DOCS), "id", path, body="body")
+    got = {(r["key"], r["term"], tuple(r["positions"])) for r in index.stored(spark, path).collect()}
+    assert got in ({(1, "one", (1,)), (1, "text", (2,)), (2, "alone", (1,))}, {(1, "another", (1,)), (1, "text", (2,)), (2, "alone", (1,))})
+
+
+def test_current_equals_stored_over_segments(spark, tmp_path):
+    path, texts = f"{tmp_path}/index", {k: f"law {k}" for k in range(20)}
+    build(spark, texts, path)
+    assert "Join" not in plan_of(index.current(spark, path))
+    texts[3], texts[40] = "changed", "new"
+    del texts[4]
+    build(spark, texts, path)
+    build(spark, texts | {3: "changed again"}, path)
+    both = [sorted((r["key"], r["field"], r["term"], tuple(r["positions"])) for r in f(spark, path).collect()) for f in (index.current, index.stored)]
+    assert both[0] == both[1] and (3, "body", "again", (2,)) in both[0] and not any(r[0] == 4 for r in both[0])
+
+
+def test_tokens_equal_the_pattern(spark):
+    r, table = random.Random(5), index.word_characters(spark)
+    for _ in range(300):
+        texts = ["".join(r.choice("ab1é—日😀𝟙 _\n-") for _ in range(r.choice((0, 0, 1, 2, 9)))) for _ in range(r.randint(1, 6))]
+        found, sizes = index.tokens(pa.array(texts), table)
+        want = [re.findall(r"[^\W_]+", x) for x in texts]
+        assert found.to_pylist() == sum(want, []) and list(sizes) == [len(w) for w in want]
+    text = spark.createDataFrame([("x٠Ⅷ²ª̀y﻿〇ͅⒶz",)], "t string")
+    want = text.select(T.index_tokens(F.col("t"))).first()[0]
+    assert index.tokens(pa.array([text.select(F.lower("t")).first()[0]]), table)[0].to_pylist() == want

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Search tokens, service words, prefix rule.
+INDEX_TOKEN = r"[\p{L}\p{N}]+"
 TOKEN = "[A-Za-zА-Яа-яІіЇїЄєҐґ0-9-]+"
 STOP_WORDS = (
     "та", "або", "що", "як", "для", "про", "при", "до", "від", "на", "в", "у", "з", "і", "а", "але", "це", "є", "не",
@@ -55,7 +56,7 @@ def query_tokens(text: Column) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Index tokens: runs of letters and digits of any script, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(INDEX_TOKEN), F.lit(0))
 
 
 def stem(token: Column) -> Column:

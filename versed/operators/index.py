@@ -1,12 +1,16 @@
 """A stored inverted index: built by segments, merged, read by pruned buckets, ranked by cover density or BM25.
 
 A folder holds
-  postings/segment=S/bucket=B   term, key, field, tf, positions (from 1, ascending), sorted by term and key in each file
+  postings/segment=S/bucket=B   term, key, field, tf, positions (from 1, ascending), sorted by term in each file
   docs/segment=S                key, fields (lengths by field), content_hash, gone
-  state                         a pointer to the segments that count (replace_table): segment, docs, built_at
+  state-FORMAT                  a pointer to the segments that count (replace_table): segment, docs, built_at
+Bucket LENGTHS has no terms: a row for each document and field, whose tf is the field's length. An index of another format
+counts as not built, and is built anew.
 A build compares content hashes, makes postings of the documents that are new or changed, and writes them as one more
 segment; documents that went get a row that says so. Of a document that several segments have, the latest counts. The state
 is replaced last, so a build that dies leaves folders that nobody reads. `compact` writes one segment of what counts.
+A build reads texts twice (for hashes, and for postings) and shuffles neither texts nor postings, unless a key has several
+units: each task sorts its own postings into files by bucket.
 
 Terms are dealt into buckets by their first LEAD characters, which is what a query term of any kind knows: one that reaches
 words by a prefix has a prefix of at least that length. A query reads its buckets only (partition filters), and within
@@ -15,7 +19,9 @@ them the row groups of its terms. A frequent term is spread over tasks and files
 
 from __future__ import annotations
 
+import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,6 +41,8 @@ from versed.sources.documents import landed, read_table, replace_table
 
 #: Buckets of terms, and characters that decide on a term's bucket; no stem that matches as a prefix is shorter.
 BUCKETS, LEAD = 64, T.PREFIX_FROM
+#: The layout of the folder, and the bucket of the fields' lengths.
+FORMAT, LENGTHS = 2, -1
 #: What a hit adds to a rank by cover density: the weight of an unlabelled word.
 WEIGHT = 0.1
 #: Names of the statuses that a search of an index may have beside ok.
@@ -42,7 +50,7 @@ NOT_BUILT, EMPTY, UNUSABLE = "not_built", "empty", "unusable_query"
 
 
 def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(term, 1, LEAD)), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.substring(term, 1, LEAD).cast("binary")), F.lit(BUCKETS)).cast("int")
 
 
 def postings_of(key: StructField, more: str = "") -> StructType:
@@ -50,40 +58,80 @@ def postings_of(key: StructField, more: str = "") -> StructType:
     return StructType([*StructType.fromDDL("term string"), key, *StructType.fromDDL("field string, tf int, positions array<int>"), *(StructType.fromDDL(more) if more else ())])
 
 
+def word_characters(spark: SparkSession) -> np.ndarray:
+    """Of each code point whether an index token may hold it, as the pattern of T.index_tokens says on this cluster."""
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    points = spark.range(sys.maxunicode + 1).where("id not between 55296 and 57343").where(char.rlike(f"^{T.INDEX_TOKEN}$")).toArrow()
+    table = np.zeros(sys.maxunicode + 1, bool)
+    table[points["id"].to_numpy()] = True
+    return table
+
+
+def tokens(texts: pa.Array, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of the (lower-cased) texts in turn, and how many each text has."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    joined = b"".join(texts.cast(pa.binary()).to_pylist())
+    points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    inside, at = table[points], np.cumsum(width) - width
+    begins = inside & ~np.append(False, inside[:-1])
+    ends = np.cumsum(sizes)
+    firsts = np.searchsorted(at, ends[:-1])  # a token doesn't go on from a text to the next
+    firsts = firsts[firsts < len(points)]
+    begins[firsts] = inside[firsts]
+    starts = np.flatnonzero(begins)
+    kept = np.frombuffer(joined, np.uint8)[np.repeat(inside, width)]
+    before = np.append(0, np.cumsum(np.where(inside, width, 0)))
+    offsets = np.append(before[starts], before[-1]).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept)).cast(pa.string())
+    return found, np.bincount(np.searchsorted(ends, at[starts], side="right"), minlength=len(sizes))
+
+
 def positional(units: DataFrame, key: str, **fields: str) -> DataFrame:
-    """term, key, field, tf and positions of the fields' index tokens: grouped within each document, without a shuffle."""
+    """term, key, field, tf, positions and bucket of the fields' index tokens, grouped within each document without a shuffle, and the fields' lengths; a batch comes sorted by bucket and term, which a later sort makes use of."""
     bounded(units.sparkSession)
-    parts = [units.select(F.col(key).alias("key"), F.lit(name).alias("field"), T.index_tokens(F.col(column)).alias("terms")) for name, column in fields.items()]
-    rows = reduce(DataFrame.unionByName, parts).where("size(terms) > 0")
+    parts = [units.select(F.col(key).alias("key"), F.lit(name).alias("field"), F.lower(F.coalesce(F.col(column), F.lit(""))).alias("low")) for name, column in fields.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    sent = units.sparkSession.sparkContext.broadcast(word_characters(units.sparkSession))  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("terms")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            coded = lists.flatten().dictionary_encode()
-            words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            found, sizes = tokens(batch.column("low"), sent.value)
+            coded = found.dictionary_encode()
+            heads = pc.utf8_slice_codeunits(coded.dictionary, 0, LEAD).dictionary_encode()
+            buckets = np.array([zlib.crc32(h.encode()) % BUCKETS for h in heads.dictionary.to_pylist()], np.uint16)[heads.indices.to_numpy(zero_copy_only=False)]
+            by_rank = pc.array_sort_indices(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+            by_rank = by_rank[np.argsort(buckets[by_rank], kind="stable")]
+            rank = np.empty(len(by_rank), np.int64)
+            rank[by_rank] = np.arange(len(by_rank))
+            words = rank[coded.indices.to_numpy(zero_copy_only=False)]
             own = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-            cell = own * max(1, len(coded.dictionary)) + words
-            order = np.argsort(cell, kind="stable")
-            starts = np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1]))
+            order = np.argsort((words & 0xFFFF).astype(np.uint16), kind="stable")  # numpy sorts 16 bits at a time without comparisons; units and places stay in order
+            if len(rank) > 1 << 16:
+                order = order[np.argsort((words[order] >> 16).astype(np.uint16), kind="stable")]
+            by_word, by_own = words[order], own[order]
+            starts = np.flatnonzero(np.append(True, (by_word[1:] != by_word[:-1]) | (by_own[1:] != by_own[:-1])))[: len(order)]
             first = order[starts]
             ends = np.append(starts, len(order)).astype(np.int32)
-            at = pa.array(own[first])
+            at, which = pa.array(own[first]), by_rank[words[first]]
+            names = ["term", "key", "field", "tf", "positions", "bucket"]
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, coded.dictionary.type), batch.column("key"), batch.column("field"), pa.array(sizes, pa.int32()), none, pa.array([LENGTHS] * batch.num_rows, pa.int32())], names=names)
             yield pa.RecordBatch.from_arrays([
-                coded.dictionary.take(pa.array(words[first])), batch.column("key").take(at), batch.column("field").take(at), pa.array(np.diff(ends)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))),
-            ], names=["term", "key", "field", "tf", "positions"])
+                coded.dictionary.take(pa.array(which)), batch.column("key").take(at), batch.column("field").take(at), pa.array(np.diff(ends)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))), pa.array(buckets[which].astype(np.int32)),
+            ], names=names)
 
-    return rows.mapInArrow(run, postings_of(rows.schema["key"]))
+    return rows.mapInArrow(run, postings_of(rows.schema["key"], "bucket int"))
 
 
 def state(spark: SparkSession, path: str) -> DataFrame | None:
     """segment, docs and built_at of the segments that count; none if the index isn't built."""
     try:
-        return read_table(spark, f"{path}/state")
+        return read_table(spark, f"{path}/state-{FORMAT}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -123,25 +171,29 @@ def build(units: DataFrame, key: str, path: str, **fields: str) -> int | None:
     rows = units.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(c).alias(columns[name]) for name, c in fields.items())).withColumn("content_hash", fingerprint(units, columns))
     number = max(which, default=-1) + 1
     folder = f"{path}/docs/segment={number}"
+    chosen = rows.groupBy("key").agg(F.min("content_hash").alias("content_hash"), F.count(F.lit(1)).alias("units"))
     if which:
         have = live(spark, path).select(F.col("key").alias("old_key"), F.col("content_hash").alias("old_hash"))
-        chosen = rows.groupBy("key").agg(F.min("content_hash").alias("content_hash")).join(have, F.col("key") == F.col("old_key"), "full")
-        changed = chosen.where("key is null or old_hash is null or old_hash <> content_hash").select(F.coalesce("key", "old_key").alias("key"), "content_hash", F.col("key").isNull().alias("gone"))
+        chosen = chosen.join(have, F.col("key") == F.col("old_key"), "full").where("key is null or old_hash is null or old_hash <> content_hash")
+        changed = chosen.select(F.coalesce("key", "old_key").alias("key"), "content_hash", "units", F.col("key").isNull().alias("gone"))
     else:
-        changed = rows.groupBy("key").agg(F.min("content_hash").alias("content_hash")).withColumn("gone", F.lit(False))
-    name = f"{path}/changes/{uuid.uuid4().hex}"
-    changed.write.parquet(name)
-    changed = spark.read.parquet(name)
+        changed = chosen.withColumn("gone", F.lit(False))
+    changed = landed(changed, f"{path}/changes")
     if which and changed.isEmpty():
         return None
-    fresh = changed.where("not gone").select(F.col("key").alias("of"), F.col("content_hash").alias("own"))
-    texts = rows.join(fresh, (F.col("key") == F.col("of")) & (F.col("content_hash") == F.col("own"))).drop("of", "own").dropDuplicates(["key"])
-    made = landed(positional(texts, "key", **columns).withColumn("bucket", bucket(F.col("term"))), f"{path}/changes")  # else the sampling for the ranges below would make it all once more
-    own = made.groupBy("key", "field").agg(F.sum("tf").cast("int").alias("n")).groupBy(F.col("key").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("field", "n"))).alias("own"))
+    texts = rows.drop("content_hash")
+    if which:
+        texts = texts.join(changed.where("not gone").select(F.col("key").alias("of")), F.col("key") == F.col("of"), "left_semi")
+    several = changed.where("units > 1").select(F.col("key").alias("of"), F.col("content_hash").alias("own"))
+    if not several.isEmpty():
+        one = rows.join(several, (F.col("key") == F.col("of")) & (F.col("content_hash") == F.col("own"))).drop("of", "own", "content_hash").dropDuplicates(["key"])
+        texts = texts.join(several, F.col("key") == F.col("of"), "left_anti").unionByName(one)
+    written(positional(texts, "key", **columns), path, number)
+    lengths = rows_of(spark, path, [number], rows.schema["key"]).where(F.col("bucket") == LENGTHS)
+    own = lengths.groupBy(F.col("key").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("field", "tf"))).alias("own"))
     size = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.coalesce(F.try_element_at("own", F.lit(name)), F.lit(0)) for name in columns)))
     rows = changed.join(own, F.col("key") == F.col("of"), "left").select("key", F.when(~F.col("gone"), size).alias("fields"), "content_hash", "gone")
     rows.write.mode("overwrite").parquet(folder)
-    made.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
     point(spark, path, [*which, number])
     return number
 
@@ -149,27 +201,56 @@ def build(units: DataFrame, key: str, path: str, **fields: str) -> int | None:
 def point(spark: SparkSession, path: str, which: list[int]) -> None:
     """Make the given segments those that count."""
     counts = listed(spark, path, which).groupBy("segment").agg(F.count_if(~F.col("gone")).alias("docs"))
-    old = spark.createDataFrame([(s,) for s in which], "segment int")
-    replace_table(old.join(counts, "segment", "left").select("segment", F.coalesce("docs", F.lit(0)).alias("docs"), F.current_timestamp().alias("built_at")), f"{path}/state")
+    old = spark.range(1).select(F.explode(F.array(*map(F.lit, which))).alias("segment"))
+    replace_table(old.join(counts, "segment", "left").select("segment", F.coalesce("docs", F.lit(0)).alias("docs"), F.current_timestamp().alias("built_at")), f"{path}/state-{FORMAT}")
+
+
+def written(rows: DataFrame, path: str, number: int) -> None:
+    """Write postings with their bucket as a segment; a task sorts what it has made, and a frequent term lies in the files of many tasks."""
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
 
 
-def stored(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
-    """term, key, field, tf and positions of the documents that count, with their lengths (fields); only the given buckets are read."""
+def rows_of(spark: SparkSession, path: str, which: list[int], key: StructField | None = None) -> DataFrame:
+    """All rows of the given segments, lengths and outdated documents among them, with segment and bucket."""
+    schema = postings_of(key or listed(spark, path, which).schema["key"], "segment int, bucket int")
+    return spark.read.schema(schema).option("basePath", f"{path}/postings").parquet(*(f"{path}/postings/segment={s}" for s in which))
+
+
+def outdated(spark: SparkSession, path: str, which: list[int]) -> DataFrame:
+    """key and segment of what doesn't count, because a later segment has the document or says that it went."""
+    per = listed(spark, path, which).groupBy("key").agg(F.max("segment").alias("last"), F.max_by("gone", "segment").alias("gone"), F.collect_list("segment").alias("all"))
+    return per.where("gone or size(all) > 1").select("key", F.explode(F.filter("all", lambda s: F.col("gone") | (s < F.col("last")))).alias("segment"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """term, key, field, tf and positions of the documents that count; a single segment has nothing outdated, and no postings are shuffled then."""
     which = segments(spark, path)
-    schema = postings_of(listed(spark, path, which).schema["key"], "segment int, bucket int")
-    rows = spark.read.schema(schema).option("basePath", f"{path}/postings").parquet(*(f"{path}/postings/segment={s}" for s in which))
-    if buckets is not None:
-        rows = rows.where(F.col("bucket").isin(buckets))
-    docs = live(spark, path).select(F.col("key").alias("of"), F.col("segment").alias("at"), "fields")
-    return rows.join(docs, (F.col("key") == F.col("of")) & (F.col("segment") == F.col("at"))).select("term", "key", "field", "tf", "positions", "fields")
+    rows = rows_of(spark, path, which).where(F.col("bucket") >= 0)
+    if len(which) > 1:
+        old = outdated(spark, path, which).select(F.col("key").alias("of"), F.col("segment").alias("at"))
+        rows = rows.join(old, (F.col("key") == F.col("of")) & (F.col("segment") == F.col("at")), "left_anti")
+    return rows.select("term", "key", "field", "tf", "positions")
+
+
+def with_lengths(rows: DataFrame, path: str) -> DataFrame:
+    """Those of the rows (key, segment) whose document counts, with its lengths (fields)."""
+    docs = live(rows.sparkSession, path).select(F.col("key").alias("of"), F.col("segment").alias("at"), "fields")
+    return rows.join(docs, (F.col("key") == F.col("of")) & (F.col("segment") == F.col("at"))).drop("of", "at", "segment")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """term, key, field, tf and positions of the documents that count, with their lengths (fields)."""
+    rows = rows_of(spark, path, segments(spark, path)).where(F.col("bucket") >= 0)
+    return with_lengths(rows, path).select("term", "key", "field", "tf", "positions", "fields")
 
 
 def compact(spark: SparkSession, path: str) -> int:
-    """Write one segment of all that counts, and let that alone count from then on."""
+    """Write one segment of all that counts, in fewer files, and let that alone count from then on."""
     which = segments(spark, path)
     number = max(which) + 1
-    live(spark, path).select("key", "fields", "content_hash", F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{path}/docs/segment={number}")
-    rows = stored(spark, path).drop("fields").withColumn("bucket", bucket(F.col("term")))
+    docs = live(spark, path)
+    docs.select("key", "fields", "content_hash", F.lit(False).alias("gone")).write.mode("overwrite").parquet(f"{path}/docs/segment={number}")
+    rows = current(spark, path).withColumn("bucket", bucket(F.col("term")))
     rows.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={number}")
     point(spark, path, [number])
     return number
@@ -188,9 +269,9 @@ def found(queries: DataFrame, query: str, text: str, path: str) -> DataFrame:
     spark = queries.sparkSession
     terms = asked(queries, query, text).withColumn("lead", F.substring("start", 1, LEAD))
     buckets = [r[0] for r in terms.select(bucket(F.col("start"))).distinct().collect()]  # at most BUCKETS
-    rows = stored(spark, path, buckets).withColumn("head", F.substring("term", 1, LEAD))
+    rows = rows_of(spark, path, segments(spark, path)).where(F.col("bucket").isin(buckets)).drop("bucket").withColumn("head", F.substring("term", 1, LEAD))
     reaches = (F.col("head") == F.col("lead")) & F.when(F.col("prefix"), F.col("term").startswith(F.col("start"))).otherwise(F.col("term") == F.col("start"))
-    return rows.join(terms, reaches).drop("head", "lead", "start", "prefix")
+    return with_lengths(rows.join(terms, reaches).drop("head", "lead", "start", "prefix"), path)
 
 
 def covers(tokens: list[int], places: list[list[int]], every: int) -> float:
@@ -218,23 +299,31 @@ def cover_density(hits: DataFrame, every: bool = True, fields: tuple[str, ...] =
 
     `hits` comes from found(). Several fields are ranked each and summed.
     """
-    rows = hits.where(F.col("field").isin(*fields))
-    per = rows.groupBy("query", "key", "field").agg(
+    per = grouped(hits, fields)
+    per = per.where(F.col("met") == F.col("n")) if every else per
+    return ranked(per.withColumn("of", F.when(F.lit(every), F.col("n")).otherwise(0)))
+
+
+def grouped(hits: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """query, key, field, n, size (the field's length), met (terms that hit), and the terms with their places."""
+    return hits.where(F.col("field").isin(*fields)).groupBy("query", "key", "field").agg(
         F.any_value("n").alias("n"), F.any_value(F.col("fields")[F.col("field")]).alias("size"), F.count_distinct("token").alias("met"),
         F.collect_list("token").alias("tokens"), F.collect_list("positions").alias("places"),
     )
-    per = per.where(F.col("met") == F.col("n")) if every else per
-    per = per.withColumn("of", F.when(F.lit(every), F.col("n")).otherwise(0))
-    ranked = flat(per, ["query", "key", "size"], ["tokens", "places", "of"], "cover double", lambda tokens, places, of: [(covers(tokens, places, of),)])
-    return ranked.groupBy("query", "key").agg(F.sum(F.col("cover") / (1 + F.log("size"))).alias("rank"))
+
+
+def ranked(per: DataFrame) -> DataFrame:
+    """query, key and rank of grouped() hits; `of` is how many terms a stretch must hold, or 0."""
+    rows = flat(per, ["query", "key", "size"], ["tokens", "places", "of"], "cover double", lambda tokens, places, of: [(covers(tokens, places, of),)])
+    return rows.groupBy("query", "key").agg(F.sum(F.col("cover") / (1 + F.log("size"))).alias("rank"))
 
 
 def cover_density_or(queries: DataFrame, query: str, text: str, path: str) -> DataFrame:
-    """query, key and rank by all terms; queries that no document answers so are ranked by any term."""
-    hits = found(queries, query, text, path)
-    strict = cover_density(hits)
-    rest = hits.join(strict.select(F.col("query").alias("of")).distinct(), F.col("query") == F.col("of"), "left_anti")
-    return strict.unionByName(cover_density(rest, every=False))
+    """query, key and rank by all terms; queries that no document answers so are ranked by any term. The hits are found once, and grouped before it is known which."""
+    per = landed(grouped(found(queries, query, text, path), ("body",)), f"{path}/changes")
+    answered = per.where("met = n").select(F.col("query").alias("q")).distinct().withColumn("strict", F.lit(True))
+    rows = per.join(answered, F.col("query").eqNullSafe(F.col("q")), "left").where("strict is null or met = n")
+    return ranked(rows.withColumn("of", F.when(F.col("strict"), F.col("n")).otherwise(0)))
 
 
 def bm25(hits: DataFrame, spark: SparkSession, path: str, weights: dict[str, float] | None = None) -> DataFrame:
