@@ -18,7 +18,7 @@ LONG = "long"
 def stored_index(spark, sf):
     """The folder of the index of `documents` (body, and the first line as heading), brought up to date with the table."""
     path = f"{workspace(spark)}/index-{hashlib.md5(sf.encode()).hexdigest()}"
-    docs = table(spark, sf, "documents").withColumn("first_line", F.get(F.split("text", "\n"), 0))
+    docs = table(spark, sf, "documents").withColumn("first_line", F.substring_index("text", "\n", 1))
     index.build(docs, "doc_id", path, body="text", heading="first_line")
     return path
 
@@ -109,6 +109,6 @@ def index_statuses(spark, sf):
 SELECT term, doc_id, count(*) AS tf, min(p) AS first, max(p) AS last, sum(p)::BIGINT AS sum_of_places FROM t GROUP BY term, doc_id""")
 def positional_postings(spark, sf):
     """The postings of all bodies as they are stored, with their places in short."""
-    rows = index.stored(spark, stored_index(spark, sf)).where("field = 'body'")
+    rows = index.current(spark, stored_index(spark, sf)).where("field = 'body'")
     whole = F.aggregate("positions", F.lit(0).cast(LONG), lambda a, p: a + p)
     return rows.select("term", F.col("key").alias("doc_id"), F.col("tf").cast(LONG).alias("tf"), F.array_min("positions").cast(LONG).alias("first"), F.array_max("positions").cast(LONG).alias("last"), whole.alias("sum_of_places"))
