@@ -23,6 +23,9 @@ from versed.plans.session import bounded
 # Rows of a batch, failures in a row after which a run stops, characters of a text that a vector is made from.
 BATCH, MOST_FAILURES, CHARS = 32, 6, 6000
 
+#: Waves of no more rows than this are worked out by one task.
+ONE_TASK = 4096
+
 
 @dataclass(frozen=True)
 class Report:
@@ -78,15 +81,25 @@ def wave(rows: DataFrame, embed: Callable[[list[str]], list], batch: int, most_f
     return rows.mapInArrow(run, StructType([rows.schema["key"], *StructType.fromDDL("vector array<double>, failed int")]))
 
 
+def first_of(gap: DataFrame, n: int) -> DataFrame:
+    """The first n rows by place and key, in order: of many rows only places and keys pass through one task, to tell where the n-th is, and the texts are sorted in ranges."""
+    if n <= ONE_TASK:
+        return gap.orderBy("place", "key").limit(n)
+    if gap.count() > n:
+        last = gap.select("place", "key").orderBy("place", "key").limit(n).agg(F.max(F.struct("place", "key")).alias("last"))
+        gap = gap.join(F.broadcast(last), F.struct("place", "key") <= F.col("last")).drop("last")  # one row
+    return gap.orderBy("place", "key")
+
+
 def vectors(units: DataFrame, key: str, text: str, path: str, embed: Callable[[list[str]], list], model: str, batch: int = BATCH, rows_of_a_wave: int = 4096, most_failures: int = MOST_FAILURES, most_rows: int | None = None, first: Column | None = None) -> Report:
     """Store a vector of each unit with a text that `path` has none of. `embed` turns texts (cut to CHARS) into as many vectors, or raises; empty vectors aren't stored. `first` is what the order begins with, then the key."""
     spark = units.sparkSession
     kind = units.schema[key].dataType.simpleString()
     rows = units.where(F.col(key).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != "")).withColumn("__first", first if first is not None else F.lit(0))
-    rows = rows.groupBy(F.col(key).alias("key")).agg(F.min_by(F.substring(text, 1, CHARS), text).alias("text"), F.min("__first").alias("place"))
+    rows = rows.groupBy(F.col(key).alias("key")).agg(F.min(F.substring(text, 1, CHARS)).alias("text"), F.min("__first").alias("place"))
     written = failed = in_a_row = 0
     while in_a_row < most_failures and (most_rows is None or written < most_rows):
-        gap = missing(rows, stored(spark, path, kind), "key", "key").orderBy("place", "key").limit(min(rows_of_a_wave, rows_of_a_wave if most_rows is None else most_rows - written))
+        gap = first_of(missing(rows, stored(spark, path, kind), "key", "key"), min(rows_of_a_wave, rows_of_a_wave if most_rows is None else most_rows - written))
         made = wave(gap.select("key", "text"), embed, batch, most_failures).cache()
         try:
             tried, got, bad = made.agg(F.count(F.lit(1)), F.count("vector"), F.coalesce(F.max("failed"), F.lit(0))).first()
