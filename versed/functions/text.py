@@ -80,16 +80,20 @@ def hits(of_words: Column, token: str) -> Column:
 BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same white space and all but it, each with a range in front that decides on most characters at once.
+SPACE, VISIBLE = rf"[\x00-\x20\x7f-\x{{10FFFF}}&&[{BLANK}]]", f"[!-~[^{BLANK}]]"
+
+
 def n_space_words(text: Column) -> Column:
     """Words between white space, 1 at least."""
-    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^{BLANK}]+")))
+    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"{VISIBLE}+")))
 
 
 def token_count(low: Column, token: str) -> Column:
     """How many search tokens of a lower-cased text the token reaches, counted in the text: where its stem begins one (and, if it doesn't match as a prefix, ends it)."""
     start, prefix = stem_of(token)
     inside = TOKEN[:-1]
-    return F.regexp_count(low, F.lit(rf"(?<!{inside})\Q{start}\E" + ("" if prefix else f"(?!{inside})")))
+    return F.regexp_count(low, F.lit(rf"\Q{start}\E(?<!{inside}\Q{start}\E)" + ("" if prefix else f"(?!{inside})")))  # the stem first: it fails fast
 
 
 def may_hit(low: Column, tokens: list[str]) -> Column:
@@ -250,20 +254,22 @@ def real_title(text: Column) -> Column:
 
 def excerpt(text: Column, tokens: list[str], size: int = 14) -> Column:
     """`size` words of a text around the first that a token reaches, with ` … ` where it was cut; the beginning if none does."""
-    def reached(w: Column) -> Column:
-        low, found = F.regexp_replace(F.lower(w), f"^(?:(?!{TOKEN}).)+|(?:(?!{TOKEN}).)+$", ""), F.lit(False)
-        for t in tokens:
-            start, prefix = stem_of(t)
-            found = found | (low.startswith(start) if prefix else low == start)
-        return found
-
-    def shown(ws: Column) -> Column:
-        first = F.coalesce(F.get(F.filter(F.transform(ws, lambda w, i: F.when(reached(w), i)), lambda i: i.isNotNull()), 0), F.lit(0))
+    other = f"[^{BLANK}{TOKEN[1:-2]}]"
+    reached = "|".join(rf"\Q{start}\E" + ("" if prefix else f"{other}*+(?!{VISIBLE})") for start, prefix in map(stem_of, tokens))
+
+    def shown(ws: Column, first: Column) -> Column:
         begin = F.greatest(F.lit(0), F.least(first - size // 2, F.size(ws) - size))
         body = F.array_join(F.slice(ws, begin + 1, size), " ")
         return F.concat(F.when(begin > 0, " … ").otherwise(""), body, F.when(begin + size < F.size(ws), " … ").otherwise(""))
 
-    return let(F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != ""), shown)
+    def around(first: Column) -> Column:  # no more words are split off than decide on the excerpt: the last one stands for the rest
+        return let(F.filter(F.split(text, f"{SPACE}+", first + size + 3), lambda w: w != ""), lambda ws: shown(ws, first))
+
+    def first_reached(low: Column) -> Column:
+        return let(F.split(low, f"(?:^|{SPACE}){other}*+(?:{reached})", 2), lambda ps: F.when(F.size(ps) > 1, F.regexp_count(F.get(ps, 0), F.lit(f"{VISIBLE}+"))).otherwise(0))
+
+    first = let(F.lower(text), lambda low: F.when(any_of(low, tuple(stem_of(t)[0] for t in tokens)), first_reached(low)).otherwise(0))
+    return let(first, around)
 
 
 def query_status(query: Column) -> Column:
