@@ -47,15 +47,16 @@ def within_budget(rows: DataFrame, part: str, order: str, size: Column, limit: i
     return rows.drop("__over", "__size", "__at", "__carried", "__part", "__end")
 
 
-def joined_within(rows: DataFrame, part: str, order: str, chunk: Column, budget: int, most: int, separator: str = "\n\n---\n\n") -> DataFrame:
-    """part and the chunks of its first `most` rows joined; the chunk that passes the budget is cut, separators don't count."""
+def joined_within(rows: DataFrame, part: str, order: str, chunk: Column, budget: int, most: int, separator: str = "\n\n---\n\n", **first: Column) -> DataFrame:
+    """part and the chunks of its first `most` rows joined; the chunk that passes the budget is cut, separators don't count. `first` are columns of a part's first row."""
     w = W.partitionBy(part).orderBy(order)
-    rows = rows.select(part, F.row_number().over(w).alias("n"), chunk.alias("chunk")).where(F.col("n") <= most)
+    rows = rows.select(part, F.row_number().over(w).alias("n"), chunk.alias("chunk"), *(c.alias(f"__{name}") for name, c in first.items())).where(F.col("n") <= most)
     used = F.coalesce(F.sum(F.length("chunk")).over(W.partitionBy(part).orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("left", F.lit(budget) - used).where("left > 0")
     rows = rows.withColumn("chunk", F.substring(F.col("chunk"), F.lit(1), F.col("left").cast("int")))
     pieces = F.array_sort(F.collect_list(F.struct("n", "chunk")))
-    return rows.groupBy(part).agg(F.array_join(F.transform(pieces, lambda s: s["chunk"]), separator).alias("joined"))
+    ones = [F.max(F.when(F.col("n") == 1, F.col(f"__{name}"))).alias(name) for name in first]
+    return rows.groupBy(part).agg(F.array_join(F.transform(pieces, lambda s: s["chunk"]), separator).alias("joined"), *ones)
 
 
 def persistence(text: Column, kind: Column, pinned: Column, title: Column, units: Column) -> Column:

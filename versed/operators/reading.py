@@ -16,8 +16,8 @@ from versed.operators import corpus, resolve, search
 DIRECT, LINES, UNITS, CONTEXT, SHOWN = 10_000.0, 8, 6, 3000, 700
 
 
-def match_query(docs: DataFrame, key: str, text: str, units: DataFrame, num: str, body: str, tokens: list[str], reference: str | None = None, context: int = CONTEXT) -> DataFrame:
-    """key, score, score_kind and snippet of each document that a query matches.
+def match_query(docs: DataFrame, key: str, text: str, units: DataFrame, num: str, body: str, tokens: list[str], reference: str | None = None, context: int = CONTEXT, words: DataFrame | None = None) -> DataFrame:
+    """key, score, score_kind and snippet of each document that a query matches; `words` is by_words() where a caller has it already.
 
     A unit whose number the query names comes first; else the units in which every token hits, by density, the best
     UNITS of them joined; else the LINES best lines with the lines around them, scored as the best of these windows.
@@ -29,16 +29,23 @@ def match_query(docs: DataFrame, key: str, text: str, units: DataFrame, num: str
     named = some.where(F.col("num") == reference) if reference else some.where("false")
     direct = named.select(key, F.lit(DIRECT).alias("score"), F.lit("direct").alias("score_kind"), F.substring("body", 1, context).alias("snippet"))
 
+    words = by_words(docs, key, text, units, num, body, tokens, context) if words is None else words
+    return resolve.cascade([direct, words], key, F.desc("score")).drop("stage")
+
+
+def by_words(docs: DataFrame, key: str, text: str, units: DataFrame, num: str, body: str, tokens: list[str], context: int = CONTEXT) -> DataFrame:
+    """What match_query() finds without a number: units first, else lines; each text is scored once."""
+    some = units.select(key, F.col(num).cast("string").alias("num"), F.col(body).alias("body")).where(T.may_hit(F.lower("body"), tokens))
     by_unit = some.withColumn("score", T.density(F.col("body"), tokens)).where("score > 0")
     by_unit = by_unit.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), F.desc("num"), F.desc("body")))).where(F.col("place") <= UNITS)
-    best = by_unit.where("place = 1").select(key, "score", F.lit("article").alias("score_kind"))
-    articles = best.join(corpus.joined_within(by_unit, key, "place", F.col("body"), context, UNITS), key).withColumnRenamed("joined", "snippet")
+    articles = corpus.joined_within(by_unit, key, "place", F.col("body"), context, UNITS, score=F.col("score"))
+    articles = articles.select(key, "score", F.lit("article").alias("score_kind"), F.col("joined").alias("snippet"))
 
     lines = search.line_windows(docs, key, text, tokens)
     lines = lines.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), F.desc("line_no")))).where(F.col("place") <= LINES)
-    best = lines.where("place = 1").select(key, T.density(F.col("window_text"), tokens).alias("score"), F.lit("line").alias("score_kind"))
-    fallback = best.join(corpus.joined_within(lines, key, "place", F.col("window_text"), context, LINES), key).withColumnRenamed("joined", "snippet")
-    return resolve.cascade([direct, articles, fallback], key, F.desc("score")).drop("stage")
+    fallback = corpus.joined_within(lines, key, "place", F.col("window_text"), context, LINES, score=F.when(F.col("place") == 1, T.density(F.col("window_text"), tokens)))
+    fallback = fallback.select(key, "score", F.lit("line").alias("score_kind"), F.col("joined").alias("snippet"))
+    return resolve.cascade([articles, fallback], key, F.desc("score")).drop("stage")
 
 
 def search_in_text(docs: DataFrame, key: str, text: str, matched: DataFrame, query: str, context: int = CONTEXT) -> DataFrame:

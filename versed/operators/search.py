@@ -101,7 +101,7 @@ def bm25(units: DataFrame, key: str, body: str, tokens: list[str], heading: str
 
 def line_windows(units: DataFrame, key: str, text: str, tokens: list[str], before: int = 3, after: int = 7) -> DataFrame:
     """key, line_no (from 1), score and window_text: the lines in which every token hits, with the lines around them."""
-    rows = units.select(key, F.split(F.col(text), "\n").alias("lines"))
+    rows = units.where(T.may_hit(F.lower(F.col(text)), tokens)).select(key, F.split(F.col(text), "\n").alias("lines"))
     n = F.size("lines")
     hit = F.filter(
         F.transform("lines", lambda x, i: F.struct(i.alias("i"), T.density(x, tokens).alias("score"))), lambda s: s["score"] > 0)

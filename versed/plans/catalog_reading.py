@@ -9,6 +9,8 @@ from versed.functions import text as T
 from versed.operators import evidence, reading, resolve, search
 from versed.plans.catalog import SIZE_SQL, TOKENS, WORDS_SQL
 from versed.plans.registry import query
+from versed.plans.session import workspace
+from versed.sources.documents import landed
 from versed.sources.tables import table
 
 LONG = "long"
@@ -51,10 +53,11 @@ SELECT request, doc_id, round(score, 6) AS score, score_kind, sha256(snippet) AS
 def match_query(spark, sf):
     """Two requests over all documents: one that names a unit, one that doesn't; documents of one line have no units."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    words = landed(reading.by_words(docs, "doc_id", "text", _units(docs), "num", "body", TOKENS[:2]), workspace(spark))  # both requests ask for the same ones
     out = None
     for request in ("ст. 2 the thingly", "the thingly"):
         named = "2" if request.startswith("ст") else None
-        found = reading.match_query(docs, "doc_id", "text", _units(docs), "num", "body", TOKENS[:2], named)
+        found = reading.match_query(docs, "doc_id", "text", _units(docs), "num", "body", TOKENS[:2], named, words=words)
         rows = found.select(F.lit(request).alias("request"), "doc_id", F.round("score", 6).alias("score"), "score_kind", F.sha2("snippet", 256).alias("snippet_sha"))
         out = rows if out is None else out.union(rows)
     return out
