@@ -210,9 +210,10 @@ def kind_tiebreak_order(spark, sf):
     from pyspark.sql import Window as W
 
     kind = F.when(F.col("lang") == "en", "article").when(F.col("lang") == "de", "line").otherwise("alias_only")
-    rows = table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.round(T.density(F.col("text"), ["the"]), 6).alias("score")).where("score > 0")
+    rows = table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.round(T.density(F.col("text"), ["the"]), 6).alias("score"))
     order = [(F.col("kind") != "alias_only").desc(), F.desc("score"), F.when(F.col("kind") == "article", 2).when(F.col("kind") == "line", 1).otherwise(0).desc(), F.col("doc_id")]
-    return search.top(rows, 100, *order).withColumn("pos", F.row_number().over(W.orderBy(*order)).cast(LONG))  # numbers 100 rows
+    best = search.top(rows, 100, F.expr("score > 0").desc(), *order).where("score > 0")  # a filter before would score each text twice
+    return best.withColumn("pos", F.row_number().over(W.orderBy(*order)).cast(LONG))  # numbers 100 rows
 
 
 # --- vectors and fusion ---
