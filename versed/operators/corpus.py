@@ -105,7 +105,11 @@ def versions(arrivals: DataFrame, key: str, content_hash: str, arrived: str, ame
     key, content_hash, effective_from (first arrival), effective_to, status; effective_to is the next version's
     amendment date, else its arrival, less nothing.
     """
-    first = latest(arrivals, [key, content_hash], F.col(arrived).asc())
+    return chained(latest(arrivals, [key, content_hash], F.col(arrived).asc()), key, content_hash, arrived, amended)
+
+
+def chained(first: DataFrame, key: str, content_hash: str, arrived: str, amended: str | None = None) -> DataFrame:
+    """versions() of first arrivals, which have one row for each key and content_hash."""
     w = W.partitionBy(key).orderBy(arrived, content_hash)
     nxt = F.lead(F.coalesce(F.col(amended), F.col(arrived)) if amended else F.col(arrived)).over(w)
     return first.select(key, content_hash, F.col(arrived).alias("effective_from"), nxt.alias("effective_to"), F.when(nxt.isNull(), "current").otherwise("superseded").alias("status"))

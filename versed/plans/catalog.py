@@ -103,9 +103,9 @@ def joined_units(spark, sf):
 SELECT k AS l_partkey, h AS content_hash, f AS effective_from, lead(f) OVER w AS effective_to, CASE WHEN lead(f) OVER w IS NULL THEN 'current' ELSE 'superseded' END AS status
 FROM a WINDOW w AS (PARTITION BY k ORDER BY f, h)""")
 def version_chain(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_partkey", F.sha2(F.col("l_suppkey").cast("string"), 256).alias("content_hash"), "l_shipdate")
-    first = rows.groupBy("l_partkey", "content_hash").agg(F.min("l_shipdate").alias("at"))  # aggregated before the windows
-    return corpus.versions(first, "l_partkey", "content_hash", "at")
+    first = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_shipdate").alias("at"))  # aggregated before the windows
+    first = first.repartition("l_partkey").withColumn("content_hash", F.sha2(F.col("l_suppkey").cast("string"), 256))  # hashed behind the last shuffle
+    return corpus.chained(first, "l_partkey", "content_hash", "at")
 
 
 @query("""WITH n AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders GROUP BY 1)
