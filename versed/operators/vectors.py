@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from versed.operators import search
 from versed.plans.session import bounded
@@ -31,6 +31,8 @@ from versed.sources.documents import read_table, replace_table
 
 #: Rows that k-means learns from, cells at most; rows asked when probes are measured, neighbours of each, and the share of these to be found.
 SAMPLE, CELLS, TRIED, NEIGHBOURS, WANTED = 50_000, 4096, 64, 10, 0.95
+#: Rows of a task of k-means.
+SHARE = 1024
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -52,7 +54,8 @@ def build(vectors: DataFrame, key: str, vector: str, path: str, cells: int | Non
     cells = min(CELLS, max(1, n), cells or max(1, round(math.sqrt(n))))
     centres = np.zeros((0, length))
     if n:
-        some = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select(array_to_vector("unit").alias("features"))
+        some = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).repartition(1 + min(n, SAMPLE) // SHARE, "key")  # a limit leaves one partition, and k-means one task
+        some = some.select(array_to_vector("unit").alias("features"))
         centres = np.array(KMeans(k=cells, seed=1, maxIter=15, distanceMeasure="cosine").fit(some).clusterCenters())
     table = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>")
     replace_table(dealt(rows, centres, 1).repartitionByRange("cell", "key").sortWithinPartitions("cell", "key"), f"{path}/vectors")
@@ -86,6 +89,23 @@ def dealt(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("cell int")]))
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """cell, keys and units (doubles in turn): the rows (key, unit, cell) of each Arrow batch by cell, so that many are compared at once and none is paired by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            order = np.argsort(cell, kind="stable")
+            starts = np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1]))
+            x = batch.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            keys = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), batch.column("key").take(pa.array(order)))
+            units = [x[at].tobytes() for at in np.split(order, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[order[starts]]), keys, pa.array(units, pa.binary())], names=["cell", "keys", "units"])
+
+    return rows.select("key", "unit", "cell").mapInArrow(run, StructType([rows.schema["cell"], StructField("keys", ArrayType(rows.schema["key"].dataType)), *StructType.fromDDL("units binary")]))
+
+
 def centres_of(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
     """The centres of the cells, and how many cells a query reads."""
     rows = read_table(spark, f"{path}/centres").orderBy("cell").collect()  # at most CELLS
@@ -99,14 +119,25 @@ def nearest(queries: DataFrame, key: str, vector: str, path: str, k: int, probes
     centres, own = centres_of(spark, path)
     length = centres.shape[1] if len(centres) else 0
     asked = dealt(usable(queries, key, vector).where(F.size("unit") == length), centres, probes or own)
-    pairs = read_table(spark, f"{path}/vectors").join(asked.select(F.col("key").alias("query"), F.col("unit").alias("asked"), "cell"), "cell").where("key <> query").select("query", "key", "unit", "asked")
+    rows = read_table(spark, f"{path}/vectors")
+    questions = blocks(asked.repartition("cell").sortWithinPartitions("cell")).select("cell", F.col("keys").alias("queries"), F.col("units").alias("asked"))
+    pairs = blocks(rows).join(questions, "cell").select("queries", "asked", "keys", "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("unit", "asked"))
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("key"), pa.array(np.round(np.einsum("ij,ij->i", a, b), 9))], names=["query", "key", "score"])
-
-    scored = pairs.mapInArrow(run, StructType([pairs.schema["query"], pairs.schema["key"], *StructType.fromDDL("score double")]))
+            for queries, asked, keys, units in zip(batch.column("queries"), batch.column("asked"), batch.column("keys"), batch.column("units"), strict=True):
+                a, b = (np.frombuffer(x.as_py()).reshape(-1, length) for x in (asked, units))
+                score = np.round(a @ b.T, 9)
+                score[queries.values.to_numpy(zero_copy_only=False)[:, None] == keys.values.to_numpy(zero_copy_only=False)] = -np.inf  # not itself
+                by_key = np.argsort(keys.values.to_numpy(zero_copy_only=False), kind="stable")
+                best = by_key[np.argsort(-score[:, by_key], axis=1, kind="stable")[:, :k]]
+                of = np.repeat(np.arange(len(a)), best.shape[1])
+                value = score[of, best.ravel()]
+                real = value > -np.inf
+                yield pa.RecordBatch.from_arrays([queries.values.take(pa.array(of[real])), keys.values.take(pa.array(best.ravel()[real])), pa.array(value[real])], names=["query", "key", "score"])
+
+    kinds = (StructField("query", asked.schema["key"].dataType), StructField("key", rows.schema["key"].dataType))
+    scored = pairs.mapInArrow(run, StructType([*kinds, *StructType.fromDDL("score double")]))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("key")))  # kept to k a task before the shuffle
     return scored.withColumn("place", place).where(F.col("place") <= k).select("query", "key", "score")
 
